@@ -18,11 +18,12 @@ from .common import blanks_removed, scratch_table, text_of
 def frequent_digests(rows: DataFrame, heavy: int, tracked: int, fan_in: int = 64) -> DataFrame:
     """At most `heavy` digests; every digest with more than 1/heavy of the rows is
     among them as long as tracked is several times heavy.  The sketches are merged
-    in two levels, so that no task takes one sketch of each input partition."""
+    in two levels, so that no task takes one sketch of each input partition.  The last
+    level has a constant key: a task without rows must not make an empty sketch."""
     parts = rows.groupBy((F.spark_partition_id() % fan_in).alias("part")).agg(
         F.expr(f"approx_top_k_accumulate(text_sha256, {tracked})").alias("sketch")
     )
-    merged = parts.agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
+    merged = parts.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
     top = merged.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {heavy})")).alias("top"))
     return top.where("top.count > 1").select(F.col("top.item").alias("text_sha256")).distinct()
 
