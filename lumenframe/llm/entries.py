@@ -5,13 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, pii, sharding
-from .common import table
+from . import bpe, chat, exact_dedup, langid, minhash, pii, sharding, toxicity
+from .common import fold, table
 
 #: The key of the pseudonyms; a deployment passes its own.
 PSEUDONYM_KEY = "lumenframe-demo-key"
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_copies(table(spark, sf_dir, "documents"))
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the bytes that decoding them gives."""
+    import public_tokenizers
+
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bpe.encode(docs, ranks, pattern).drop("text")
+    return bpe.decode(ids, ranks, pattern).select(
+        "doc_id", bpe.token_count("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    got = langid.predict(docs, langid.fit(docs))
+    return got.select("doc_id", fold(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    got = toxicity.score(docs, model)
+    return got.select(
+        "doc_id", fold(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted")
+    )
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -44,5 +75,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op6_pii, op8_chat_format, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_bpe, op4_exact_dedup, op5_langid, op6_pii, op7_toxicity, op8_chat_format, op10_sharding)}
 SQL = {"op4_exact_dedup": exact_dedup.SQL}
