@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, langid, minhash, pii, sharding, toxicity
-from .common import fold, table
+from . import bpe, chat, exact_dedup, langid, media, minhash, packing, pii, sharding, toxicity
+from .common import blanks_removed, fold, table, text_of
 
 #: The key of the pseudonyms; a deployment passes its own.
 PSEUDONYM_KEY = "lumenframe-demo-key"
@@ -43,6 +43,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes are code points; copies of one text, white space aside, are a cluster."""
+    docs, text = table(spark, sf_dir, "documents"), text_of("text")
+    return packing.pack(docs, F.char_length(text), F.col("source"), F.xxhash64(blanks_removed(text)))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -71,9 +77,16 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mosaics of all embeddings and edited copies of every fiftieth; those are queries."""
+    every_fiftieth = F.col("vec_id") % 50 == 0
+    images = media.images_of(table(spark, sf_dir, "embeddings"), every_fiftieth)
+    return media.find_copies(images, (F.col("edit") == "none") & (F.col("image_id") % 50 == 0))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_bpe, op4_exact_dedup, op5_langid, op6_pii, op7_toxicity, op8_chat_format, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_bpe, op3_packing, op4_exact_dedup, op5_langid, op6_pii, op7_toxicity, op8_chat_format, op9_media, op10_sharding)}
 SQL = {"op4_exact_dedup": exact_dedup.SQL}
