@@ -7,6 +7,8 @@ the format stays and equal values stay equal in all documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +26,16 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without these has no match.
-HINT = r"[0-9]{2}|[0-9]\.[0-9]|@|[0-9A-Fa-f]{32}"
+HINT = r"[0-9]{2}|[0-9][.A-Fa-f]|@"
 #: The Gregorian cycle is 146,097 days = 189 * 773.
 CYCLE_START, CYCLE_LEFT, CYCLE_RIGHT = "1800-01-01", 189, 773
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, as a lambda's variable."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _mix(key: str, kind: str, i: Column, value: Column, modulus: Column) -> Column:
     digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), value.cast("string")), 256)
     return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), modulus)
@@ -40,8 +47,7 @@ def feistel(left: Column, right: Column, a: Column, b: Column, key: str, kind: s
 
     def step(acc: Column, i: Column) -> Column:
         l2 = F.pmod(acc["left"] + _mix(key, kind, i, acc["right"], a), a)
-        r2 = F.pmod(acc["right"] + _mix(key, kind, -i, l2, b), b)
-        return F.struct(l2.alias("left"), r2.alias("right"))
+        return let(l2, lambda x: F.struct(x.alias("left"), F.pmod(acc["right"] + _mix(key, kind, -i, x, b), b).alias("right")))
 
     start = F.struct(left.cast("long").alias("left"), right.cast("long").alias("right"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
@@ -66,68 +72,85 @@ def luhn_sum(digits: Column, doubled_from: int) -> Column:
 def _refill(value: Column, digits: Column) -> Column:
     """value with its digits replaced, in order, by those of digits."""
 
-    def put(acc: Column, c: Column) -> Column:
-        is_digit = c.between("0", "9")
-        return F.struct(
-            F.concat(acc["out"], F.when(is_digit, F.substring(digits, acc["i"], F.lit(1))).otherwise(c)).alias("out"),
-            F.when(is_digit, acc["i"] + 1).otherwise(acc["i"]).alias("i"),
-        )
+    def filled(digits: Column) -> Column:
+        def put(acc: Column, c: Column) -> Column:
+            is_digit = c.between("0", "9")
+            return F.struct(
+                F.concat(acc["out"], F.when(is_digit, F.substring(digits, acc["i"], F.lit(1))).otherwise(c)).alias("out"),
+                F.when(is_digit, acc["i"] + 1).otherwise(acc["i"]).alias("i"),
+            )
+
+        return F.aggregate(F.split(value, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("i")), put, lambda acc: acc["out"])
 
-    return F.aggregate(F.split(value, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("i")), put, lambda acc: acc["out"])
+    return let(digits, filled)
 
 
 def card(value: Column, key: str) -> Column:
     """All digits but the last are permuted; the last makes the Luhn sum right."""
-    digits = _digits(value)
-    n = F.char_length(digits)
-    low = F.floor((n - 1) / 2).cast("int")
-    a, b = F.pow(F.lit(10.0), n - 1 - low).cast("long"), F.pow(F.lit(10.0), low).cast("long")
-    got = feistel(F.substring(digits, F.lit(1), n - 1 - low).cast("long"), F.substring(digits, n - low, low).cast("long"), a, b, key, "card")
-    body = F.concat(F.lpad(got["left"].cast("string"), n - 1 - low, F.lit("0")), F.lpad(got["right"].cast("string"), low, F.lit("0")))
-    check = F.pmod(-luhn_sum(body, 1), F.lit(10)).cast("string")
-    return F.when(luhn_sum(digits, 2) % 10 == 0, _refill(value, F.concat(body, check)))
+
+    def permuted(digits: Column) -> Column:
+        n = F.char_length(digits)
+        low = F.floor((n - 1) / 2).cast("int")
+        a, b = F.pow(F.lit(10.0), n - 1 - low).cast("long"), F.pow(F.lit(10.0), low).cast("long")
+        got = feistel(F.substring(digits, F.lit(1), n - 1 - low).cast("long"), F.substring(digits, n - low, low).cast("long"), a, b, key, "card")
+        pad = lambda x, size: F.lpad(x.cast("string"), size, F.lit("0"))
+        body = let(got, lambda g: F.concat(pad(g["left"], n - 1 - low), pad(g["right"], low)))
+        whole = let(body, lambda x: F.concat(x, F.pmod(-luhn_sum(x, 1), F.lit(10)).cast("string")))
+        return F.when(luhn_sum(digits, 2) % 10 == 0, _refill(value, whole))
+
+    return let(_digits(value), permuted)
 
 
 def ip(value: Column, key: str) -> Column:
     o = F.transform(F.split(value, r"\."), lambda x: x.cast("long"))
     got = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536), key, "ip")
-    parts = [F.floor(got["left"] / 256), got["left"] % 256, F.floor(got["right"] / 256), got["right"] % 256]
-    return F.when(F.forall(o, lambda x: x < 256), F.concat_ws(".", *[p.cast("long").cast("string") for p in parts]))
+
+    def dotted(g: Column) -> Column:
+        parts = [F.floor(g["left"] / 256), g["left"] % 256, F.floor(g["right"] / 256), g["right"] % 256]
+        return F.concat_ws(".", *[p.cast("long").cast("string") for p in parts])
+
+    return F.when(F.forall(o, lambda x: x < 256), let(got, dotted))
 
 
 def phone(value: Column, key: str) -> Column:
     """The area and the last seven digits are permuted; +1 and separators stay."""
     digits = F.right(_digits(value), F.lit(10))
     got = feistel(F.substring(digits, 1, 3), F.substring(digits, 4, 7), F.lit(1000), F.lit(10_000_000), key, "phone")
-    fresh = F.concat(F.lpad(got["left"].cast("string"), 3, "0"), F.lpad(got["right"].cast("string"), 7, "0"))
+    fresh = let(got, lambda g: F.concat(F.lpad(g["left"].cast("string"), 3, "0"), F.lpad(g["right"].cast("string"), 7, "0")))
     country = F.char_length(_digits(value)) == 11
     return _refill(value, F.when(country, F.concat(F.lit("1"), fresh)).otherwise(fresh))
 
 
 def ssn(value: Column, key: str) -> Column:
     """Valid numbers only: area 001-899 but 666, group 01-99, serial 0001-9999."""
-    area, rest = F.substring(value, 1, 3).cast("long"), F.substring(value, 5, 2).cast("long") * 10_000 + F.substring(value, 8, 4).cast("long")
+    area = F.substring(value, 1, 3).cast("long")
     group, serial = F.substring(value, 5, 2).cast("long"), F.substring(value, 8, 4).cast("long")
     left = area - 1 - F.when(area > 666, 1).otherwise(0)
     got = feistel(left, (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(99 * 9999), key, "ssn")
-    fresh = got["left"] + 1 + F.when(got["left"] + 1 >= 666, 1).otherwise(0)
-    out = F.format_string("%03d-%02d-%04d", fresh, (F.floor(got["right"] / 9999) + 1).cast("long"), (got["right"] % 9999 + 1).cast("long"))
-    return F.when(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0) & (rest > 0), out)
+
+    def joined(g: Column) -> Column:
+        fresh = g["left"] + 1 + F.when(g["left"] + 1 >= 666, 1).otherwise(0)
+        return F.format_string("%03d-%02d-%04d", fresh, (F.floor(g["right"] / 9999) + 1).cast("long"), (g["right"] % 9999 + 1).cast("long"))
+
+    return F.when(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0), let(got, joined))
 
 
 def date(value: Column, key: str) -> Column:
     """Dates from 1800 to 2199, permuted among those days.  yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy."""
-    form = F.when(value.contains("-"), "yyyy-MM-dd").when(value.contains("."), "dd.MM.yyyy").otherwise("MM/dd/yyyy")
     parts = F.when(value.contains("-"), value)
     parts = parts.when(value.contains("."), F.concat_ws("-", F.substring(value, 7, 4), F.substring(value, 4, 2), F.substring(value, 1, 2)))
     iso = parts.otherwise(F.concat_ws("-", F.substring(value, 7, 4), F.substring(value, 1, 2), F.substring(value, 4, 2)))
     day = F.try_to_date(iso, "yyyy-MM-dd")
     n = F.datediff(day, F.lit(CYCLE_START).cast("date"))
     got = feistel(F.floor(n / CYCLE_RIGHT), n % CYCLE_RIGHT, F.lit(CYCLE_LEFT), F.lit(CYCLE_RIGHT), key, "date")
-    fresh = F.date_add(F.lit(CYCLE_START).cast("date"), (got["left"] * CYCLE_RIGHT + got["right"]).cast("int"))
-    y, m, d = F.date_format(fresh, "yyyy"), F.date_format(fresh, "MM"), F.date_format(fresh, "dd")
-    out = F.when(form == "yyyy-MM-dd", F.concat_ws("-", y, m, d)).when(form == "dd.MM.yyyy", F.concat_ws(".", d, m, y)).otherwise(F.concat_ws("/", m, d, y))
-    return F.when(day.isNotNull() & (n >= 0) & (n < CYCLE_LEFT * CYCLE_RIGHT), out)
+    fresh = let(got, lambda g: F.date_add(F.lit(CYCLE_START).cast("date"), (g["left"] * CYCLE_RIGHT + g["right"]).cast("int")))
+
+    def written(x: Column) -> Column:
+        y, m, d = F.date_format(x, "yyyy"), F.date_format(x, "MM"), F.date_format(x, "dd")
+        dashed = F.when(value.contains("-"), F.concat_ws("-", y, m, d))
+        return dashed.when(value.contains("."), F.concat_ws(".", d, m, y)).otherwise(F.concat_ws("/", m, d, y))
+
+    return F.when(day.isNotNull() & (n >= 0) & (n < CYCLE_LEFT * CYCLE_RIGHT), let(fresh, written))
 
 
 def letters(value: Column, key: str, kind: str, alphabets: list[str]) -> Column:
@@ -137,9 +160,7 @@ def letters(value: Column, key: str, kind: str, alphabets: list[str]) -> Column:
     half = F.floor(F.char_length(value) / 2).cast("int")
 
     def shifted(text: Column, other: Column, i: Column) -> Column:
-        stream = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), other), 512)
-
-        def one(c: Column, at: Column) -> Column:
+        def one(stream: Column, c: Column, at: Column) -> Column:
             k = F.conv(F.substring(stream, 2 * at + 1, F.lit(2)), 16, 10).cast("int")
             out = c
             for abc in alphabets:
@@ -147,11 +168,11 @@ def letters(value: Column, key: str, kind: str, alphabets: list[str]) -> Column:
                 out = F.when((c != "") & (here > 0), F.substring(F.lit(abc), F.pmod(here - 1 + k, F.lit(len(abc))) + 1, F.lit(1))).otherwise(out)
             return out
 
-        return F.array_join(F.transform(F.split(text, ""), one), "")
+        made = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), other), 512)
+        return let(made, lambda stream: F.array_join(F.transform(F.split(text, ""), lambda c, at: one(stream, c, at)), ""))
 
     def step(acc: Column, i: Column) -> Column:
-        l2 = shifted(acc["left"], acc["right"], i)
-        return F.struct(l2.alias("left"), shifted(acc["right"], l2, -i).alias("right"))
+        return let(shifted(acc["left"], acc["right"], i), lambda x: F.struct(x.alias("left"), shifted(acc["right"], x, -i).alias("right")))
 
     start = F.struct(F.substring(value, F.lit(1), half).alias("left"), F.substring(value, half + 1, F.char_length(value)).alias("right"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda acc: F.concat(acc["left"], acc["right"]))
