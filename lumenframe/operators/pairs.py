@@ -90,8 +90,8 @@ def dedup_masks(objects: DataFrame, px: DataFrame, primary: str = "GroundedSAM2"
 
 def match_by_detection(detections: DataFrame, masks: DataFrame) -> DataFrame:
     """JN-05: each detection with the mask of its index; a bad index gives -1, area 0."""
-    m = masks.select("image_id", F.col("mask_index").alias("found"), "area")
-    d = detections.join(m, (detections.image_id == m.image_id) & (detections.mask_index == m.found), "left").drop(m.image_id)
+    m = masks.select("image_id", "mask_index", F.col("mask_index").alias("found"), "area")
+    d = detections.join(m, ["image_id", "mask_index"], "left")
     return d.select("image_id", "obj_idx", F.coalesce("found", F.lit(-1)).alias("sam2_mask_index"), F.coalesce("area", F.lit(0)).alias("area"))
 
 

@@ -125,8 +125,9 @@ def sigma_clip(px: DataFrame, keys: list[str] = OBJ, cfg: Config = DEFAULT) -> D
     return px.where(F.col("_in") | (F.col("_left") < cfg.min_inliers)).drop("_n", "_s", "_q", "_in", "_left")
 
 
-def metres(mm: Column, places: int = 4) -> Column:
-    return F.bround(mm / 1000.0, places)
+def metres(mm: Column) -> Column:
+    """Metres with 4 decimals, half up; a nudge keeps decimal ties on one side."""
+    return F.floor(mm * 10 + 0.500001) / 10000
 
 
 def depth_stats(px: DataFrame, keys: list[str] = OBJ) -> DataFrame:
@@ -211,29 +212,63 @@ def separation(stats: DataFrame, ring_depth: DataFrame, keys: list[str] = OBJ, c
 
 def region_stats(objects: DataFrame, px: DataFrame, depth: DataFrame, sizes: DataFrame, cfg: Config = DEFAULT, eroded: bool = True) -> DataFrame:
     """AG-02..09 in one chain: a row per object, also for those without a usable pixel,
-    which get zeros, the centre of the grid and a null z."""
+    which get zeros, the centre of the grid and a null z.
+
+    All steps after the gather are windows and aggregates over (image_id, obj_idx), so
+    they share the exchange on that key."""
+    import math
+
+    over = Window.partitionBy(*OBJ)
+    d = F.col("depth_mm")
     mask = erode(px.select(*OBJ, "px", "py"), sizes, cfg) if eroded else px.select(*OBJ, "px", "py")
-    areas = mask.groupBy(*OBJ).agg(F.count(F.lit(1)).alias("num_pixels"))
-    clipped = sigma_clip(gather_depth(mask, depth), OBJ, cfg)
-    stats = depth_stats(clipped)
-    near = with_distance(clipped, weighted_centroid(clipped))
-    mode = histogram_mode(inner_circle(near, areas, OBJ, cfg))
+    seen = gather_depth(mask, depth).withColumn("num_pixels", F.count(F.lit(1)).over(over))
+    w = 1.0 / (d / 1000.0 + 1e-6)
+    c = sigma_clip(seen, OBJ, cfg).withColumns(
+        {k: F.bround(F.sum(F.col(p) * w).over(over) / F.sum(w).over(over), 6) for k, p in (("wx", "px"), ("wy", "py"))}
+    )
+    dx, dy = F.col("px") - F.col("wx"), F.col("py") - F.col("wy")
+    c = c.withColumn("d2", F.bround(dx * dx + dy * dy, 6))
+    inner = F.lit(cfg.central_fraction >= 1) | (F.col("d2") <= F.col("num_pixels") * cfg.central_fraction / math.pi)
+    c = c.withColumn("inner_mm", F.when(inner, d))
+    c = c.withColumns({"z_lo": F.min("inner_mm").over(over), "z_hi": F.max("inner_mm").over(over), "z_pixels": F.count("inner_mm").over(over)})
+    flat = F.col("z_lo") == F.col("z_hi")
+    c = c.withColumns(
+        {
+            "bins": F.greatest(F.lit(10), F.least(F.lit(100), F.expr("z_pixels div 5"))),
+            "z_lo": F.when(flat, F.col("z_lo") - 500).otherwise(F.col("z_lo")),
+            "z_hi": F.when(flat, F.col("z_hi") + 500).otherwise(F.col("z_hi")),
+        }
+    )
+    place = F.least(F.col("bins") - 1, F.expr("(inner_mm - z_lo) * bins div (z_hi - z_lo)"))
+    c = c.withColumn("bin", F.when(F.col("inner_mm").isNotNull(), place))
+    c = c.withColumn("in_bin", F.when(F.col("bin").isNotNull(), F.count(F.lit(1)).over(Window.partitionBy(*OBJ, "bin"))))
+    peak = F.max(F.struct("in_bin", -F.col("bin")))
+    stats = c.groupBy(*OBJ).agg(
+        F.min(d).alias("lo"), F.max(d).alias("hi"), F.sum(d).alias("s"), F.sum(d * d).alias("q"), F.count(F.lit(1)).alias("n"), F.percentile(d, F.lit(0.5)).alias("med"),
+        F.min(F.struct("d2", "py", "px")).alias("near"), peak.alias("peak"), F.max("num_pixels").alias("num_pixels"),
+        F.max("z_lo").alias("z_lo"), F.max("z_hi").alias("z_hi"), F.max("bins").alias("bins"), F.max("z_pixels").alias("z_pixels"),
+    )
+    stats = stats.withColumn("mean_mm", F.col("s") / F.col("n"))
     ring = separation(stats, gather_depth(border_ring(mask, sizes), depth), OBJ, cfg)
-    out = objects.select(*OBJ).join(sizes, "image_id").join(areas, OBJ, "left")
-    for part in (stats, snap_centroid(near), mode, ring):
-        out = out.join(part, OBJ, "left")
-    some = F.col("n_clipped").isNotNull()
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
+    out = objects.select(*OBJ).join(sizes, "image_id").join(stats, OBJ, "left").join(ring, OBJ, "left")
+    some, var = F.col("n").isNotNull(), (F.col("n") * F.col("q") - F.col("s") * F.col("s")).cast("double")
+    b = -F.col("peak.col2")
+    mode = F.col("z_lo") + (2 * b + 1) * (F.col("z_hi") - F.col("z_lo")) / (2.0 * F.col("bins"))
+    zero = lambda c, name: F.coalesce(c, F.lit(0.0)).alias(name)
     return out.select(
         *OBJ,
-        *[zero(c) for c in ("d_min", "d_max", "d_mean", "d_median", "d_std")],
+        zero(metres(F.col("lo")), "d_min"),
+        zero(metres(F.col("hi")), "d_max"),
+        zero(metres(F.col("mean_mm")), "d_mean"),
+        zero(metres(F.col("med")), "d_median"),
+        zero(metres(F.sqrt(var) / F.col("n")), "d_std"),
         F.when(some, F.col("num_pixels")).otherwise(0).cast("long").alias("num_pixels"),
-        F.when(some, metres(F.coalesce("z_mm", F.col("d_median") * 1000))).alias("z_val"),
-        F.when(some, F.coalesce("z_pixels", "n_clipped")).otherwise(0).cast("long").alias("z_val_pixels"),
+        F.when(some, metres(F.coalesce(mode, "med"))).alias("z_val"),
+        F.when(some, F.when(F.col("z_pixels") > 0, F.col("z_pixels")).otherwise(F.col("n"))).otherwise(0).cast("long").alias("z_val_pixels"),
         F.coalesce("transparent", F.lit(False)).alias("transparent"),
         F.coalesce("separation", F.lit(0.0)).alias("separation"),
-        F.coalesce("u", F.expr("gw div 2")).cast("long").alias("u"),
-        F.coalesce("v", F.expr("gh div 2")).cast("long").alias("v"),
+        F.coalesce("near.px", F.expr("gw div 2")).cast("long").alias("u"),
+        F.coalesce("near.py", F.expr("gh div 2")).cast("long").alias("v"),
     )
 
 

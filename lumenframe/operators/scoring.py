@@ -26,7 +26,7 @@ def score_batches(df: DataFrame, make_predict: Callable[[], Callable[[pa.RecordB
     return df.mapInArrow(run, schema)
 
 
-def linear_scorer(column: str, weights: list[float], places: int = 6) -> Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]:
+def linear_scorer(column: str, weights: list[float], places: int = 12) -> Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]:
     """A weighted sum of a vector column, rounded."""
 
     def make():

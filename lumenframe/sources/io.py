@@ -52,8 +52,11 @@ def images_without_grid(frames: DataFrame, grids: DataFrame) -> DataFrame:
 def read_detector_runs(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame]:
     """IO-04, IO-15: (detections, rejected) of files {model}/{stem}_{model}.json, each an
     array of detections; a file that is no such array is rejected as a whole."""
-    path = F.col("_metadata.file_path")
-    text = spark.read.text(glob, wholetext=True).select(path.alias("path"), "value")
+    return detector_rows(spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def detector_rows(text: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same from whole files as rows (path, value)."""
     parts = text.withColumns({"model": F.regexp_extract("path", r"([^/]+)/[^/]+$", 1), "name": F.regexp_extract("path", r"([^/]+)$", 1)})
     parts = parts.withColumn("image_stem", F.expr("substr(name, 1, length(name) - length(model) - 6)"))
     read = parts.withColumn("dets", F.from_json("value", f"array<struct<{_typed(DETECTION)}>>"))
@@ -65,7 +68,11 @@ def read_detector_runs(spark: SparkSession, glob: str) -> tuple[DataFrame, DataF
 def read_scenes(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame]:
     """IO-05, SC-14: (objects, rejected) of scene documents.  An object belongs to the
     first key of its sources; from_json keeps the order of a document's keys."""
-    text = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return scene_rows(spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def scene_rows(text: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same from whole files as rows (path, value)."""
     read = text.withColumn("doc", F.from_json("value", f"struct<metadata:{METADATA},objects:array<{OBJECT}>>"))
     bad = F.col("doc").isNull() | F.col("doc.objects").isNull()
     stem = F.regexp_extract("path", r"([^/]+)\.[^.]+$", 1)
