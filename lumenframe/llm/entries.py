@@ -78,7 +78,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mosaics of all embeddings and edited copies of every fiftieth; those are queries."""
+    """Textures of all embeddings and edited copies of every fiftieth; those are queries."""
     every_fiftieth = F.col("vec_id") % 50 == 0
     images = media.images_of(table(spark, sf_dir, "embeddings"), every_fiftieth)
     return media.find_copies(images, (F.col("edit") == "none") & (F.col("image_id") % 50 == 0))
