@@ -56,9 +56,11 @@ def encode_text(enc, text: str | None) -> np.ndarray:
 
 
 def _mapped(df: DataFrame, col: str, out: str, kind: T.DataType, make):
-    """df with column out, made from column col by the function that make() returns."""
-    if out in df.columns:
-        raise ValueError(f"column {out} exists")
+    """df with column out, made from column col by the function that make() returns.
+    A column of that name is replaced."""
+    df = df.select(*[c for c in df.columns if c.lower() != out.lower() or c == col])
+    if out.lower() == col.lower():
+        raise ValueError("the new column needs a name of its own")
     schema = T.StructType([*df.schema.fields, T.StructField(out, kind)])
     arrow = pa.binary() if isinstance(kind, T.BinaryType) else pa.string()
     at = df.columns.index(col)

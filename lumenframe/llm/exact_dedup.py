@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blanks_removed, scratch_table, text_of
+from .common import blanks_removed, fresh, scratch_table, text_of
 
 
 def frequent_digests(rows: DataFrame, heavy: int, tracked: int, fan_in: int = 64) -> DataFrame:
@@ -77,8 +77,9 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
 def drop_exact_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs without the rows that exact_groups drops; all columns stay."""
-    dropped = exact_groups(docs, text_col, id_col).where("not kept").select(F.col(id_col).alias("_dropped_id"))
-    return docs.join(dropped, docs[id_col].eqNullSafe(F.col("_dropped_id")), "left_anti")
+    gone = fresh(docs, "_dropped_id")
+    dropped = exact_groups(docs, text_col, id_col).where("not kept").select(F.col(id_col).alias(gone)).distinct()
+    return docs.join(dropped, F.col(id_col).eqNullSafe(F.col(gone)), "left_anti")
 
 
 SQL = r"""

@@ -83,7 +83,7 @@ def pack(docs: DataFrame, size: Column, source: Column, cluster: Column, id_col:
     groups = max(1, -(-slim.count() // group))
     dealt = slim.withColumn("group", F.pmod(F.xxhash64("id", "size", "cluster"), F.lit(groups)))
 
-    def pack_group(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         null = lambda x: None if pd.isna(x) else x
         rows = [(null(i), int(s), null(src), null(c)) for i, s, src, c in pdf[["id", "size", "source", "cluster"]].astype(object).itertuples(index=False)]
         rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2] or "", r[3] or ""))

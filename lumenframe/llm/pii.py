@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 ROUNDS = 6
 
 #: What is looked for, in order of precedence.
@@ -198,9 +200,12 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_cols:
     """docs with its texts pseudonymised; all other columns stay as they are.
 
     Null text stays null.  Values that fail validation stay as they are.  With
-    count_cols, columns n_<kind> tell how many values of each kind were replaced.
+    count_cols, columns n_<kind> tell how many values of each kind were replaced;
+    columns of those names are replaced.
     """
-    text = F.col(text_col)
+    if count_cols:
+        docs = docs.select(*[c for c in docs.columns if c.lower() not in {f"n_{k}" for k in PATTERNS} or c == text_col])
+    text, found_col, new_col = F.col(text_col), fresh(docs, "_found"), fresh(docs, "_new")
 
     def told(m: Column) -> Column:
         out = kind = None
@@ -212,15 +217,15 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_cols:
         return F.struct(kind.alias("kind"), m.alias("old"), out.alias("new"))
 
     found = F.when(text.rlike(HINT) & text.rlike(ANY), F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), told))
-    marked = docs.withColumn("_found", found)
+    marked = docs.withColumn(found_col, found)
     pieces = F.split(text, ANY, -1)
-    filled = F.zip_with(pieces, F.col("_found"), lambda p, m: F.concat(p, F.coalesce(m["new"], m["old"], F.lit(""))))
-    out = marked.withColumn("_text", F.when(F.col("_found").isNotNull(), F.array_join(filled, "")).otherwise(text))
+    filled = F.zip_with(pieces, F.col(found_col), lambda p, m: F.concat(p, F.coalesce(m["new"], m["old"], F.lit(""))))
+    out = marked.withColumn(new_col, F.when(F.col(found_col).isNotNull(), F.array_join(filled, "")).otherwise(text))
 
     def count_of(kind: str) -> Column:
-        replaced = F.filter("_found", lambda m: (m["kind"] == kind) & m["new"].isNotNull())
-        return F.when(F.col("_found").isNull(), 0).otherwise(F.size(replaced)).cast("long").alias(f"n_{kind}")
+        replaced = F.filter(found_col, lambda m: (m["kind"] == kind) & m["new"].isNotNull())
+        return F.when(F.col(found_col).isNull(), 0).otherwise(F.size(replaced)).cast("long").alias(f"n_{kind}")
 
     counts = [count_of(k) for k in PATTERNS]
-    kept = [F.col("_text").alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    kept = [F.col(new_col).alias(c) if c == text_col else F.col(c) for c in docs.columns]
     return out.select(*kept, *(counts if count_cols else []))

@@ -9,15 +9,16 @@ penalises the difference of the two scores, so that a mention itself does not co
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import fold
-from .shingles import mix
+from .common import fold, fresh
 
 #: Terms that name groups; each row is one slot whose terms are swapped.
 IDENTITY_TERMS = (
@@ -36,12 +37,13 @@ IDENTITY_TERMS = (
 _SLOT = {w: row for row in IDENTITY_TERMS for w in row}
 
 BITS = 22
+MASK = (1 << BITS) - 1
 PREFIXES = (3, 4, 5, 6, 7)
 #: At most about this many labelled texts of each class are learnt from.
 MAX_PER_CLASS = 6_000
 #: Features kept: those that differ most between the classes.
 MAX_FEATURES = 4_096
-L2, COUNTERFACTUAL, STEPS, RATE = 2e-4, 1.0, 300, 0.3
+L2, COUNTERFACTUAL, STEPS, RATE = 2e-4, 5.0, 300, 0.3
 THRESHOLD = 0.3
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -51,32 +53,14 @@ def words_of(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
-def _hash(words: list[str]) -> np.ndarray:
-    out = np.empty(len(words), np.uint64)
-    for i, w in enumerate(words):
-        h = 0xCBF29CE484222325
-        for b in w.encode("utf-8", "surrogatepass"):
-            h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-        out[i] = h
-    return (mix(out) >> np.uint64(64 - BITS)).astype(np.int64)
-
-
-_CACHE: dict[str, np.ndarray] = {}
-
-
-def _features_of_word(word: str) -> np.ndarray:
-    got = _CACHE.get(word)
-    if got is None:
-        if len(_CACHE) > 200_000:
-            _CACHE.clear()
-        got = _CACHE[word] = _hash([word + "$", *(word[:k] for k in PREFIXES if len(word) >= k)])
-    return got
+def _features_of_word(word: str) -> list[int]:
+    """Hashed ids of the word and its prefixes."""
+    made = [word + "$", *(word[:k] for k in PREFIXES if len(word) >= k)]
+    return [(zlib.crc32(x.encode("utf-8", "surrogatepass")) * 0x9E3779B97F4A7C15 >> 40) & MASK for x in made]
 
 
 def features(words: set[str]) -> np.ndarray:
-    if not words:
-        return np.empty(0, np.int64)
-    return np.unique(np.concatenate([_features_of_word(w) for w in words]))
+    return np.array(sorted({f for w in words for f in _features_of_word(w)}), np.int32)
 
 
 def swapped(words: set[str]) -> set[str] | None:
@@ -91,40 +75,53 @@ class Model:
 
     def __init__(self, ids: np.ndarray, weights: np.ndarray, bias: float):
         self.ids, self.weights, self.bias = ids, weights, bias
-        self.table = np.zeros(1 << BITS, np.float32)
-        self.table[ids] = weights
+        self.of = dict(zip(ids.tolist(), weights.tolist(), strict=True))
+        self.known: dict[str, list[int]] = {}  # of a word, the features that count
 
     def __reduce__(self):
         return Model, (self.ids, self.weights, self.bias)
 
     def score(self, text: str | None) -> float:
-        z = self.bias + float(self.table[features(words_of(text))].sum())
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        known, found = self.known, set()
+        if len(known) > 300_000:
+            known.clear()
+        for w in words_of(text):
+            at = known.get(w)
+            if at is None:
+                at = known[w] = [f for f in _features_of_word(w) if f in self.of]
+            if at:
+                found.update(at)
+        z = self.bias + sum(self.of[f] for f in sorted(found))
+        return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
 
 
 def _sparse(rows: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and column numbers of the kept features."""
-    at = np.concatenate(rows) if rows else np.empty(0, np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    if not len(ids):
-        return row[:0], at[:0]
-    col = np.minimum(np.searchsorted(ids, at), len(ids) - 1)
-    ok = ids[col] == at
-    return row[ok], col[ok]
+    found_r, found_c = [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+    for i, at in enumerate(rows):
+        if len(ids) and len(at):
+            col = np.minimum(np.searchsorted(ids, at), len(ids) - 1)
+            ok = col[ids[col] == at]
+            found_c.append(ok.astype(np.int32))
+            found_r.append(np.full(len(ok), i, np.int32))
+    return np.concatenate(found_r), np.concatenate(found_c)
 
 
 def train(rows: list[np.ndarray], labels: np.ndarray, twins: dict[int, np.ndarray], weights: np.ndarray) -> Model:
     """rows: feature ids of each text; twins: those of the swapped text, by row."""
     if not len(rows) or labels.min() == labels.max():
         p = (weights @ labels + 0.5) / (weights.sum() + 1) if len(rows) else 0.0
-        return Model(np.empty(0, np.int64), np.empty(0), float(np.log(p / (1 - p)) if 0 < p < 1 else -5.0))
-    df = [np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y == k]), minlength=1 << BITS) for k in (0, 1)]
-    n = [(labels == k).sum() for k in (0, 1)]
-    share = (df[0] + df[1]) / (n[0] + n[1])
-    gap = (df[1] / n[1] - df[0] / n[0]) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n[0] + 1 / n[1]))
-    gap[(df[0] + df[1]) < 3] = 0
-    ids = np.sort(np.argpartition(-np.abs(gap), MAX_FEATURES)[:MAX_FEATURES])
-    ids = ids[np.abs(gap[ids]) > 3]
+        return Model(np.empty(0, np.int32), np.empty(0), float(np.log(p / (1 - p)) if 0 < p < 1 else -5.0))
+    df = [np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)]
+    for r, k in zip(rows, labels, strict=True):
+        df[int(k)][r] += 1  # ids of a row are distinct
+    n = [int((labels == k).sum()) for k in (0, 1)]
+    seen = np.flatnonzero(df[0] + df[1] >= 3)
+    d0, d1 = df[0][seen], df[1][seen]
+    share = (d0 + d1) / (n[0] + n[1])
+    gap = np.abs(d1 / n[1] - d0 / n[0]) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n[0] + 1 / n[1]))
+    best = np.argsort(-gap, kind="stable")[:MAX_FEATURES]
+    ids = np.sort(seen[best[gap[best] > 3]]).astype(np.int32)
     row, col = _sparse(rows, ids)
     of_twin = sorted(twins)
     trow, tcol = _sparse([twins[i] for i in of_twin], ids)
@@ -158,7 +155,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twins = [swapped(w) for w in words]
         f = [features(w) for w in words]
         t = [None if w is None else features(w) for w in twins]
-        kind = pa.list_(pa.int64())
+        kind = pa.list_(pa.int32())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f, kind), pa.array(t, kind)], names=["label", "f", "twin"])
 
 
@@ -176,9 +173,9 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     sample = known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < limit)
     # about 2 * max_per_class rows, a stated bound
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
-    got = texts.select("label", "_text").mapInArrow(_extract, "label int, f array<bigint>, twin array<bigint>").toArrow()
+    got = texts.select("label", "_text").mapInArrow(_extract, "label int, f array<int>, twin array<int>").toArrow()
     y = got["label"].to_numpy()
-    flat = lambda col: [None if x is None else np.asarray(x, np.int64) for x in (v.values.to_numpy() if v.is_valid else None for v in got[col])]
+    flat = lambda col: [None if x is None else np.asarray(x, np.int32) for x in (v.values.to_numpy() if v.is_valid else None for v in got[col])]
     rows, twins = flat("f"), flat("twin")
     drawn = {k: max(1, int((y == k).sum())) for k in (0, 1)}
     weights = np.array([sizes.get(int(k), 0) / drawn[int(k)] for k in y], float)
@@ -186,9 +183,9 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
-    """docs with a column of scores, 0 to 1; null and empty texts get the intercept's."""
-    from pyspark.sql import types as T
-
+    """docs with a column of scores, 0 to 1; null and empty texts get the intercept's.
+    A column of that name is replaced; all others stay."""
+    docs = docs.select(*[c for c in docs.columns if c.lower() != out.lower() or c == text_col])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -203,4 +200,5 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that score at or above the threshold; all columns stay."""
-    return score(docs, model, text_col, "_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    mark = fresh(docs, "_toxicity")
+    return score(docs, model, text_col, mark).where(F.col(mark) < threshold).drop(mark)
