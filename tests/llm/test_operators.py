@@ -357,7 +357,7 @@ def test_media_finds_copies(spark):
 def test_descriptors_survive_crop_tone_and_turn():
     rng = np.random.default_rng(1)
     a = media.render(rng.normal(size=64).astype(np.float32)).astype(np.float32)
-    words_of = lambda img: {d[4:] for d in media.describe_image(img)}
+    words_of = lambda img: {d[5:] for d in media.describe_image(img)}
     assert len(words_of(a) & words_of(a * 0.7 + 30)) > 0.8 * len(words_of(a))
     assert len(words_of(a) & words_of(a[9:-15, 14:-6])) >= 5
     assert media.describe_image(np.zeros((8, 8), np.float32)) == [] == media.describe_image(np.full((96, 96), 7, np.float32))
