@@ -116,9 +116,9 @@ def ag03_sigma_clip(spark, d):
     return clipped(spark, d).groupBy(*OBJ).agg(F.count(F.lit(1)).alias("n"), F.sum("depth_mm").alias("total"))
 
 
-@query("SELECT DISTINCT image_id, obj_idx, round(wx, 4) AS wx, round(wy, 4) AS wy FROM near")
+@query("SELECT DISTINCT image_id, obj_idx, wx, wy FROM near")
 def ag04_weighted_centroid(spark, d):
-    return Q.weighted_centroid(clipped(spark, d)).select(*OBJ, F.round("wx", 4).alias("wx"), F.round("wy", 4).alias("wy"))
+    return Q.weighted_centroid(clipped(spark, d))
 
 
 @query("SELECT image_id, obj_idx, u, v FROM snapped")
