@@ -84,3 +84,22 @@ def read_back(chats: DataFrame) -> DataFrame:
 
     learnt = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"], s["length"])))
     return chats.select("*", F.flatten(F.transform(blocks, turns_of)).alias("turns"), F.array_join(learnt, "").alias("loss_text"))
+
+
+SQL = r"""
+WITH given AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+clean AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM given),
+t AS (
+  SELECT *, lag(role) OVER w AS before,
+    length(regexp_replace(regexp_replace(replace(text, '%', '%25'), '<(\||s>|/s>|<SYS>>|</SYS>>|INST\]|/INST\])', '%3C\1', 'g'), '\[(\||s>|/s>|<SYS>>|</SYS>>|INST\]|/INST\])', '%5B\1', 'g')) AS body,
+    length(replace(replace(replace(role, '%', '%25'), '|', '%7C'), '<', '%3C')) + 4 AS header
+  FROM clean WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (sum(body + CASE WHEN before IS NULL THEN header WHEN before = role THEN 8 ELSE 8 + header END) + 8)::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""

@@ -89,4 +89,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_minhash, op2_bpe, op3_packing, op4_exact_dedup, op5_langid, op6_pii, op7_toxicity, op8_chat_format, op9_media, op10_sharding)}
-SQL = {"op4_exact_dedup": exact_dedup.SQL}
+SQL = {"op1_minhash": minhash.SQL, "op4_exact_dedup": exact_dedup.SQL, "op8_chat_format": chat.SQL}
