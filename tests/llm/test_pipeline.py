@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
+import numpy as np
+
 import corpus_pipeline
 from lumenframe.llm import exact_dedup, minhash, toxicity
 from lumenframe.llm.common import table
+from lumenframe.llm.shingles import shingle_set
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -33,3 +38,36 @@ def test_stages_work_on_what_is_kept(spark):
         whole[r.doc_id] = whole.get(r.doc_id, "") + r.text
     fourth = corpus_pipeline.pii_stage(spark, third, SMALL)
     assert whole == {r.doc_id: r.text or "" for r in fourth.select("doc_id", "text").collect()}
+
+
+def _brute_components(texts: dict[int, str], percent: int) -> dict[int, int]:
+    """Smallest id reachable by pairs of the given Jaccard similarity of five-word shingles."""
+    sets = {i: set(shingle_set(t).tolist()) for i, t in texts.items()}
+    smallest = {i: i for i in texts}
+
+    def find(i: int) -> int:
+        while smallest[i] != i:
+            i = smallest[i]
+        return i
+
+    for i, j in combinations(sorted(texts), 2):
+        common = len(sets[i] & sets[j])
+        if common and 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+            a, b = sorted((find(i), find(j)))
+            smallest[b] = a
+    return {i: find(i) for i in texts}
+
+
+def test_near_stage_takes_pairs_of_080(spark):
+    rng = np.random.default_rng(5)
+    texts = {}
+    for k in range(120):  # pairs between 0.76 and 0.90: one run of words differs
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
+        other = list(words)
+        run = 20 + k // 3
+        other[100 : 100 + run] = [f"v{x}" for x in rng.integers(0, 10**6, run)]
+        texts[2 * k], texts[2 * k + 1] = " ".join(words), " ".join(other)
+    want = {i for i, c in _brute_components(texts, 80).items() if i == c}
+    assert want != {i for i, c in _brute_components(texts, 85).items() if i == c}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, SMALL).collect()} == want
