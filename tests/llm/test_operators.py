@@ -87,6 +87,24 @@ def test_minhash_without_ids_and_rows(spark, docs, empty):
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
 
 
+def test_minhash_finds_pairs_inside_boilerplate(spark):
+    rng = np.random.default_rng(3)
+
+    def fresh_words(k):
+        return [f"w{x}" for x in rng.integers(0, 10**9, k)]
+
+    boilerplate, texts = fresh_words(370), []
+    for _ in range(100):  # pairs at 0.865 among texts at 0.843
+        common = fresh_words(5)
+        texts += [" ".join(boilerplate + common + fresh_words(29)) for _ in range(2)]
+    texts += [" ".join(boilerplate + fresh_words(34)) for _ in range(400)]
+    sets = [shingles(t) for t in texts]
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * (n := len(sets[i] & sets[j])) >= 85 * (len(sets[i]) + len(sets[j]) - n)]
+    assert linked == [(i + 1, i) for i in range(0, 200, 2)]
+    got = minhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: i - i % 2 if i < 200 else i for i in range(600)}
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7)]
     got = {r.node: r.component for r in minhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
