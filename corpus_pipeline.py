@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm import exact_dedup, minhash, packing, pii, toxicity
-from lumenframe.llm.common import blanks_removed, scratch_table, table, text_of
+from lumenframe.llm.common import blanks_removed, fresh, scratch_table, table, text_of
 from lumenframe.llm.entries import PSEUDONYM_KEY
 
 #: Near copies share this percentage of their shingles; at 0.80 two sketches differ in
@@ -17,6 +17,22 @@ from lumenframe.llm.entries import PSEUDONYM_KEY
 NEAR_PERCENT, NEAR_MISSES = 80, 23
 
 
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column that is different in every row, and its name: the id itself, or
+    where that is null or repeated, a number beyond all ids.  Such numbers are written
+    down, so that they are the same whenever they are read."""
+    key = fresh(docs, "row_key")
+    id_ = F.col("doc_id").cast("long")
+    odd = scratch_table(docs.groupBy(id_.alias("odd_id")).count().where("count > 1 or odd_id is null").select("odd_id"), "odd_ids")
+    if odd.isEmpty():
+        return docs.withColumn(key, id_), key
+    odd = odd.withColumnRenamed("odd_id", fresh(docs, "odd_id"))
+    same = id_.eqNullSafe(F.col(odd.columns[0]))
+    above = docs.agg(F.coalesce(F.max(id_), F.lit(-1)) + 1).first()[0]
+    keyed = docs.join(odd, same, "left_semi").withColumn(key, F.lit(above).cast("long") + F.monotonically_increasing_id())
+    return docs.join(odd, same, "left_anti").withColumn(key, id_).unionByName(scratch_table(keyed, "odd_rows")), key
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The classifier learns from the labels table; documents that it rejects go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -28,7 +44,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.drop_near_copies(docs, percent=NEAR_PERCENT, misses=NEAR_MISSES)
+    """Rows that repeat an id or have none are decided one by one."""
+    rows, key = with_row_key(docs)
+    return minhash.drop_near_copies(rows, id_col=key, percent=NEAR_PERCENT, misses=NEAR_MISSES).drop(key)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +58,12 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece: where it lies in which bin, and its text."""
+    rows, key = with_row_key(docs)
     text = text_of("text")
-    placed = packing.pack(docs, F.char_length(text), F.col("source"), F.xxhash64(blanks_removed(text)))
-    texts = docs.select("doc_id", text.alias("text"))
-    return placed.join(texts, "doc_id").select(*placed.columns, F.substring("text", F.col("start").cast("int") + 1, F.col("size").cast("int")).alias("text"))
+    placed = packing.pack(rows, F.char_length(text), F.col("source"), F.xxhash64(blanks_removed(text)), id_col=key)
+    texts = rows.select(key, F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    piece = F.substring("text", F.col("start").cast("int") + 1, F.col("size").cast("int")).alias("text")
+    return placed.join(texts, key).select("doc_id", *placed.drop(key).columns, piece)
 
 
 STAGES = [

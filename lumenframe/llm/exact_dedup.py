@@ -76,10 +76,12 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
 
 def drop_exact_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows that exact_groups drops; all columns stay."""
-    gone = fresh(docs, "_dropped_id")
-    dropped = exact_groups(docs, text_col, id_col).where("not kept").select(F.col(id_col).alias(gone)).distinct()
-    return docs.join(dropped, F.col(id_col).eqNullSafe(F.col(gone)), "left_anti")
+    """docs without the rows that exact_groups drops; all columns stay.  Rows that share
+    an id (or have none) are told apart by their texts."""
+    gone, digest = fresh(docs, "_dropped_id"), fresh(docs, "_dropped_sha256")
+    dropped = exact_groups(docs, text_col, id_col).where("not kept").select(F.col(id_col).alias(gone), F.col("text_sha256").alias(digest)).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(gone)) & (F.sha2(blanks_removed(text_of(text_col)), 256) == F.col(digest))
+    return docs.join(dropped, same, "left_anti")
 
 
 SQL = r"""
