@@ -1,7 +1,9 @@
 """A corpus pipeline: toxic documents go, then exact and near copies, personal data is
 pseudonymised, and what is left is packed into bins of equal capacity.
 
-Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept."""
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept.
+Rows with null or repeated ids are documents like others; extra columns stay in all but
+the last stage; an empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -9,61 +11,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm import exact_dedup, minhash, packing, pii, toxicity
-from lumenframe.llm.common import blanks_removed, fresh, scratch_table, table, text_of
-from lumenframe.llm.entries import PSEUDONYM_KEY
+from lumenframe.llm.common import blanks_removed, scratch_table, table, text_of, with_row_key
+from lumenframe.llm.entries import pseudonym_key
 
 #: Near copies share this percentage of their shingles; at 0.80 two sketches differ in
 #: 9.6 of 64 positions on average, with a deviation of 2.9.
 NEAR_PERCENT, NEAR_MISSES = 80, 23
 
 
-def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a column that is different in every row, and its name: the id itself, or
-    where that is null or repeated, a number beyond all ids.  Such numbers are written
-    down, so that they are the same whenever they are read."""
-    key = fresh(docs, "row_key")
-    id_ = F.col("doc_id").cast("long")
-    odd = scratch_table(docs.groupBy(id_.alias("odd_id")).count().where("count > 1 or odd_id is null").select("odd_id"), "odd_ids")
-    if odd.isEmpty():
-        return docs.withColumn(key, id_), key
-    odd = odd.withColumnRenamed("odd_id", fresh(docs, "odd_id"))
-    same = id_.eqNullSafe(F.col(odd.columns[0]))
-    above = docs.agg(F.coalesce(F.max(id_), F.lit(-1)) + 1).first()[0]
-    keyed = docs.join(odd, same, "left_semi").withColumn(key, F.lit(above).cast("long") + F.monotonically_increasing_id())
-    return docs.join(odd, same, "left_anti").withColumn(key, id_).unionByName(scratch_table(keyed, "odd_rows")), key
-
-
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The classifier learns from the labels table; documents that it rejects go."""
+    """The classifier learns from the labels table; documents that it rejects go.  Null
+    and empty texts get the model's base rate, which is below the threshold where toxic
+    texts are few."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs, model)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for white space, the longest stays, then the one with
+    the smallest id; of equal rows one.  Null, empty and blank texts are one group."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that repeat an id or have none are decided one by one."""
-    rows, key = with_row_key(docs)
-    return minhash.drop_near_copies(rows, id_col=key, percent=NEAR_PERCENT, misses=NEAR_MISSES).drop(key)
+    """One document of each group of near copies stays.  Rows that repeat an id or have
+    none are decided one by one; texts without words stay."""
+    return minhash.drop_near_copies(docs, percent=NEAR_PERCENT, misses=NEAR_MISSES)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """n_chars follows the new text."""
-    out = pii.pseudonymise(docs, PSEUDONYM_KEY)
-    changed = F.when(F.col("n_chars").isNotNull(), F.char_length("text").cast("long"))
-    return out.withColumn("n_chars", F.coalesce(changed, F.col("n_chars")))
+    """Personal data becomes pseudonyms; n_chars, where it is not null, follows the new
+    text.  Null texts stay null."""
+    out = pii.pseudonymise(docs, pseudonym_key(spark))
+    if "n_chars" not in docs.columns:
+        return out
+    kind = docs.schema["n_chars"].dataType
+    return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.coalesce(F.char_length("text").cast(kind), F.col("n_chars"))))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece: where it lies in which bin, and its text."""
+    """One row per piece: where it lies in which bin, and its text.  A null text is an
+    empty piece; a table without sources has no conflicts of sources."""
     rows, key = with_row_key(docs)
     text = text_of("text")
-    placed = packing.pack(rows, F.char_length(text), F.col("source"), F.xxhash64(blanks_removed(text)), id_col=key)
-    texts = rows.select(key, F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    piece = F.substring("text", F.col("start").cast("int") + 1, F.col("size").cast("int")).alias("text")
-    return placed.join(texts, key).select("doc_id", *placed.drop(key).columns, piece)
+    source = F.col("source") if "source" in docs.columns else F.lit(None)
+    placed = packing.pack_keyed(rows, key, F.char_length(text), source, F.xxhash64(blanks_removed(text)), [key, "doc_id"])
+    last = F.greatest(F.ceil(F.char_length(text) / packing.CAPACITY) - 1, F.lit(0)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), last), lambda k: F.substring(text, k * packing.CAPACITY + 1, F.lit(packing.CAPACITY)))
+    pieces = rows.select(key, F.posexplode(cut).alias("piece", "text"))
+    return placed.join(pieces.withColumn("piece", F.col("piece").cast("long")), [key, "piece"]).select("doc_id", *placed.drop(key, "doc_id").columns, "text")
 
 
 STAGES = [
@@ -79,6 +75,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other over `documents`."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = scratch_table(stage(spark, docs, sf_dir), name)

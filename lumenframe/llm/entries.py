@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, exact_dedup, langid, media, minhash, packing, pii, sharding, toxicity
 from .common import blanks_removed, fold, table, text_of
 
-#: The key of the pseudonyms; a deployment passes its own.
-PSEUDONYM_KEY = "lumenframe-demo-key"
+#: The setting that names a text file with the key of the pseudonyms on its first line.
+#: The key then stands in no setting, plan or event log.  Without it, a key for tests.
+KEY_FILE, TEST_KEY = "spark.lumenframe.pseudonymKeyFile", "lumenframe-demo-key"
+
+
+def pseudonym_key(spark: SparkSession) -> str | Column:
+    path = spark.conf.get(KEY_FILE, None)
+    return spark.read.text(path, wholetext=True).select(F.substring_index("value", "\n", 1)).scalar() if path else TEST_KEY
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +61,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs, PSEUDONYM_KEY, count_cols=True)
+    return pii.pseudonymise(docs, pseudonym_key(spark), count_cols=True)
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,12 +76,23 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
 
 def drop_exact_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows that exact_groups drops; all columns stay.  Rows that share
-    an id (or have none) are told apart by their texts."""
-    gone, digest = fresh(docs, "_dropped_id"), fresh(docs, "_dropped_sha256")
-    dropped = exact_groups(docs, text_col, id_col).where("not kept").select(F.col(id_col).alias(gone), F.col("text_sha256").alias(digest)).distinct()
-    same = F.col(id_col).eqNullSafe(F.col(gone)) & (F.sha2(blanks_removed(text_of(text_col)), 256) == F.col(digest))
-    return docs.join(dropped, same, "left_anti")
+    """docs with one row of each group of equal texts; all columns stay.
+
+    The row that exact_groups keeps stays.  Rows that share an id (or have none) are told
+    apart by their texts; of rows equal in both, one of the longest stays."""
+    text, here = text_of(text_col), [fresh(docs, "_id"), fresh(docs, "_sha256")]
+    groups = scratch_table(exact_groups(docs, text_col, id_col).select(F.col(id_col).alias(here[0]), F.col("text_sha256").alias(here[1]), "kept"), "groups")
+    same = F.col(id_col).eqNullSafe(F.col(here[0])) & (F.sha2(blanks_removed(text), 256) == F.col(here[1]))
+    left = docs.join(groups.where("not kept").drop("kept").distinct(), same, "left_anti")
+    twins = scratch_table(groups.where("kept").groupBy(*here).count().where("count > 1").select(*here), "twins")
+    if twins.isEmpty():
+        return left
+    number, best = fresh(docs, "_number"), fresh(docs, "_best")
+    numbered = scratch_table(left.join(twins, same, "left_semi").withColumn(number, F.monotonically_increasing_id()), "numbered")
+    order = F.struct(-F.char_length(text), F.col(number))
+    first = numbered.groupBy(F.col(id_col), F.sha2(blanks_removed(text), 256)).agg(F.min_by(number, order).alias(best)).select(best)
+    one = numbered.join(first, F.col(number) == F.col(best), "left_semi").drop(number)
+    return left.join(twins, same, "left_anti").unionByName(one)
 
 
 SQL = r"""

@@ -12,10 +12,12 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_row_key
+
 CAPACITY = 8_192
 GROUP = 4_096
 
@@ -70,39 +72,47 @@ def pack_rows(rows: list[tuple], capacity: int) -> list[tuple]:
     return out
 
 
-def pack(docs: DataFrame, size: Column, source: Column, cluster: Column, id_col: str = "doc_id", capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """Per piece: id, piece, start, size, bin_id, bin_at, bin_free (room left in the end).
+_PLACED = "piece long, start long, size long, bin_id long, bin_at long, bin_free long"
 
-    A null source or cluster conflicts with nothing; a null size counts as 0.  Equal
-    rows are packed as separate documents.  Ties in size follow the id (nulls first).
-    No document is dropped; an empty table gives an empty result.
-    """
+
+def pack_keyed(docs: DataFrame, key: str, size: Column, source: Column, cluster: Column, keep: list[str], capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
+    """Per piece: the columns `keep` of its row, piece, start, size, bin_id, bin_at,
+    bin_free (room left in the end).  key is a column of integers that differ in every
+    row; ties in size follow it."""
+    names = [f"_kept{i}" for i in range(len(keep))]
     slim = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"), source.cast("string").alias("source"), cluster.cast("string").alias("cluster")
-    )
-    groups = max(1, -(-slim.count() // group))
-    dealt = slim.withColumn("group", F.pmod(F.xxhash64("id", "size", "cluster"), F.lit(groups)))
-
-    def pack_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        null = lambda x: None if pd.isna(x) else x
-        rows = [(null(i), int(s), null(src), null(c)) for i, s, src, c in pdf[["id", "size", "source", "cluster"]].astype(object).itertuples(index=False)]
-        rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2] or "", r[3] or ""))
+        F.col(key).cast("long").alias("_key"), F.coalesce(size.cast("long"), F.lit(0)).alias("_size"), source.cast("string").alias("_source"), cluster.cast("string").alias("_cluster"),
+        *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)],
+    )
+    groups = max(1, -(-docs.count() // group))
+    dealt = slim.withColumn("_group", F.pmod(F.xxhash64("_key"), F.lit(groups)))
+
+    def pack_group(number: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by("_key").combine_chunks()
+        rows = list(zip(*(t[c].to_pylist() for c in ("_key", "_size", "_source", "_cluster")), strict=True))
         placed = pack_rows(rows, capacity)
         used: dict[int, int] = {}
         for p in placed:
             used[p[4]] = used.get(p[4], 0) + p[3]
-        base = int(key[0]) << 24
-        return pd.DataFrame(
-            {
-                "id": pd.array([rows[p[0]][0] for p in placed], "Int64"),
-                "piece": [p[1] for p in placed],
-                "start": [p[2] for p in placed],
-                "size": [p[3] for p in placed],
-                "bin_id": [base + p[4] for p in placed],
-                "bin_at": [p[5] for p in placed],
-                "bin_free": [capacity - used[p[4]] for p in placed],
-            }
-        )
-
-    schema = "id long, piece long, start long, size long, bin_id long, bin_at long, bin_free long"
-    return dealt.groupBy("group").applyInPandas(pack_group, schema).withColumnRenamed("id", id_col)
+        base = number[0].as_py() << 24
+        made = [(k, start, s, base + b, offset, capacity - used[b]) for _, k, start, s, b, offset in placed]
+        kept = t.select(names).take(pa.array([p[0] for p in placed]))
+        for n, c in zip(_PLACED.split(", "), zip(*made, strict=True), strict=True):
+            kept = kept.append_column(n.split()[0], pa.array(c, pa.int64()))
+        return kept
+
+    kinds = "".join(f"{n} {slim.schema[n].dataType.simpleString()}, " for n in names)
+    out = dealt.groupBy("_group").applyInArrow(pack_group, kinds + _PLACED)
+    return out.withColumnsRenamed(dict(zip(names, keep, strict=True)))
+
+
+def pack(docs: DataFrame, size: Column, source: Column, cluster: Column, id_col: str = "doc_id", capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
+    """Per piece: id, piece, start, size, bin_id, bin_at, bin_free (room left in the end).
+
+    A null source or cluster conflicts with nothing; a null size counts as 0.  Rows that
+    repeat an id, have none, or are equal in all columns are packed as separate
+    documents, and dealt to any group.  Ties in size follow the id, rows without an id of
+    their own last.  No document is dropped; an empty table gives an empty result.
+    """
+    rows, key = with_row_key(docs, id_col)
+    return pack_keyed(rows, key, size, source, cluster, [id_col], capacity, group)

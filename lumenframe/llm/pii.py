@@ -196,16 +196,21 @@ def secret(value: Column, key: str) -> Column:
 MAKERS = {"email": email, "secret": secret, "ip": ip, "phone": phone, "ssn": ssn, "date": date, "card": card}
 
 
-def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_cols: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str | Column, text_col: str = "text", count_cols: bool = False) -> DataFrame:
     """docs with its texts pseudonymised; all other columns stay as they are.
 
-    Null text stays null.  Values that fail validation stay as they are.  With
+    key is a string, or a column such as a scalar subquery, so that the key itself is in
+    no plan.  Null text stays null.  Values that fail validation stay as they are.  With
     count_cols, columns n_<kind> tell how many values of each kind were replaced;
     columns of those names are replaced.
     """
     if count_cols:
         docs = docs.select(*[c for c in docs.columns if c.lower() not in {f"n_{k}" for k in PATTERNS} or c == text_col])
     text, found_col, new_col = F.col(text_col), fresh(docs, "_found"), fresh(docs, "_new")
+    columns = docs.columns
+    if isinstance(key, Column):  # bound as a column, which lambdas may refer to
+        key_col = fresh(docs, "_key")
+        docs, key = docs.withColumn(key_col, key), F.col(key_col)
 
     def told(m: Column) -> Column:
         out = kind = None
@@ -227,5 +232,5 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_cols:
         return F.when(F.col(found_col).isNull(), 0).otherwise(F.size(replaced)).cast("long").alias(f"n_{kind}")
 
     counts = [count_of(k) for k in PATTERNS]
-    kept = [F.col(new_col).alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    kept = [F.col(new_col).alias(c) if c == text_col else F.col(c) for c in columns]
     return out.select(*kept, *(counts if count_cols else []))
