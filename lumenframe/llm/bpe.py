@@ -20,9 +20,15 @@ from pyspark.sql import types as T
 
 #: A text longer than this many characters is encoded piece by piece.
 PIECE = 50_000
-#: A single space between two other characters.  No alternative of the pattern holds a
-#: space after a non-space, so a match always ends before it.
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: What the pattern's \s matches (Unicode White_Space).
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The start of a run of white space.  No alternative of the pattern holds white space
+#: after anything else, so a match always ends before it.
+_SAFE = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
+#: A longer run of white space does not go through the library's pattern, which would
+#: need a stack as deep as the run.
+LONG_RUN = 10_000
+_LONG = re.compile(f"[{WHITE}]{{{LONG_RUN + 1},}}")
 
 
 def read_ranks(path: str) -> bytes:
@@ -51,7 +57,14 @@ def safe_pieces(text: str, piece: int = PIECE) -> Iterator[str]:
 
 
 def encode_text(enc, text: str | None) -> np.ndarray:
-    ids = [enc.encode_ordinary(p) for p in safe_pieces(text or "")]
+    """Ids of the text.  A long run of white space is one match of the pattern, without
+    its last character if other text follows, and is encoded as that."""
+    text, ids, start = text or "", [], 0
+    for run in _LONG.finditer(text) if len(text) > LONG_RUN else ():
+        ids += [enc.encode_ordinary(p) for p in safe_pieces(text[start : run.start()])]
+        start = run.end() if run.end() == len(text) else run.end() - 1
+        ids.append(enc._encode_single_piece(text[run.start() : start]))
+    ids += [enc.encode_ordinary(p) for p in safe_pieces(text[start:])]
     return np.concatenate([np.array(x, dtype="<u4") for x in ids])
 
 
