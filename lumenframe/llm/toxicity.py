@@ -48,6 +48,8 @@ MASK = (1 << BITS) - 1
 PREFIXES = (3, 4, 5, 6, 7)
 #: At most about this many labelled texts of each class are learnt from.
 MAX_PER_CLASS = 6_000
+#: Tasks that the sample is dealt to: the tables' own partitions hold few of its rows each.
+SAMPLE_PARTS = 32
 #: Features kept: those that differ most between the classes.
 MAX_FEATURES = 4_096
 L2, COUNTERFACTUAL, STEPS, RATE = 2e-4, 5.0, 300, 0.3
@@ -227,7 +229,7 @@ def fit(
         picked = F.when(F.col("label") == k, drawn(max_per_class / size, "_id")).otherwise(picked)
     # about 2 * max_per_class rows, a stated bound
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(known.where(picked)), "_id")
-    sample = scratch_table(texts.select("label", "_text"), "sample")
+    sample = scratch_table(texts.select("label", "_text").repartition(SAMPLE_PARTS), "sample")
     drawn_of = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
     if len(drawn_of) < 2:
         y = np.repeat(list(drawn_of), list(drawn_of.values())).astype(int)
