@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from .regions import TILE, box_words, gather_depth
 
 
 def bound_side(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -16,14 +17,19 @@ def bound_side(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return df.withColumn("scale", scale).withColumns({"out_w": fit("width"), "out_h": fit("height")})
 
 
-def resample_grid(grid: DataFrame, sizes: DataFrame, out_w: Column, out_h: Column, value: str) -> DataFrame:
-    """PF-02: nearest-neighbour resampling.  grid(image_id, px, py, value), sizes(image_id,
-    gw, gh); destination pixels are generated and meet their source by an equi-join."""
+def resample_grid(depth: DataFrame, sizes: DataFrame, out_w: Column, out_h: Column) -> DataFrame:
+    """PF-02: nearest-neighbour resampling of depth tiles; sizes(image_id, gw, gh).
+
+    Each row of the result meets the tiles of its source row by an equi-join, and each
+    tile gives the pixels whose source lies in it."""
     dest = sizes.select("image_id", "gw", "gh", out_w.cast("long").alias("ow"), out_h.cast("long").alias("oh"))
-    dest = dest.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("oh") - 1)).alias("dy"))
-    dest = dest.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ow") - 1)).alias("dx"))
-    source = dest.select("image_id", "dx", "dy", F.expr("dx * gw div ow").alias("px"), F.expr("dy * gh div oh").alias("py"))
-    return source.join(grid, ["image_id", "px", "py"]).select("image_id", F.col("dx").alias("px"), F.col("dy").alias("py"), value)
+    dest = dest.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("oh") - 1)).alias("dy")).where("ow > 0 and oh > 0")
+    met = dest.select("image_id", "gw", "ow", "dy", F.expr("dy * gh div oh").alias("py")).join(depth, ["image_id", "py"])
+    first = F.ceil(F.col("tx") * TILE * F.col("ow") / F.col("gw"))
+    end = F.least(F.col("ow"), F.ceil((F.col("tx") * TILE + F.size("depth")) * F.col("ow") / F.col("gw")))
+    px = met.where(first < end).select("image_id", "gw", "ow", "dy", "tx", "depth", F.explode(F.sequence(first, end - 1)).alias("dx"))
+    at = (F.expr("dx * gw div ow") - F.col("tx") * TILE).cast("int")
+    return px.select("image_id", F.col("dx").alias("px"), F.col("dy").alias("py"), F.get("depth", at).alias("depth_mm"))
 
 
 def clamp_box(df: DataFrame, w: Column, h: Column) -> DataFrame:
@@ -86,11 +92,6 @@ def intrinsics(frames: DataFrame, cameras: DataFrame, cfg: Config = DEFAULT) ->
     )
 
 
-def rescale_intrinsics(k: DataFrame, scale: Column) -> DataFrame:
-    """Focal length and centre of an image that was shrunk by scale."""
-    return k.withColumns({c: F.col(c) * scale for c in ("fx", "fy", "cx", "cy")})
-
-
 def distort(df: DataFrame) -> DataFrame:
     """PF-10: for a pixel (px, py) of the straight image, the source position under the
     lens model k1, k2, p1, p2 with fx, fy, cx, cy."""
@@ -149,16 +150,27 @@ def is_finite(depth: Column) -> Column:
     return depth.isNotNull() & ~F.isnan(d) & (F.abs(d) < float("inf"))
 
 
-def normalise(df: DataFrame, keys: list[str], value: str, top: float = 1.0, flat_to_zero: bool = True, widen: float = 0.0) -> DataFrame:
-    """PF-16, PF-18, WN-05: adds norm, from 0 to top, by the extrema of each key.
+def normalised(value: Column, lo: Column, hi: Column, top: float = 1.0, widen: float = 0.0) -> Column:
+    """value from 0 to top between lo and hi.  A range of 0 gives 0, or with widen counts
+    as that wide."""
+    span = hi - lo
+    return F.when(span == 0, (value - lo) * top / widen if widen else F.lit(0.0)).otherwise((value - lo) * top / span)
 
-    A range of 0 gives 0, or with widen counts as that wide."""
+
+def normalise(df: DataFrame, keys: list[str], value: str, top: float = 1.0, widen: float = 0.0) -> DataFrame:
+    """PF-17, PF-18, WN-05: adds norm, from 0 to top, by the extrema of each key."""
     over = Window.partitionBy(*keys)
-    df = df.withColumns({"lo": F.min(value).over(over), "hi": F.max(value).over(over)})
-    span = F.col("hi") - F.col("lo")
-    span = F.when(span == 0, widen).otherwise(span) if widen else span
-    norm = (F.col(value) - F.col("lo")) * top / span
-    return df.withColumn("norm", F.when(span == 0, 0.0).otherwise(norm) if flat_to_zero else norm).drop("lo", "hi")
+    v = F.col(value)
+    return df.withColumn("norm", normalised(v, F.min(v).over(over), F.max(v).over(over), top, widen))
+
+
+def normalise_grid(depth: DataFrame, top: float = 255.0) -> DataFrame:
+    """PF-16: image_id, px, py, depth_mm, norm by the extrema of each image.  They come
+    from its tiles, and meet the tiles before those are taken apart into pixels."""
+    ext = depth.groupBy("image_id").agg(F.min(F.array_min("depth")).alias("lo"), F.max(F.array_max("depth")).alias("hi"))
+    px = depth.join(ext, "image_id").select("image_id", "py", "tx", "lo", "hi", F.posexplode("depth").alias("j", "depth_mm"))
+    norm = normalised(F.col("depth_mm"), F.col("lo"), F.col("hi"), top)
+    return px.select("image_id", (F.col("tx") * TILE + F.col("j")).alias("px"), "py", "depth_mm", norm.alias("norm"))
 
 
 def quantise16(depth_m: Column, indoor: Column) -> Column:
@@ -167,7 +179,7 @@ def quantise16(depth_m: Column, indoor: Column) -> Column:
     return F.floor(F.least(F.greatest(depth_m / top * 65535, F.lit(0.0)), F.lit(65535.0))).cast("int")
 
 
-def crop(px: DataFrame, boxes: DataFrame) -> DataFrame:
-    """PF-21: pixels of each box, half open; images meet by an equi-join first."""
-    inside = (F.col("px") >= F.col("x1")) & (F.col("px") < F.col("x2")) & (F.col("py") >= F.col("y1")) & (F.col("py") < F.col("y2"))
-    return px.join(boxes, "image_id").where(inside)
+def crop(depth: DataFrame, boxes: DataFrame) -> DataFrame:
+    """PF-21: the pixels of each box, half open: a box is a mask that meets the depth
+    tiles it touches, and no others of its image."""
+    return gather_depth(box_words(boxes), depth)

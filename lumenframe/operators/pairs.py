@@ -54,20 +54,16 @@ def box_iou_pairs(boxes: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return overlapping_boxes(boxes, cfg).select("image_id", "a", "b", box_iou().alias("iou"))
 
 
-def mask_iou_pairs(px: DataFrame, cfg: Config = DEFAULT, eps: float = 0.0, candidates: DataFrame | None = None) -> DataFrame:
+def mask_iou_pairs(words: DataFrame, eps: float = 0.0) -> DataFrame:
     """JN-02: image_id, a, b, inter, iou of every ordered pair of masks that share a pixel.
 
-    Boxes of the masks meet first.  Pixels are joined on (image, pixel) for a < b only and
-    one count per pair comes out of the partial aggregate; the mirrored pair is added to
-    the counts.  candidates(image_id, a, b), if given, limits the pairs beforehand.
-    """
-    ext = px.groupBy("image_id", "obj_idx").agg(F.count(F.lit(1)).alias("area"))
-    p = px.select("image_id", "px", "py", F.col("obj_idx").alias("a"))
-    q = px.select("image_id", "px", "py", F.col("obj_idx").alias("b"))
-    met = p.join(q, ["image_id", "px", "py"]).where("a < b")
-    if candidates is not None:
-        met = met.join(candidates, ["image_id", "a", "b"], "left_semi")
-    inter = met.groupBy("image_id", "a", "b").agg(F.count(F.lit(1)).alias("inter"))
+    Masks meet by (image, row, tile), where they share 32 pixels, for a < b only; bitwise
+    counts sum up to one row per pair, and the mirrored pair is added to those."""
+    ext = words.groupBy("image_id", "obj_idx").agg(F.sum(F.bit_count("bits")).alias("area"))
+    side = lambda k: words.select("image_id", "py", "tx", F.col("obj_idx").alias(k), F.col("bits").alias(f"{k}_bits"))
+    met = side("a").join(side("b"), ["image_id", "py", "tx"]).where("a < b")
+    shared = F.bit_count(F.col("a_bits").bitwiseAND(F.col("b_bits")))
+    inter = met.groupBy("image_id", "a", "b").agg(F.sum(shared).alias("inter")).where("inter > 0")
     both = inter.unionByName(inter.select("image_id", F.col("b").alias("a"), F.col("a").alias("b"), "inter"))
     area = lambda k: ext.select("image_id", F.col("obj_idx").alias(k), F.col("area").alias(f"{k}_area"))
     out = both.join(area("a"), ["image_id", "a"]).join(area("b"), ["image_id", "b"])
@@ -75,14 +71,19 @@ def mask_iou_pairs(px: DataFrame, cfg: Config = DEFAULT, eps: float = 0.0, candi
     return out.select("image_id", "a", "b", "inter", (F.col("inter") / (union + F.lit(eps))).alias("iou"))
 
 
-def dedup_masks(objects: DataFrame, px: DataFrame, primary: str = "GroundedSAM2", candidate: str = "SAM2_AMG", cfg: Config = DEFAULT) -> DataFrame:
+def dedup_masks(objects: DataFrame, words: DataFrame, primary: str = "GroundedSAM2", candidate: str = "SAM2_AMG", cfg: Config = DEFAULT) -> DataFrame:
     """JN-04, ST-01: primaries, then the candidates that match no primary; adds origin.
 
-    Masks without pixels are dropped."""
-    solid = objects.join(px.select("image_id", "obj_idx").distinct(), ["image_id", "obj_idx"], "left_semi")
+    Masks without pixels are dropped.  Only candidates meet primaries."""
+    solid = objects.join(words.select("image_id", "obj_idx").distinct(), ["image_id", "obj_idx"], "left_semi")
     first, second = solid.where(F.col("segmentor") == primary), solid.where(F.col("segmentor") == candidate)
-    pair = mask_iou_pairs(px.where(F.col("segmentor").isin(primary, candidate)), cfg).where(F.col("iou") >= cfg.dedup_iou)
-    hit = pair.join(first.select("image_id", F.col("obj_idx").alias("b")), ["image_id", "b"], "left_semi")
+    side = lambda k, name: words.where(F.col("segmentor") == name).select("image_id", "py", "tx", F.col("obj_idx").alias(k), F.col("bits").alias(f"{k}_bits"))
+    met = side("a", candidate).join(side("b", primary), ["image_id", "py", "tx"])
+    inter = met.groupBy("image_id", "a", "b").agg(F.sum(F.bit_count(F.col("a_bits").bitwiseAND(F.col("b_bits")))).alias("inter"))
+    ext = words.groupBy("image_id", "obj_idx").agg(F.sum(F.bit_count("bits")).alias("area"))
+    area = lambda k: ext.select("image_id", F.col("obj_idx").alias(k), F.col("area").alias(f"{k}_area"))
+    pair = inter.join(area("a"), ["image_id", "a"]).join(area("b"), ["image_id", "b"])
+    hit = pair.where(F.col("inter") / (F.col("a_area") + F.col("b_area") - F.col("inter")) >= cfg.dedup_iou)
     victims = hit.select("image_id", F.col("a").alias("obj_idx")).distinct()
     rest = second.join(victims, ["image_id", "obj_idx"], "left_anti")
     return first.withColumn("origin", F.lit("primary")).unionByName(rest.withColumn("origin", F.lit("survivor")))
@@ -120,9 +121,9 @@ def nearest(objects: DataFrame, cfg: Config = DEFAULT, cols: tuple[str, ...] = (
     return p.withColumn("rank", rank).where(F.col("rank") <= cfg.neighbours)
 
 
-def semantic_gate(pairs: DataFrame, ious: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """JN-08: ordered pairs whose masks overlap enough go on to a scorer."""
-    return pairs.join(ious.where(F.col("iou") >= cfg.semantic_iou).select("image_id", "a", "b"), ["image_id", "a", "b"], "left_semi")
+def semantic_gate(ious: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """JN-08: all ordered pairs whose masks overlap enough go on to a scorer."""
+    return ious.where(F.col("iou") >= cfg.semantic_iou).select("image_id", "a", "b")
 
 
 def with_category(df: DataFrame, label: str, categories: DataFrame) -> DataFrame:

@@ -1,18 +1,40 @@
-"""Masks as pixel tables, and statistics of the depth under them (RG, AG-01..11).
-
-Depth is in integer millimetres, so that sums are exact in any order; outputs are in
-metres.  Every operator is keyed by (image_id, obj_idx): one shuffle of pixels on that
-key serves a whole chain, and an image's size never matters to one task's memory.
+"""Masks as tables of pixel words, and statistics of the depth under them (RG, AG-01..11).
+
+At rest a mask is kept as run lengths.  For work it is a row for each 32 pixels of a grid
+row that it touches: image_id, obj_idx, py, tx, and a bitmap `bits` whose lowest bit is
+pixel 32 * tx.  Depth is a row for each 32 pixels of a grid row: image_id, py, tx, and an
+array `depth` of integer millimetres, so that sums are exact in any order; outputs are in
+metres.  Growing and shrinking a mask are shifts of words and bitwise aggregates, masks
+and depth meet by an equi-join on (image_id, py, tx), and single pixels exist only where
+statistics need them, after that join.  Statistics are keyed by (image_id, obj_idx).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 
 OBJ = ["image_id", "obj_idx"]
+TILE = 32
+WORD = [*OBJ, "py", "tx"]
+ALL = (1 << TILE) - 1
+
+
+def _bit(j: Column) -> Column:
+    """1 shifted left by a column."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), j.cast("int"))
+
+
+def _low_bits(n: Column) -> Column:
+    """The lowest n bits of a word; n may lie outside the word."""
+    return _bit(F.greatest(F.lit(0), F.least(F.lit(62), n))) - 1
+
+
+# Forms of a mask
 
 
 def run_lengths_to_pixels(df: DataFrame, keys: list[str], runs: str = "runs") -> DataFrame:
@@ -29,11 +51,48 @@ def pixels_to_run_lengths(px: DataFrame, keys: list[str]) -> DataFrame:
     return runs.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("runs"))
 
 
-def extents(px: DataFrame, keys: list[str] = OBJ) -> DataFrame:
-    """AG-01: area and inclusive extents."""
-    return px.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("area"), F.min("px").alias("x_min"), F.max("px").alias("x_max"), F.min("py").alias("y_min"), F.max("py").alias("y_max")
-    )
+def run_lengths_to_words(df: DataFrame, runs: str = "runs") -> DataFrame:
+    """Runs of (image_id, obj_idx) to words, without single pixels in between."""
+    r = df.select(*OBJ, F.inline(runs)).select(*OBJ, F.col("y").alias("py"), "x0", (F.col("x0") + F.col("len")).alias("x1"))
+    return ranges_to_words(r).groupBy(*WORD).agg(F.bit_or("bits").alias("bits"))
+
+
+def ranges_to_words(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Half-open ranges x0, x1 of grid rows to words; ranges of a row may share a word."""
+    tiles = F.sequence(F.floor(F.col("x0") / TILE), F.floor((F.col("x1") - 1) / TILE))
+    r = rows.where("x1 > x0").select(*OBJ, "py", "x0", "x1", *keep, F.explode(tiles).alias("tx"))
+    start = F.col("tx") * TILE
+    return r.select(*WORD, *keep, (_low_bits(F.least(F.col("x1") - start, F.lit(TILE))) - _low_bits(F.col("x0") - start)).alias("bits"))
+
+
+def words_to_pixels(words: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each pixel of a mask."""
+    w = words.select(*OBJ, *keep, "py", "tx", "bits", F.explode(F.sequence(F.lit(0), F.lit(TILE - 1))).alias("j"))
+    return w.where(F.getbit("bits", F.col("j")) == 1).select(*OBJ, *keep, (F.col("tx") * TILE + F.col("j")).alias("px"), "py")
+
+
+def box_words(boxes: DataFrame) -> DataFrame:
+    """A box x1, y1, x2, y2, half open, as a mask."""
+    zero = F.lit(0).cast("long")
+    b = boxes.where((F.col("y2") > 0) & (F.col("y2") > F.col("y1"))).select(*OBJ, F.greatest(zero, "x1").alias("x0"), F.col("x2").alias("x1"), F.explode(F.sequence(F.greatest(zero, "y1"), F.col("y2") - 1)).alias("py"))
+    return ranges_to_words(b)
+
+
+# Sizes
+
+
+def _sizes(over: Window | None = None) -> dict[str, Column]:
+    """Area and inclusive extents, as aggregates or over a window."""
+    first = F.bit_count(F.col("bits").bitwiseAND(-F.col("bits")) - 1)
+    last = F.length(F.bin("bits")) - 1
+    start = F.col("tx") * TILE
+    made = {"area": F.sum(F.bit_count("bits")), "x_min": F.min(start + first), "x_max": F.max(start + last), "y_min": F.min("py"), "y_max": F.max("py")}
+    return {k: v.over(over) if over is not None else v for k, v in made.items()}
+
+
+def extents(words: DataFrame) -> DataFrame:
+    """AG-01: area and inclusive extents of each mask."""
+    return words.groupBy(*OBJ).agg(*[c.alias(k) for k, c in _sizes().items()])
 
 
 def erosion_size(cfg: Config = DEFAULT) -> Column:
@@ -45,47 +104,90 @@ def erosion_size(cfg: Config = DEFAULT) -> Column:
     return table.otherwise(cfg.erosion)
 
 
-def erode(px: DataFrame, sizes: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """RG-03: px(image_id, obj_idx, px, py) eroded by the adaptive kernel; sizes(image_id,
-    gw, gh).  A mask of at most 4k² pixels, or one that would vanish, stays as it is.
+# Morphology
+
+
+def _spread(words: DataFrame, wide: Column, left: int, keep: list[str]) -> DataFrame:
+    """A wide word, which begins `left` pixels before its tile, as words of the tile and
+    its neighbours; bits outside the image are cut off."""
+    own = F.shiftright(wide, left).bitwiseAND(ALL)
+    before = F.shiftleft(wide.bitwiseAND((1 << left) - 1), TILE - left)
+    parts = F.array(*[F.struct((F.col("tx") + d).alias("tx"), b.alias("bits"), F.lit(d).alias("side")) for d, b in ((-1, before), (0, own), (1, F.shiftright(wide, TILE + left)))])
+    out = words.select(*OBJ, "py", *keep, F.inline(parts)).where("tx >= 0")
+    return out.withColumn("bits", F.col("bits").bitwiseAND(_low_bits(F.col("gw") - F.col("tx") * TILE))).where("bits <> 0")
+
+
+def erode(words: DataFrame, sizes: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """RG-03: masks eroded by the adaptive kernel; sizes(image_id, gw, gh).  A mask of at
+    most 4k² pixels, or one that would vanish, stays as it is.
 
     A pixel survives if all k² positions of its window that lie in the image are in the
-    mask.  Each pixel is sent to the windows that hold it, and one count decides, so the
-    mask is shuffled once and never joined with itself.
+    mask.  Along a row that is an intersection of shifts; a row's result then goes to the
+    rows whose window holds it, and those which got all survive.  The join on the image
+    is the only shuffle of masks that are not eroded.
     """
-    ext = extents(px).withColumn("k", erosion_size(cfg))
-    ext = ext.select(*OBJ, F.when(F.col("area") > 4 * F.col("k") * F.col("k"), F.col("k")).otherwise(0).alias("k"))
-    with_k = px.join(ext, OBJ)
-    keep = with_k.where("k <= 1").select(*OBJ, "px", "py")
-    todo = with_k.where("k > 1").join(sizes, "image_id")
-    lo, hi = -F.expr("k div 2"), F.col("k") - 1 - F.expr("k div 2")
-    sent = todo.select(*OBJ, "px", "py", "k", "gw", "gh", F.explode(F.sequence(lo, hi)).alias("dx"))
-    sent = sent.select("*", F.explode(F.sequence(lo, hi)).alias("dy"))
-    hits = sent.groupBy(*OBJ, (F.col("px") - F.col("dx")).alias("px"), (F.col("py") - F.col("dy")).alias("py"), "k", "gw", "gh").agg(F.count(F.lit(1)).alias("n"))
-    span = lambda p, n: F.least(F.col(p) + hi, F.col(n) - 1) - F.greatest(F.col(p) + lo, F.lit(0)) + 1
-    inside = (F.col("px") >= 0) & (F.col("py") >= 0) & (F.col("px") < F.col("gw")) & (F.col("py") < F.col("gh"))
-    eroded = hits.where(inside & (F.col("n") == span("px", "gw") * span("py", "gh"))).select(*OBJ, "px", "py")
-    vanished = with_k.where("k > 1").join(eroded.select(*OBJ).distinct(), OBJ, "left_anti").select(*OBJ, "px", "py")
-    return keep.unionByName(eroded).unionByName(vanished)
-
-
-def dilate(px: DataFrame, sizes: DataFrame, k: int = 5) -> DataFrame:
+    w = words.join(sizes, "image_id").withColumns(_sizes(Window.partitionBy(*OBJ)))
+    w = w.withColumn("k", erosion_size(cfg)).select(*WORD, "bits", "gw", "gh", F.when(F.col("area") > 4 * F.col("k") * F.col("k"), F.col("k")).otherwise(0).alias("k"))
+    keep = w.where("k <= 1").select(*WORD, "bits")
+    if cfg.erosion <= 1:
+        return keep
+    reach = cfg.erosion // 2
+    todo, lo, hi = w.where("k > 1"), -F.expr("k div 2"), F.col("k") - 1 - F.expr("k div 2")
+    side = ["gw", "gh", "k"]
+    around = F.array(
+        F.struct(F.col("tx"), F.shiftleft("bits", reach).alias("halo")),
+        F.struct((F.col("tx") + 1).alias("tx"), F.shiftright("bits", TILE - reach).alias("halo")),
+        F.struct((F.col("tx") - 1).alias("tx"), F.shiftleft(F.col("bits").bitwiseAND((1 << reach) - 1), TILE + reach).alias("halo")),
+    )
+    halo = todo.select(*OBJ, "py", *side, F.inline(around)).where("halo <> 0").groupBy(*WORD, *side).agg(F.bit_or("halo").alias("halo"))
+    left = F.when(F.col("tx") == 0, (1 << reach) - 1).otherwise(0).cast("long")
+    right = F.lit((1 << TILE + 2 * reach) - 1) - _low_bits(F.least(F.col("gw") - F.col("tx") * TILE + reach, F.lit(TILE + 2 * reach)))
+    full = F.col("halo").bitwiseOR(left).bitwiseOR(right)
+    row = F.shiftright("halo", reach)
+    for dx in range(-reach, cfg.erosion - reach):
+        row = F.when((lo <= dx) & (hi >= dx), row.bitwiseAND(F.shiftright(full, reach + dx))).otherwise(row)
+    rows = halo.select(*WORD, *side, row.bitwiseAND(ALL).alias("bits")).where("bits <> 0")
+    sent = rows.select(*OBJ, "tx", *side, "bits", F.explode(F.sequence(F.col("py") - hi, F.col("py") - lo)).alias("py")).where("py >= 0 and py < gh")
+    met = sent.groupBy(*WORD, *side).agg(F.bit_and("bits").alias("bits"), F.count(F.lit(1)).alias("n"))
+    wanted = F.least(F.col("py") + hi, F.col("gh") - 1) - F.greatest(F.col("py") + lo, F.lit(0)) + 1
+    left_over = met.where((F.col("bits") != 0) & (F.col("n") == wanted)).select(*WORD, "bits", F.lit(1).alias("eroded"))
+    both = left_over.unionByName(todo.select(*WORD, "bits", F.lit(0).alias("eroded")))
+    some = both.withColumn("some", F.max("eroded").over(Window.partitionBy(*OBJ))).where("eroded = some")
+    return keep.unionByName(some.select(*WORD, "bits"))
+
+
+def _grown(words: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+    """Words of the k x k dilation, several for a place; `own` holds the mask itself."""
+    lo, hi = -(k // 2), k - 1 - k // 2
+    wide = F.col("bits")
+    for d in range(1, k):
+        wide = wide.bitwiseOR(F.shiftleft("bits", d))
+    w = words.select(*WORD, "bits").join(sizes, "image_id").withColumn("mask", F.col("bits"))
+    grown = _spread(w, wide, -lo, ["gw", "gh", "mask"])
+    rows = grown.select(*OBJ, "tx", "bits", "mask", "side", "gh", F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("dy"), "py")
+    own = F.when((F.col("side") == 0) & (F.col("dy") == 0), F.col("mask")).otherwise(F.lit(0).cast("long"))
+    return rows.select(*OBJ, (F.col("py") + F.col("dy")).alias("py"), "tx", "bits", own.alias("own"), "gh").where("py >= 0 and py < gh").drop("gh")
+
+
+def dilate(words: DataFrame, sizes: DataFrame, k: int = 5) -> DataFrame:
     """RG-04: k x k dilation, cut off at the image."""
-    reach = F.sequence(F.lit(-(k // 2)), F.lit(k - 1 - k // 2))
-    grown = px.select(*OBJ, "px", "py", F.explode(reach).alias("dx")).select("*", F.explode(reach).alias("dy"))
-    grown = grown.select(*OBJ, (F.col("px") + F.col("dx")).alias("px"), (F.col("py") + F.col("dy")).alias("py")).distinct()
-    inside = (F.col("px") >= 0) & (F.col("py") >= 0) & (F.col("px") < F.col("gw")) & (F.col("py") < F.col("gh"))
-    return grown.join(sizes, "image_id").where(inside).select(*OBJ, "px", "py")
+    return _grown(words, sizes, k).groupBy(*WORD).agg(F.bit_or("bits").alias("bits"))
 
 
-def border_ring(px: DataFrame, sizes: DataFrame) -> DataFrame:
+def with_ring(words: DataFrame, sizes: DataFrame, k: int = 5) -> DataFrame:
+    """Each word of the dilated mask: the mask in `bits`, its border ring in `ring`."""
+    both = _grown(words, sizes, k).groupBy(*WORD).agg(F.bit_or("bits").alias("grown"), F.bit_or("own").alias("bits"))
+    return both.select(*WORD, "bits", F.col("grown").bitwiseAND(F.bitwise_not("bits")).alias("ring"))
+
+
+def border_ring(words: DataFrame, sizes: DataFrame) -> DataFrame:
     """RG-05, ST-03: the dilated mask without the mask."""
-    return dilate(px, sizes).join(px.select(*OBJ, "px", "py"), [*OBJ, "px", "py"], "left_anti")
+    return with_ring(words, sizes).where("ring <> 0").select(*WORD, F.col("ring").alias("bits"))
 
 
-def union_of_masks(px: DataFrame) -> DataFrame:
-    """RG-06, ST-04: pixels that any mask of the image covers."""
-    return px.select("image_id", "px", "py").distinct()
+def union_of_masks(words: DataFrame) -> DataFrame:
+    """RG-06, ST-04: what any mask of the image covers."""
+    return words.groupBy("image_id", "py", "tx").agg(F.bit_or("bits").alias("bits"))
 
 
 def union_window(pairs: DataFrame, ext: DataFrame, sizes: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -103,24 +205,44 @@ def union_window(pairs: DataFrame, ext: DataFrame, sizes: DataFrame, cfg: Config
     )
 
 
-def gather_depth(px: DataFrame, depth: DataFrame) -> DataFrame:
+# Depth
+
+
+def depth_pixels(depth: DataFrame) -> DataFrame:
+    """A row for each pixel of the grid."""
+    d = depth.select("image_id", "py", "tx", F.posexplode("depth").alias("j", "depth_mm"))
+    return d.select("image_id", (F.col("tx") * TILE + F.col("j")).alias("px"), "py", "depth_mm")
+
+
+def gather_depth(words: DataFrame, depth: DataFrame, keys: list[str] = OBJ) -> DataFrame:
     """JN-01: the depth under each mask pixel."""
-    return px.join(depth, ["image_id", "px", "py"])
+    met = words.join(depth, ["image_id", "py", "tx"]).select(*keys, "py", "tx", "bits", F.posexplode("depth").alias("j", "depth_mm"))
+    return met.where(F.getbit("bits", F.col("j")) == 1).select(*keys, (F.col("tx") * TILE + F.col("j")).alias("px"), "py", "depth_mm")
+
+
+def clipped_here(n: Column, s: Column, q: Column, d: Column, cfg: Config) -> Column:
+    """Whether d stays in AG-03, from the count, sum and sum of squares of its region.
+
+    |d - S/n| < sigma * std is tested as |n d - S| < sigma * sqrt(n Q - S²)."""
+    spread = F.sqrt((n * q - s * s).cast("double"))
+    active = F.lit(cfg.sigma > 0) & (n >= cfg.min_clip_pixels) & (spread / n > 1e-3)
+    return ~active | (F.abs(n * d - s) < cfg.sigma * spread)
 
 
 def sigma_clip(px: DataFrame, keys: list[str] = OBJ, cfg: Config = DEFAULT) -> DataFrame:
     """AG-03: drops finite pixels at sigma deviations or more from their mean, once.
 
     Not for fewer than ten pixels, a constant region, or if fewer than five would stay.
-    |d - S/n| < sigma * std is tested as |n d - S| < sigma * sqrt(n Q - S²)."""
+    By Chebyshev's inequality at least 1 - 1 / sigma² stay, so that the last case is
+    looked for only where sigma is small."""
     over = Window.partitionBy(*keys)
     d = F.col("depth_mm")
     px = px.where(d.isNotNull()).withColumns(
         {"_n": F.count(F.lit(1)).over(over), "_s": F.sum(d).over(over), "_q": F.sum(d * d).over(over)}
     )
-    spread = F.sqrt((F.col("_n") * F.col("_q") - F.col("_s") * F.col("_s")).cast("double"))
-    active = F.lit(cfg.sigma > 0) & (F.col("_n") >= cfg.min_clip_pixels) & (spread / F.col("_n") > 1e-3)
-    px = px.withColumn("_in", ~active | (F.abs(F.col("_n") * d - F.col("_s")) < cfg.sigma * spread))
+    px = px.withColumn("_in", clipped_here(F.col("_n"), F.col("_s"), F.col("_q"), d, cfg))
+    if cfg.sigma > 0 and (1 - 1 / cfg.sigma**2) * cfg.min_clip_pixels >= cfg.min_inliers:
+        return px.where("_in").drop("_n", "_s", "_q", "_in")
     px = px.withColumn("_left", F.sum(F.col("_in").cast("long")).over(over))
     return px.where(F.col("_in") | (F.col("_left") < cfg.min_inliers)).drop("_n", "_s", "_q", "_in", "_left")
 
@@ -173,8 +295,6 @@ def inner_circle(px: DataFrame, areas: DataFrame, keys: list[str] = OBJ, cfg: Co
     of the mask's area; areas(keys, num_pixels)."""
     if cfg.central_fraction >= 1:
         return px
-    import math
-
     return px.join(areas.select(*keys, "num_pixels"), keys).where(F.col("d2") <= F.col("num_pixels") * cfg.central_fraction / math.pi)
 
 
@@ -193,10 +313,8 @@ def histogram_mode(px: DataFrame, keys: list[str] = OBJ) -> DataFrame:
         F.greatest(F.lit(10), F.least(F.lit(100), F.expr("z_pixels div 5"))).alias("bins"),
     )
     binned = px.join(base, keys).select(*keys, "z_pixels", "lo", "hi", "bins", F.least(F.col("bins") - 1, F.expr("(depth_mm - lo) * bins div (hi - lo)")).alias("b"))
-    counts = binned.groupBy(*keys, "z_pixels", "lo", "hi", "bins", "b").agg(F.count(F.lit(1)).alias("c"))
-    best = counts.groupBy(*keys, "z_pixels", "lo", "hi", "bins").agg(F.max(F.struct("c", -F.col("b"))).alias("m"))
-    b = -F.col("m.col2")
-    return best.select(*keys, "z_pixels", (F.col("lo") + (2 * b + 1) * (F.col("hi") - F.col("lo")) / (2.0 * F.col("bins"))).alias("z_mm"))
+    best = binned.groupBy(*keys, "z_pixels", "lo", "hi", "bins").agg(F.mode("b", True).alias("b"))
+    return best.select(*keys, "z_pixels", (F.col("lo") + (2 * F.col("b") + 1) * (F.col("hi") - F.col("lo")) / (2.0 * F.col("bins"))).alias("z_mm"))
 
 
 def separation(stats: DataFrame, ring_depth: DataFrame, keys: list[str] = OBJ, cfg: Config = DEFAULT) -> DataFrame:
@@ -210,22 +328,48 @@ def separation(stats: DataFrame, ring_depth: DataFrame, keys: list[str] = OBJ, c
     )
 
 
-def region_stats(objects: DataFrame, px: DataFrame, depth: DataFrame, sizes: DataFrame, cfg: Config = DEFAULT, eroded: bool = True) -> DataFrame:
+def _ring_totals() -> tuple[Column, Column]:
+    """Sum and number of the finite depths under `ring`, in one word."""
+    some = [F.when(F.getbit("ring", F.lit(j)) == 1, F.get("depth", F.lit(j))) for j in range(TILE)]
+    total, n = F.lit(0).cast("long"), F.lit(0).cast("long")
+    for d in some:
+        total, n = total + F.coalesce(d, F.lit(0)), n + F.when(d.isNotNull(), 1).otherwise(0)
+    return total, n
+
+
+def region_stats(objects: DataFrame, words: DataFrame, depth: DataFrame, sizes: DataFrame, cfg: Config = DEFAULT, eroded: bool = True) -> DataFrame:
     """AG-02..09 in one chain: a row per object, also for those without a usable pixel,
     which get zeros, the centre of the grid and a null z.
 
-    All steps after the gather are windows and aggregates over (image_id, obj_idx), so
-    they share the exchange on that key."""
-    import math
-
+    Mask and ring come from one aggregate of words and meet the depth once.  What met is
+    dealt by object, and only then taken apart: a row for each mask pixel, and one for
+    each word with the totals of the ring in it.  All that follows are windows and
+    aggregates over the object, in that partitioning."""
     over = Window.partitionBy(*OBJ)
-    d = F.col("depth_mm")
-    mask = erode(px.select(*OBJ, "px", "py"), sizes, cfg) if eroded else px.select(*OBJ, "px", "py")
-    seen = gather_depth(mask, depth).withColumn("num_pixels", F.count(F.lit(1)).over(over))
-    w = 1.0 / (d / 1000.0 + 1e-6)
-    c = sigma_clip(seen, OBJ, cfg).withColumns(
-        {k: F.bround(F.sum(F.col(p) * w).over(over) / F.sum(w).over(over), 6) for k, p in (("wx", "px"), ("wy", "py"))}
+    mask = erode(words, sizes, cfg) if eroded else words.select(*WORD, "bits")
+    met = with_ring(mask, sizes).join(depth, ["image_id", "py", "tx"])
+    ring_s, ring_n = _ring_totals()
+    met = met.select(*OBJ, "py", "tx", "bits", "depth", ring_s.alias("ring_s"), ring_n.alias("ring_n")).repartition(*OBJ)
+    parts = F.concat("depth", F.array(F.lit(None).cast("long")))
+    px = met.select(*OBJ, "py", "tx", "bits", F.size("depth").alias("last"), "ring_s", "ring_n", F.posexplode(parts).alias("j", "d"))
+    inside = (F.col("j") < F.col("last")) & (F.getbit("bits", F.col("j")) == 1)
+    end = F.col("j") == F.col("last")
+    px = px.where(inside | end).select(
+        *OBJ, (F.col("tx") * TILE + F.col("j")).alias("px"), "py", "d", inside.alias("inside"), F.when(end, F.col("ring_s")).alias("ring_s"), F.when(end, F.col("ring_n")).alias("ring_n")
     )
+    d = F.col("d")
+    px = px.withColumns(
+        {
+            "num_pixels": F.count_if("inside").over(over), "n0": F.count(d).over(over), "s0": F.sum(d).over(over), "q0": F.sum(d * d).over(over),
+            "ring_s": F.sum("ring_s").over(over), "ring_n": F.sum("ring_n").over(over),
+        }
+    ).where(d.isNotNull())
+    px = px.withColumn("in", clipped_here(F.col("n0"), F.col("s0"), F.col("q0"), d, cfg))
+    if not (cfg.sigma > 0 and (1 - 1 / cfg.sigma**2) * cfg.min_clip_pixels >= cfg.min_inliers):  # as in sigma_clip
+        px = px.withColumn("in", F.col("in") | (F.count_if("in").over(over) < cfg.min_inliers))
+    c = px.where("in").drop("in", "inside", "n0", "s0", "q0")
+    w = 1.0 / (d / 1000.0 + 1e-6)
+    c = c.withColumns({k: F.bround(F.sum(F.col(p) * w).over(over) / F.sum(w).over(over), 6) for k, p in (("wx", "px"), ("wy", "py"))})
     dx, dy = F.col("px") - F.col("wx"), F.col("py") - F.col("wy")
     c = c.withColumn("d2", F.bround(dx * dx + dy * dy, 6))
     inner = F.lit(cfg.central_fraction >= 1) | (F.col("d2") <= F.col("num_pixels") * cfg.central_fraction / math.pi)
@@ -241,41 +385,38 @@ def region_stats(objects: DataFrame, px: DataFrame, depth: DataFrame, sizes: Dat
     )
     place = F.least(F.col("bins") - 1, F.expr("(inner_mm - z_lo) * bins div (z_hi - z_lo)"))
     c = c.withColumn("bin", F.when(F.col("inner_mm").isNotNull(), place))
-    c = c.withColumn("in_bin", F.when(F.col("bin").isNotNull(), F.count(F.lit(1)).over(Window.partitionBy(*OBJ, "bin"))))
-    peak = F.max(F.struct("in_bin", -F.col("bin")))
+    same = ("num_pixels", "ring_s", "ring_n", "z_lo", "z_hi", "bins", "z_pixels")
     stats = c.groupBy(*OBJ).agg(
         F.min(d).alias("lo"), F.max(d).alias("hi"), F.sum(d).alias("s"), F.sum(d * d).alias("q"), F.count(F.lit(1)).alias("n"), F.percentile(d, F.lit(0.5)).alias("med"),
-        F.min(F.struct("d2", "py", "px")).alias("near"), peak.alias("peak"), F.max("num_pixels").alias("num_pixels"),
-        F.max("z_lo").alias("z_lo"), F.max("z_hi").alias("z_hi"), F.max("bins").alias("bins"), F.max("z_pixels").alias("z_pixels"),
+        F.min(F.struct("d2", "py", "px")).alias("near"), F.mode("bin", True).alias("bin"), *[F.max(k).alias(k) for k in same],
     )
-    stats = stats.withColumn("mean_mm", F.col("s") / F.col("n"))
-    ring = separation(stats, gather_depth(border_ring(mask, sizes), depth), OBJ, cfg)
-    out = objects.select(*OBJ).join(sizes, "image_id").join(stats, OBJ, "left").join(ring, OBJ, "left")
+    out = objects.select(*OBJ).join(sizes, "image_id").join(stats, OBJ, "left")
     some, var = F.col("n").isNotNull(), (F.col("n") * F.col("q") - F.col("s") * F.col("s")).cast("double")
-    b = -F.col("peak.col2")
-    mode = F.col("z_lo") + (2 * b + 1) * (F.col("z_hi") - F.col("z_lo")) / (2.0 * F.col("bins"))
+    mean = F.col("s") / F.col("n")
+    gap = F.when(F.col("ring_n") > 0, F.abs(mean - F.col("ring_s") / F.col("ring_n")))
+    mode = F.col("z_lo") + (2 * F.col("bin") + 1) * (F.col("z_hi") - F.col("z_lo")) / (2.0 * F.col("bins"))
     zero = lambda c, name: F.coalesce(c, F.lit(0.0)).alias(name)
     return out.select(
         *OBJ,
         zero(metres(F.col("lo")), "d_min"),
         zero(metres(F.col("hi")), "d_max"),
-        zero(metres(F.col("mean_mm")), "d_mean"),
+        zero(metres(mean), "d_mean"),
         zero(metres(F.col("med")), "d_median"),
         zero(metres(F.sqrt(var) / F.col("n")), "d_std"),
         F.when(some, F.col("num_pixels")).otherwise(0).cast("long").alias("num_pixels"),
         F.when(some, metres(F.coalesce(mode, "med"))).alias("z_val"),
         F.when(some, F.when(F.col("z_pixels") > 0, F.col("z_pixels")).otherwise(F.col("n"))).otherwise(0).cast("long").alias("z_val_pixels"),
-        F.coalesce("transparent", F.lit(False)).alias("transparent"),
-        F.coalesce("separation", F.lit(0.0)).alias("separation"),
+        F.coalesce(gap < cfg.transparent_mm, F.lit(False)).alias("transparent"),
+        zero(metres(gap), "separation"),
         F.coalesce("near.px", F.expr("gw div 2")).cast("long").alias("u"),
         F.coalesce("near.py", F.expr("gh div 2")).cast("long").alias("v"),
     )
 
 
-def erosion_comparison(objects: DataFrame, px: DataFrame, depth: DataFrame, sizes: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def erosion_comparison(objects: DataFrame, words: DataFrame, depth: DataFrame, sizes: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """AG-10: statistics with and without erosion side by side."""
-    a = region_stats(objects, px, depth, sizes, cfg, True)
-    b = region_stats(objects, px, depth, sizes, cfg, False)
+    a = region_stats(objects, words, depth, sizes, cfg, True)
+    b = region_stats(objects, words, depth, sizes, cfg, False)
     return a.join(b.select(*OBJ, *[F.col(c).alias(f"raw_{c}") for c in b.columns if c not in OBJ]), OBJ)
 
 

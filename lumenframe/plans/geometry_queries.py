@@ -26,11 +26,13 @@ def pf01_bound_side(spark, d):
     return G.bound_side(X.frames(spark, d)).select("image_id", F.round("scale", 6).alias("scale"), "out_w", "out_h")
 
 
-@query("""SELECT image_id, px, py, depth_mm FROM (
-    SELECT s.image_id, s.px, s.py, p.depth_mm FROM (SELECT image_id, gw, gh, px, unnest(range(gh // 3)) AS py FROM (SELECT *, unnest(range(gw // 2)) AS px FROM sized)) s
-    JOIN depth_px p ON p.image_id = s.image_id AND p.px = s.px * gw // (gw // 2) AND p.py = s.py * gh // (gh // 3))""")
+@query("""SELECT image_id, count(*) AS n, count(depth_mm) AS finite, sum(depth_mm)::BIGINT AS total, sum(depth_mm * (s.px + 3 * s.py))::BIGINT AS placed FROM (
+    SELECT image_id, gw, gh, px, unnest(range(gh // 3)) AS py FROM (SELECT *, unnest(range(gw // 2)) AS px FROM sized)) s
+    JOIN depth_px p USING (image_id) WHERE p.px = s.px * gw // (gw // 2) AND p.py = s.py * gh // (gh // 3) GROUP BY ALL""")
 def pf02_resample(spark, d):
-    return G.resample_grid(X.depth_px(spark, d), X.grid_size(spark, d), F.expr("gw div 2"), F.expr("gh div 3"), "depth_mm")
+    r = G.resample_grid(X.depth_tiles(spark, d), X.grid_size(spark, d), F.expr("gw div 2"), F.expr("gh div 3"))
+    placed = F.col("depth_mm") * (F.col("px") + 3 * F.col("py"))
+    return r.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.count("depth_mm").alias("finite"), F.sum("depth_mm").alias("total"), F.sum(placed).alias("placed"))
 
 
 @query("""SELECT image_id, obj_idx, greatest(0, x1 - 20) AS x1, greatest(0, y1 - 20) AS y1, least(width, x2 * 12) AS x2, least(height, y2 * 12) AS y2 FROM boxes JOIN frames USING (image_id)""")
@@ -57,7 +59,7 @@ def pf05_undo_scale(spark, d):
 def pf06_area(spark, d):
     from ..operators.regions import extents
 
-    m = extents(X.mask_px(spark, d)).select("image_id", "obj_idx", F.col("area").alias("pixels"))
+    m = extents(X.mask_words(spark, d)).select("image_id", "obj_idx", F.col("area").alias("pixels"))
     j = X.detections(spark, d).join(m, ["image_id", "obj_idx"], "left")
     return j.select("image_id", "obj_idx", G.area_or_box(F.col("pixels"), F.col("w"), F.col("h")).alias("area"))
 
@@ -132,39 +134,45 @@ def pf15_depth_scale(spark, d):
     return X.detections(spark, d).select("image_id", "obj_idx", F.round(G.scale_depth(F.col("z_mm") / 1000.0, 10.0), 4).alias("depth"))
 
 
-@query("""SELECT image_id, norm, count(*) AS n FROM (SELECT p.image_id, CASE WHEN hi = lo THEN 0 ELSE floor((depth_mm - lo) * 255.0::DOUBLE / (hi - lo)) END::INT AS norm
+def _norm_census(px: DataFrame, keys: list[str], value: str = "norm") -> DataFrame:
+    """Number, sum and weighted sum of whole norms: which pixel has which tells in the last."""
+    n = F.floor(value).cast("long")
+    return px.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(n).alias("total"), F.sum(n * (F.col("px") + 3 * F.col("py"))).alias("placed"))
+
+
+_NORMS = "count(*) AS n, sum(norm)::BIGINT AS total, sum(norm * (px + 3 * py))::BIGINT AS placed"
+
+
+@query(f"""SELECT image_id, {_NORMS} FROM (SELECT p.image_id, px, py, CASE WHEN hi = lo THEN 0 ELSE floor((depth_mm - lo) * 255.0::DOUBLE / (hi - lo)) END::BIGINT AS norm
     FROM depth_px p JOIN (SELECT image_id, min(depth_mm) AS lo, max(depth_mm) AS hi FROM depth_px GROUP BY ALL) USING (image_id) WHERE depth_mm IS NOT NULL) GROUP BY ALL""")
 def pf16_normalise(spark, d):
-    p = G.normalise(X.depth_px(spark, d).where("depth_mm is not null"), ["image_id"], "depth_mm", 255.0)
-    return p.groupBy("image_id", F.floor("norm").cast("int").alias("norm")).agg(F.count(F.lit(1)).alias("n"))
+    return _norm_census(G.normalise_grid(X.depth_tiles(spark, d)).where("depth_mm is not null"), ["image_id"])
 
 
-@query("""SELECT image_id, norm, count(*) AS n FROM (SELECT u.image_id, floor((depth_mm - lo) * 100.0::DOUBLE / CASE WHEN hi = lo THEN 1 ELSE hi - lo END)::INT AS norm FROM (
+@query(f"""SELECT image_id, {_NORMS} FROM (SELECT u.image_id, u.px, u.py, floor((depth_mm - lo) * 100.0::DOUBLE / CASE WHEN hi = lo THEN 1 ELSE hi - lo END)::BIGINT AS norm FROM (
     SELECT DISTINCT image_id, px, py FROM mask_px) u JOIN depth_px d USING (image_id, px, py) JOIN (SELECT image_id, min(depth_mm) AS lo, max(depth_mm) AS hi FROM depth_px
     SEMI JOIN mask_px USING (image_id, px, py) GROUP BY ALL) USING (image_id) WHERE depth_mm IS NOT NULL) GROUP BY ALL""")
 def pf17_normalise_masked(spark, d):
-    from ..operators.regions import union_of_masks
+    from ..operators.regions import gather_depth, union_of_masks
 
-    inside = X.depth_px(spark, d).where("depth_mm is not null").join(union_of_masks(X.mask_px(spark, d)), ["image_id", "px", "py"], "left_semi")
-    p = G.normalise(inside, ["image_id"], "depth_mm", 100.0, widen=1.0)
-    return p.groupBy("image_id", F.floor("norm").cast("int").alias("norm")).agg(F.count(F.lit(1)).alias("n"))
+    inside = gather_depth(union_of_masks(X.mask_words(spark, d)), X.depth_tiles(spark, d), ["image_id"]).where("depth_mm is not null")
+    return _norm_census(G.normalise(inside, ["image_id"], "depth_mm", 100.0, widen=1.0), ["image_id"])
 
 
 @query("""SELECT image_id, obj_idx, count(*) AS n, sum(floor(CASE WHEN hi = lo THEN 0 ELSE (depth_mm - lo) * 1000.0::DOUBLE / (hi - lo) END))::BIGINT AS total FROM (
-    SELECT b.image_id, b.obj_idx, p.depth_mm, min(depth_mm) OVER w AS lo, max(depth_mm) OVER w AS hi FROM boxes b JOIN depth_px p ON p.image_id = b.image_id
-    AND p.px >= b.x1 AND p.px < b.x2 AND p.py >= b.y1 AND p.py < b.y2 WHERE depth_mm IS NOT NULL WINDOW w AS (PARTITION BY b.image_id, b.obj_idx)) GROUP BY ALL""")
+    SELECT b.image_id, b.obj_idx, p.depth_mm, min(depth_mm) OVER w AS lo, max(depth_mm) OVER w AS hi FROM box_px b JOIN depth_px p USING (image_id, px, py)
+    WHERE depth_mm IS NOT NULL WINDOW w AS (PARTITION BY b.image_id, b.obj_idx)) GROUP BY ALL""")
 def pf18_normalise_in_box(spark, d):
     b = boxes(spark, d).select("image_id", "obj_idx", "x1", "y1", "x2", "y2")
-    p = G.normalise(G.crop(X.depth_px(spark, d).where("depth_mm is not null"), b), ["image_id", "obj_idx"], "depth_mm", 1000.0)
+    p = G.normalise(G.crop(X.depth_tiles(spark, d), b).where("depth_mm is not null"), ["image_id", "obj_idx"], "depth_mm", 1000.0)
     return p.groupBy("image_id", "obj_idx").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor("norm")).cast("long").alias("total"))
 
 
-@query("""SELECT image_id, q, count(*) AS n FROM (SELECT image_id, floor(least(greatest(depth_mm / 1000.0::DOUBLE / CASE WHEN image_id % 200 = 0 THEN 20.0::DOUBLE ELSE 80.0::DOUBLE END * 65535, 0), 65535))::INT // 256 AS q
+@query(f"""SELECT image_id, {_NORMS} FROM (SELECT image_id, px, py, floor(least(greatest(depth_mm / 1000.0::DOUBLE / CASE WHEN image_id % 200 = 0 THEN 20.0::DOUBLE ELSE 80.0::DOUBLE END * 65535, 0), 65535))::BIGINT AS norm
     FROM depth_px WHERE depth_mm IS NOT NULL) GROUP BY ALL""")
 def pf19_quantise(spark, d):
     q = G.quantise16(F.col("depth_mm") / 1000.0, F.col("image_id") % 200 == 0)
-    p = X.depth_px(spark, d).where("depth_mm is not null").select("image_id", q.alias("q16"))
-    return p.groupBy("image_id", F.floor(F.col("q16") / 256).cast("int").alias("q")).agg(F.count(F.lit(1)).alias("n"))
+    return _norm_census(X.depth_px(spark, d).where("depth_mm is not null").withColumn("q16", q), ["image_id"], "q16")
 
 
 @query("SELECT image_id, count(*) AS pixels, count(depth_mm) AS finite FROM depth_px GROUP BY ALL")
@@ -173,11 +181,10 @@ def pf20_finite(spark, d):
     return p.groupBy("image_id").agg(F.count(F.lit(1)).alias("pixels"), F.count_if(G.is_finite(F.col("depth"))).alias("finite"))
 
 
-@query("""SELECT b.image_id, b.obj_idx, count(*) AS n, sum(p.depth_mm)::BIGINT AS total FROM boxes b JOIN depth_px p ON p.image_id = b.image_id
-    AND p.px >= b.x1 AND p.px < b.x2 AND p.py >= b.y1 AND p.py < b.y2 GROUP BY ALL""")
+@query("SELECT image_id, obj_idx, count(*) AS n, sum(depth_mm)::BIGINT AS total FROM box_px JOIN depth_px USING (image_id, px, py) GROUP BY ALL")
 def pf21_crop(spark, d):
     b = boxes(spark, d).select("image_id", "obj_idx", "x1", "y1", "x2", "y2")
-    return G.crop(X.depth_px(spark, d), b).groupBy("image_id", "obj_idx").agg(F.count(F.lit(1)).alias("n"), F.sum("depth_mm").alias("total"))
+    return G.crop(X.depth_tiles(spark, d), b).groupBy("image_id", "obj_idx").agg(F.count(F.lit(1)).alias("n"), F.sum("depth_mm").alias("total"))
 
 
 _PARTS = f"""SELECT doc_id, p, min(i) AS i FROM (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id,

@@ -17,16 +17,16 @@ from .registry import query
 OBJ = Q.OBJ
 
 
-def pixels(spark: SparkSession, d: str) -> DataFrame:
-    return X.mask_px(spark, d).select(*OBJ, "px", "py")
+def masks(spark: SparkSession, d: str) -> DataFrame:
+    return X.mask_words(spark, d).select(*Q.WORD, "bits")
 
 
 def eroded(spark: SparkSession, d: str) -> DataFrame:
-    return Q.erode(pixels(spark, d), X.grid_size(spark, d))
+    return Q.erode(masks(spark, d), X.grid_size(spark, d))
 
 
 def clipped(spark: SparkSession, d: str) -> DataFrame:
-    return Q.sigma_clip(Q.gather_depth(eroded(spark, d), X.depth_px(spark, d)))
+    return Q.sigma_clip(Q.gather_depth(eroded(spark, d), X.depth_tiles(spark, d)))
 
 
 def near(spark: SparkSession, d: str) -> DataFrame:
@@ -35,11 +35,11 @@ def near(spark: SparkSession, d: str) -> DataFrame:
 
 
 def areas(spark: SparkSession, d: str) -> DataFrame:
-    return eroded(spark, d).groupBy(*OBJ).agg(F.count(F.lit(1)).alias("num_pixels"))
+    return eroded(spark, d).groupBy(*OBJ).agg(F.sum(F.bit_count("bits")).alias("num_pixels"))
 
 
-def objects_with_pixels(spark: SparkSession, d: str) -> DataFrame:
-    return X.detections(spark, d).where(F.col("image_id") % X.PIXEL_IMAGES == 0).select(*OBJ)
+def all_objects(spark: SparkSession, d: str) -> DataFrame:
+    return X.detections(spark, d).select(*OBJ)
 
 
 def census(px: DataFrame) -> DataFrame:
@@ -52,53 +52,55 @@ _CENSUS = "SELECT image_id, obj_idx, count(*) AS n, sum(px)::BIGINT AS sx, sum(p
 
 @query(_CENSUS.format("mask_px"))
 def rg01_coordinates(spark, d):
-    """Pixels to runs and back."""
-    return census(Q.run_lengths_to_pixels(Q.pixels_to_run_lengths(pixels(spark, d), OBJ), OBJ))
+    """Pixels to runs, and those to words and pixels."""
+    runs = Q.pixels_to_run_lengths(X.mask_px(spark, d), OBJ)
+    return census(Q.words_to_pixels(Q.run_lengths_to_words(runs)))
 
 
 @query("SELECT image_id, obj_idx, k0 AS k FROM kernel")
 def rg02_erosion_size(spark, d):
-    return Q.extents(pixels(spark, d)).select(*OBJ, Q.erosion_size().alias("k"))
+    return Q.extents(masks(spark, d)).select(*OBJ, Q.erosion_size().alias("k"))
 
 
 @query(_CENSUS.format("eroded"))
 def rg03_erode(spark, d):
-    return census(eroded(spark, d))
+    return census(Q.words_to_pixels(eroded(spark, d)))
 
 
 @query(_CENSUS.format("dilated"))
 def rg04_dilate(spark, d):
-    return census(Q.dilate(eroded(spark, d), X.grid_size(spark, d)))
+    return census(Q.words_to_pixels(Q.dilate(eroded(spark, d), X.grid_size(spark, d))))
 
 
 @query(_CENSUS.format("ring"))
 def rg05_ring(spark, d):
     """Also ST-03."""
-    return census(Q.border_ring(eroded(spark, d), X.grid_size(spark, d)))
+    return census(Q.words_to_pixels(Q.border_ring(eroded(spark, d), X.grid_size(spark, d))))
 
 
 @query("SELECT image_id, count(*) AS n, sum(px)::BIGINT AS sx, sum(py)::BIGINT AS sy FROM (SELECT DISTINCT image_id, px, py FROM mask_px) GROUP BY ALL")
 def rg06_union(spark, d):
     """Also ST-04."""
-    return Q.union_of_masks(X.mask_px(spark, d)).groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.sum("px").alias("sx"), F.sum("py").alias("sy"))
+    u = Q.union_of_masks(masks(spark, d)).withColumn("obj_idx", F.lit(0))
+    return Q.words_to_pixels(u).groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.sum("px").alias("sx"), F.sum("py").alias("sy"))
 
 
 @query("""SELECT p.image_id, p.a, p.b, greatest(0, least(m.x_min, n.x_min) - 10) AS x1, greatest(0, least(m.y_min, n.y_min) - 10) AS y1,
     least(gw, greatest(m.x_max, n.x_max) + 10) AS x2, least(gh, greatest(m.y_max, n.y_max) + 10) AS y2 FROM mask_pairs p JOIN sized USING (image_id)
     JOIN mask_area m ON m.image_id = p.image_id AND m.obj_idx = p.a JOIN mask_area n ON n.image_id = p.image_id AND n.obj_idx = p.b""")
 def rg07_union_window(spark, d):
-    px = pixels(spark, d)
-    return Q.union_window(P.mask_iou_pairs(px).select("image_id", "a", "b"), Q.extents(px), X.grid_size(spark, d))
+    w = masks(spark, d)
+    return Q.union_window(P.mask_iou_pairs(w).select("image_id", "a", "b"), Q.extents(w), X.grid_size(spark, d))
 
 
 @query("SELECT image_id, obj_idx, area, x_min, x_max, y_min, y_max FROM mask_area")
 def ag01_extents(spark, d):
-    return Q.extents(pixels(spark, d))
+    return Q.extents(masks(spark, d))
 
 
 @query("SELECT image_id, obj_idx, count(*) AS n, count(depth_mm) AS finite, sum(depth_mm)::BIGINT AS total FROM mask_px JOIN depth_px USING (image_id, px, py) GROUP BY ALL")
 def jn01_gather(spark, d):
-    g = Q.gather_depth(pixels(spark, d), X.depth_px(spark, d))
+    g = Q.gather_depth(masks(spark, d), X.depth_tiles(spark, d))
     return g.groupBy(*OBJ).agg(F.count(F.lit(1)).alias("n"), F.count("depth_mm").alias("finite"), F.sum("depth_mm").alias("total"))
 
 
@@ -140,12 +142,12 @@ def ag07_histogram_mode(spark, d):
 
 @query("SELECT image_id, obj_idx, separation, transparent FROM region WHERE num_pixels > 0")
 def ag08_separation(spark, d):
-    px, sizes, depth = eroded(spark, d), X.grid_size(spark, d), X.depth_px(spark, d)
-    return Q.separation(Q.depth_stats(clipped(spark, d)), Q.gather_depth(Q.border_ring(px, sizes), depth))
+    w, sizes, depth = eroded(spark, d), X.grid_size(spark, d), X.depth_tiles(spark, d)
+    return Q.separation(Q.depth_stats(clipped(spark, d)), Q.gather_depth(Q.border_ring(w, sizes), depth))
 
 
-def region(spark: SparkSession, d: str, eroded_: bool = True) -> DataFrame:
-    return Q.region_stats(objects_with_pixels(spark, d), X.mask_px(spark, d), X.depth_px(spark, d), X.grid_size(spark, d), eroded=eroded_)
+def region(spark: SparkSession, d: str) -> DataFrame:
+    return Q.region_stats(all_objects(spark, d), masks(spark, d), X.depth_tiles(spark, d), X.grid_size(spark, d))
 
 
 @query("SELECT * FROM region")
@@ -164,7 +166,7 @@ def ag09_region_stats(spark, d):
             FROM mask_px JOIN depth_px USING (image_id, px, py) GROUP BY ALL) c USING (image_id, obj_idx) WHERE d.depth_mm IS NOT NULL)) WHERE ok OR m < 5 GROUP BY ALL) USING (image_id, obj_idx)) w
     USING (image_id, obj_idx)""")
 def ag10_erosion_comparison(spark, d):
-    c = Q.erosion_comparison(objects_with_pixels(spark, d), X.mask_px(spark, d), X.depth_px(spark, d), X.grid_size(spark, d))
+    c = Q.erosion_comparison(all_objects(spark, d), masks(spark, d), X.depth_tiles(spark, d), X.grid_size(spark, d))
     return c.select(*OBJ, "d_mean", "d_std", "num_pixels", "raw_d_mean", "raw_d_std", "raw_num_pixels")
 
 
@@ -175,7 +177,7 @@ def ag11_grid_stats(spark, d):
 
 @query("SELECT image_id, a, b, inter, round(iou, 6) AS iou FROM mask_pairs")
 def jn02_mask_iou(spark, d):
-    return P.mask_iou_pairs(pixels(spark, d)).withColumn("iou", F.round("iou", 6))
+    return P.mask_iou_pairs(masks(spark, d)).withColumn("iou", F.round("iou", 6))
 
 
 @query("SELECT image_id, a, b, round(iou, 6) AS iou FROM box_pairs")
@@ -186,8 +188,8 @@ def jn03_box_iou(spark, d):
 @query("SELECT * FROM dedup")
 def jn04_dedup(spark, d):
     """Also ST-01: the bag union of primaries and survivors."""
-    o = X.detections(spark, d).where(F.col("image_id") % X.PIXEL_IMAGES == 0).select(*OBJ, "segmentor")
-    return P.dedup_masks(o, X.mask_px(spark, d)).select(*OBJ, "origin")
+    o = X.detections(spark, d).select(*OBJ, "segmentor")
+    return P.dedup_masks(o, X.mask_words(spark, d)).select(*OBJ, "origin")
 
 
 def indexed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -219,9 +221,9 @@ def jn07_nearest(spark, d):
     return P.nearest(boxes(spark, d)).select("image_id", "a", "b", "rank")
 
 
-@query("SELECT k.image_id, k.a, k.b FROM knn k SEMI JOIN (SELECT * FROM mask_pairs WHERE iou >= 0.02) USING (image_id, a, b)")
+@query("SELECT image_id, a, b FROM mask_pairs WHERE iou >= 0.02")
 def jn08_semantic_gate(spark, d):
-    return P.semantic_gate(P.nearest(boxes(spark, d)).select("image_id", "a", "b"), P.mask_iou_pairs(pixels(spark, d)))
+    return P.semantic_gate(P.mask_iou_pairs(masks(spark, d)))
 
 
 @query("""SELECT image_id, coalesce(n_a, 0) AS n_a, coalesce(n_b, 0) AS n_b, conf_a, conf_b FROM (SELECT image_id, count(*) AS n_a, sum(conf_pct) / count(*)::DOUBLE AS conf_a FROM detections WHERE segmentor = 'GroundedSAM2' GROUP BY ALL)

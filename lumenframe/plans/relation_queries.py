@@ -19,7 +19,7 @@ from ..sources import io as IO
 from ..streaming.ema import stream_ema
 from ..streaming.ingest import ingest_new_files
 from .geometry_queries import boxes, camera_of, labelled
-from .region_queries import pixels
+from .region_queries import masks
 from .registry import query
 from .sql import STEPS, relation_case
 
@@ -55,8 +55,8 @@ def sc10_box_relations(spark, d):
 
 @query(_MASK_EDGES)
 def sc09_mask_relations(spark, d):
-    """The same from masks and depth (SC-09); images without pixels have no overlaps."""
-    return R.mask_scaffold(boxes(spark, d).withColumn("z", F.col("z_mm")), P.mask_iou_pairs(pixels(spark, d), eps=1e-8))
+    """The same from masks and depth (SC-09)."""
+    return R.mask_scaffold(boxes(spark, d).withColumn("z", F.col("z_mm")), P.mask_iou_pairs(masks(spark, d), eps=1e-8))
 
 
 @query("SELECT predicate, round(score, 4) AS score, count(*) AS n FROM (" + _MASK_EDGES + ") GROUP BY ALL")
@@ -66,7 +66,7 @@ def sc11_scores(spark, d):
 
 
 def semantic(spark: SparkSession, d: str) -> DataFrame:
-    pairs = P.mask_iou_pairs(pixels(spark, d)).where("iou >= 0.02")
+    pairs = P.mask_iou_pairs(masks(spark, d)).where("iou >= 0.02")
     pred = X.detections(spark, d).join(X.captions(spark, d), "part_id").select("image_id", F.col("obj_idx").alias("a"), L.relation_phrase(F.col("caption")).alias("predicate"))
     return pairs.join(pred, ["image_id", "a"]).where("predicate is not null").select("image_id", F.col("a").alias("sub_idx"), F.col("b").alias("obj_idx"), "predicate", F.lit(0.75).alias("score"))
 
@@ -151,12 +151,13 @@ def io02_sample_frames(spark, d):
 def io03_depth_reuse(spark, d):
     """Half of the grids are stored by an earlier run; the others are computed now."""
     folder = work_folder(spark) + "/grids"
-    depth = X.depth_px(spark, d)
+    depth = X.depth_tiles(spark, d)
     IO.write_grids(depth.where("image_id % 200 = 0"), folder)
     stored = spark.read.parquet(folder).drop("bucket")
     todo = IO.images_without_grid(X.grid_size(spark, d).select("image_id"), stored)
     both = stored.withColumn("reused", F.lit(True)).unionByName(depth.join(todo, "image_id", "left_semi").withColumn("reused", F.lit(False)))
-    return both.groupBy("image_id", "reused").agg(F.count(F.lit(1)).alias("pixels"), F.sum("depth_mm").alias("total"))
+    px = both.select("image_id", "reused", F.explode("depth").alias("depth_mm"))
+    return px.groupBy("image_id", "reused").agg(F.count(F.lit(1)).alias("pixels"), F.sum("depth_mm").alias("total"))
 
 
 @query("SELECT model, image_id::VARCHAR AS image_stem, label, round(conf, 6) AS conf, det_id::DOUBLE AS x1 FROM runs")

@@ -31,7 +31,7 @@ STEPS = {
     "frames": """SELECT o_orderkey::BIGINT AS image_id, (640 + (o_custkey % 8) * 320)::BIGINT AS width,
         (480 + (o_custkey % 5) * 240)::BIGINT AS height, (o_orderkey % 10)::BIGINT AS camera_id,
         CASE WHEN o_orderkey % 5000 = 0 THEN 12 ELSE 1 END AS s FROM orders""",
-    "sized": "SELECT image_id, (64 * s)::BIGINT AS gw, (64 * s)::BIGINT AS gh FROM frames WHERE image_id % 100 = 0",
+    "sized": "SELECT image_id, (64 * s)::BIGINT AS gw, (64 * s)::BIGINT AS gh FROM frames",
     "base_det": """SELECT l_orderkey::BIGINT AS image_id,
         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) - 1 AS obj_idx,
         CASE l_returnflag WHEN 'A' THEN 'GroundedSAM2' WHEN 'N' THEN 'SAM2_AMG' ELSE 'SAM3' END AS segmentor,
@@ -43,8 +43,9 @@ STEPS = {
         WHERE segmentor = 'GroundedSAM2' AND part_id % 3 = 0""",
     "boxes": "SELECT *, x AS x1, y AS y1, x + w AS x2, y + h AS y2, x + w / 2.0 AS ux, y + h / 2.0 AS uy FROM detections",
     "mask_px": """SELECT * FROM (SELECT image_id, obj_idx, segmentor, z_mm, px, unnest(range(y, y + h)) AS py
-        FROM (SELECT *, unnest(range(x, x + w)) AS px FROM detections WHERE image_id % 100 = 0))
+        FROM (SELECT *, unnest(range(x, x + w)) AS px FROM detections))
         WHERE (px * 7 + py * 13 + image_id) % 11 <> 0""",
+    "box_px": """SELECT image_id, obj_idx, px, unnest(range(y, y + h)) AS py FROM (SELECT *, unnest(range(x, x + w)) AS px FROM detections)""",
     "depth_px": """SELECT g.image_id, g.px, g.py, CASE WHEN (g.px + g.py * 29 + g.image_id) % 211 <> 0 THEN
         coalesce(c.z, 9000) + (g.px * 11 + g.py * 17 + g.image_id) % 97 + CASE WHEN (g.px * 5 + g.py * 3 + g.image_id) % 41 = 0 THEN 4000 ELSE 0 END END AS depth_mm
         FROM (SELECT image_id, px, unnest(range(gh)) AS py FROM (SELECT *, unnest(range(gw)) AS px FROM sized)) g
@@ -106,9 +107,8 @@ STEPS = {
     "eroded": """SELECT p.image_id, p.obj_idx, p.px, p.py FROM mask_px p JOIN kernel k USING (image_id, obj_idx) WHERE k.k <= 1
         OR (p.image_id, p.obj_idx) NOT IN (SELECT (image_id, obj_idx) FROM hits WHERE n = want)
         UNION ALL SELECT image_id, obj_idx, px, py FROM hits WHERE n = want""",
-    "dilated": """SELECT DISTINCT image_id, obj_idx, px + dx AS px, py + dy AS py FROM eroded JOIN sized USING (image_id),
-        (SELECT unnest(range(-2, 3)) AS dx) o, (SELECT unnest(range(-2, 3)) AS dy) q
-        WHERE px + dx BETWEEN 0 AND gw - 1 AND py + dy BETWEEN 0 AND gh - 1""",
+    "widened": """SELECT DISTINCT image_id, obj_idx, px + dx AS px, py FROM eroded JOIN sized USING (image_id), (SELECT unnest(range(-2, 3)) AS dx) o WHERE px + dx BETWEEN 0 AND gw - 1""",
+    "dilated": """SELECT DISTINCT image_id, obj_idx, px, py + dy AS py FROM widened JOIN sized USING (image_id), (SELECT unnest(range(-2, 3)) AS dy) q WHERE py + dy BETWEEN 0 AND gh - 1""",
     "ring": "SELECT * FROM dilated ANTI JOIN eroded USING (image_id, obj_idx, px, py)",
     "seen": "SELECT e.*, d.depth_mm FROM eroded e JOIN depth_px d USING (image_id, px, py) WHERE d.depth_mm IS NOT NULL",
     "clip_of": """SELECT image_id, obj_idx, count(*) AS n, sum(depth_mm)::BIGINT AS s, sum(depth_mm * depth_mm)::BIGINT AS q FROM seen GROUP BY ALL""",
@@ -137,7 +137,7 @@ STEPS = {
         CASE WHEN s.n IS NOT NULL THEN coalesce(m.z_pixels, s.n) ELSE 0 END AS z_val_pixels,
         coalesce(abs(s.s / s.n::DOUBLE - r.ring_mm) < 150, false) AS transparent, coalesce(floor((abs(s.s / s.n::DOUBLE - r.ring_mm)) * 10 + 0.500001::DOUBLE) / 10000, 0) AS separation,
         coalesce(u, gw // 2) AS u, coalesce(v, gh // 2) AS v
-        FROM (SELECT DISTINCT image_id, obj_idx FROM detections WHERE image_id % 100 = 0) o JOIN sized USING (image_id)
+        FROM (SELECT DISTINCT image_id, obj_idx FROM detections) o JOIN sized USING (image_id)
         LEFT JOIN pixels_of p USING (image_id, obj_idx) LEFT JOIN stats s USING (image_id, obj_idx) LEFT JOIN snapped USING (image_id, obj_idx)
         LEFT JOIN mode m USING (image_id, obj_idx) LEFT JOIN ring_of r USING (image_id, obj_idx)""",
     "wanted": """SELECT *, lower(trim(sub)) AS ns, lower(trim(obj)) AS nt FROM triplets""",

@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.labels import caption_noun, relation_phrase
-
-#: Every image_id that is a multiple of this has pixels.
-PIXEL_IMAGES = 100
+from ..functions.labels import caption_noun, object_id, relation_phrase
+from ..operators import regions as Q
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,29 +51,57 @@ def detections(spark: SparkSession, d: str) -> DataFrame:
     return base.unionByName(echo).drop("s")
 
 
+def mask_words(spark: SparkSession, d: str) -> DataFrame:
+    """The masks of all detections as words: boxes with a hole in every eleventh pixel."""
+    b = detections(spark, d)
+    rows = b.select(
+        "image_id", "obj_idx", "segmentor", "z_mm", F.col("x").alias("x0"), (F.col("x") + F.col("w")).alias("x1"), F.explode(F.sequence("y", F.col("y") + F.col("h") - 1)).alias("py")
+    )
+    words = Q.ranges_to_words(rows, ("segmentor", "z_mm"))
+    # 7 * px + 13 * py + image_id is a multiple of 11; 8 is the inverse of 7
+    first = F.pmod(-8 * (13 * F.col("py") + F.col("image_id")) - F.col("tx") * Q.TILE, F.lit(11))
+    holes = F.call_function("shiftleft", F.lit(1 | 1 << 11 | 1 << 22), first.cast("int"))
+    return words.withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(holes))).where("bits <> 0")
+
+
 def mask_px(spark: SparkSession, d: str) -> DataFrame:
-    boxes = detections(spark, d).where(F.col("image_id") % PIXEL_IMAGES == 0)
-    rows = boxes.select("image_id", "obj_idx", "segmentor", "z_mm", "y", "h", F.explode(F.sequence("x", F.col("x") + F.col("w") - 1)).alias("px"))
-    rows = rows.select("image_id", "obj_idx", "segmentor", "z_mm", "px", F.explode(F.sequence("y", F.col("y") + F.col("h") - 1)).alias("py"))
-    return rows.where((F.col("px") * 7 + F.col("py") * 13 + F.col("image_id")) % 11 != 0)
+    return Q.words_to_pixels(mask_words(spark, d), ("segmentor", "z_mm"))
+
+
+def _covered_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """image_id, py, tx of all grids, and the words of the masks on each (null: none)."""
+    grid = grid_size(spark, d)
+    grid = grid.select("image_id", "gw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("gh") - 1)).alias("py"))
+    grid = grid.select("image_id", "py", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"gw div {Q.TILE} - 1"))).alias("tx"))
+    cover = mask_words(spark, d).groupBy("image_id", "py", "tx").agg(F.collect_list(F.struct("bits", "z_mm")).alias("cover"))
+    return grid.join(cover, ["image_id", "py", "tx"], "left")
+
+
+def _depth_at(j: F.Column) -> F.Column:
+    """The depth of pixel j of a tile: the nearest mask on it, or the wall, and noise."""
+    px, py, i = F.col("tx") * Q.TILE + j, F.col("py"), F.col("image_id")
+    nearer = lambda z, c: F.when(F.getbit(c["bits"], j) == 1, F.least(z, c["z_mm"])).otherwise(z)
+    nearest = F.coalesce(F.aggregate("cover", F.lit(None).cast("long"), nearer), F.lit(9000))
+    z = F.when(F.col("cover").isNull(), F.lit(9000)).otherwise(nearest)
+    value = z + (px * 11 + py * 17 + i) % 97 + F.when((px * 5 + py * 3 + i) % 41 == 0, 4000).otherwise(0)
+    return F.when((px + py * 29 + i) % 211 != 0, value.cast("long"))
+
+
+def depth_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """The depth grids of all frames, 32 pixels of a grid row to a row."""
+    depth = F.transform(F.sequence(F.lit(0), F.lit(Q.TILE - 1)), _depth_at)
+    return _covered_tiles(spark, d).select("image_id", "py", "tx", depth.alias("depth"))
 
 
 def depth_px(spark: SparkSession, d: str) -> DataFrame:
-    side = F.col("s") * 64
-    grid = frames(spark, d).where(F.col("image_id") % PIXEL_IMAGES == 0).select("image_id", side.cast("long").alias("side"))
-    grid = grid.select("image_id", "side", F.explode(F.sequence(F.lit(0).cast("long"), F.col("side") - 1)).alias("py"))
-    grid = grid.select("image_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("side") - 1)).alias("px"), "py")
-    cover = mask_px(spark, d).groupBy("image_id", "px", "py").agg(F.min("z_mm").alias("z"))
-    px, py, i = F.col("px"), F.col("py"), F.col("image_id")
-    value = F.coalesce("z", F.lit(9000)) + (px * 11 + py * 17 + i) % 97 + F.when((px * 5 + py * 3 + i) % 41 == 0, 4000).otherwise(0)
-    return grid.join(cover, ["image_id", "px", "py"], "left").select(
-        "image_id", "px", "py", F.when((px + py * 29 + i) % 211 != 0, value.cast("long")).alias("depth_mm")
-    )
+    """The same with a row for each pixel."""
+    px = _covered_tiles(spark, d).select("*", F.explode(F.sequence(F.lit(0), F.lit(Q.TILE - 1))).alias("j"))
+    return px.select("image_id", (F.col("tx") * Q.TILE + F.col("j")).alias("px"), "py", _depth_at(F.col("j")).alias("depth_mm"))
 
 
 def grid_size(spark: SparkSession, d: str) -> DataFrame:
     side = (F.col("s") * 64).cast("long")
-    return frames(spark, d).where(F.col("image_id") % PIXEL_IMAGES == 0).select("image_id", side.alias("gw"), side.alias("gh"))
+    return frames(spark, d).select("image_id", side.alias("gw"), side.alias("gh"))
 
 
 def cameras(spark: SparkSession, d: str) -> DataFrame:

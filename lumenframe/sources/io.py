@@ -39,9 +39,9 @@ def scan_images(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = IM
 
 
 def write_grids(depth: DataFrame, path: str, buckets: int = 16) -> None:
-    """IO-03: depth pixels by image, at rest in a bounded number of folders."""
+    """IO-03: depth tiles by image, at rest in a bounded number of folders."""
     b = F.pmod(F.xxhash64("image_id"), F.lit(buckets))
-    depth.withColumn("bucket", b).repartition("bucket").sortWithinPartitions("image_id", "py", "px").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    depth.withColumn("bucket", b).repartition("bucket").sortWithinPartitions("image_id", "py", "tx").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def images_without_grid(frames: DataFrame, grids: DataFrame) -> DataFrame:

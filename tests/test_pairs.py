@@ -45,8 +45,8 @@ def test_box_iou_with_any_tile(boxes, tile):
 
 
 def pixels(spark, masks):
-    rows = [(i, o, s, x, y) for i, o, s, x0, y0, w, h in masks for x in range(x0, x0 + w) for y in range(y0, y0 + h)]
-    return spark.createDataFrame(rows, "image_id long, obj_idx long, segmentor string, px long, py long")
+    rows = [(i, o, s, y, 0, ((1 << w) - 1) << x0) for i, o, s, x0, y0, w, h in masks for y in range(y0, y0 + h)]
+    return spark.createDataFrame(rows, "image_id long, obj_idx long, segmentor string, py long, tx long, bits long")
 
 
 def test_dedup_is_idempotent(spark):

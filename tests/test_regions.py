@@ -23,8 +23,23 @@ def sizes(spark):
     return lambda n: spark.createDataFrame([(0, n, n)], "image_id long, gw long, gh long")
 
 
+@pytest.fixture
+def words(spark, px):
+    """A mask as words, by way of its run lengths."""
+    return lambda rows: Q.run_lengths_to_words(Q.pixels_to_run_lengths(px(rows), Q.OBJ))
+
+
 def as_set(df):
-    return {(r.px, r.py) for r in df.collect()}
+    px = Q.words_to_pixels(df) if "bits" in df.columns else df
+    got = [(r.px, r.py) for r in px.collect()]
+    assert len(set(got)) == len(got)
+    return set(got)
+
+
+def tiles(spark, w, h, value):
+    """A grid whose pixels are value(x, y)."""
+    rows = [(0, y, t, [value(x, y) for x in range(32 * t, min(w, 32 * t + 32))]) for y in range(h) for t in range(-(-w // 32))]
+    return spark.createDataFrame(rows, "image_id long, py long, tx long, depth array<long>")
 
 
 def plain_erosion(mask, k, n):
@@ -34,40 +49,62 @@ def plain_erosion(mask, k, n):
 
 
 @pytest.mark.parametrize("k", [1, 2, 3, 5])
-@pytest.mark.parametrize("at", [0, 3])
-def test_erosion_of_each_size(px, sizes, k, at):
+@pytest.mark.parametrize("at,n", [(0, 20), (3, 20), (25, 41), (25, 64), (52, 64)])
+def test_erosion_of_each_size(words, sizes, k, at, n):
+    """At the image's borders, and across the border of two words."""
     rows = [r for r in square(at, at, 12, 12) if (r[2] * 3 + r[3]) % 29]
     mask = {(r[2], r[3]) for r in rows}
-    got = as_set(Q.erode(px(rows), sizes(20), Config(erosion=k, adaptive_erosion=False)))
-    want = plain_erosion(mask, k, 20) if len(mask) > 4 * k * k else mask
+    got = as_set(Q.erode(words(rows), sizes(n), Config(erosion=k, adaptive_erosion=False)))
+    want = plain_erosion(mask, k, n) if len(mask) > 4 * k * k else mask
     assert got == (want or mask)
 
 
-def test_erosion_leaves_small_and_vanishing_masks(px, sizes):
+def test_erosion_leaves_small_and_vanishing_masks(words, sizes):
     small = square(5, 5, 4, 4)
-    assert as_set(Q.erode(px(small), sizes(20), Config(erosion=2, adaptive_erosion=False))) == {(r[2], r[3]) for r in small}
+    assert as_set(Q.erode(words(small), sizes(20), Config(erosion=2, adaptive_erosion=False))) == {(r[2], r[3]) for r in small}
     line = [(0, 0, x, 7) for x in range(30)]
-    assert as_set(Q.erode(px(line), sizes(40), Config(erosion=2, adaptive_erosion=False))) == {(r[2], r[3]) for r in line}
+    assert as_set(Q.erode(words(line), sizes(40), Config(erosion=2, adaptive_erosion=False))) == {(r[2], r[3]) for r in line}
 
 
 @pytest.mark.parametrize("side,k", [(14, 0), (15, 1), (39, 1), (40, 2), (79, 2), (80, 3), (149, 3), (150, 5)])
-def test_erosion_size_table(px, side, k):
+def test_erosion_size_table(words, side, k):
     corners = [(0, 0, 0, 0), (0, 0, side - 1, 400), (0, 0, 3, 3)]
-    assert Q.extents(px(corners)).select(Q.erosion_size().alias("k")).first().k == k
+    got = Q.extents(words(corners)).select("*", Q.erosion_size().alias("k")).first()
+    assert got.k == k and (got.area, got.x_min, got.x_max, got.y_min, got.y_max) == (3, 0, side - 1, 0, 400)
 
 
-def test_dilation_and_ring(px, sizes):
-    got = Q.dilate(px([(0, 0, 0, 0), (0, 0, 9, 5)]), sizes(10))
-    want = {(x, y) for a, b in ((0, 0), (9, 5)) for x in range(a - 2, a + 3) for y in range(b - 2, b + 3) if 0 <= x < 10 and 0 <= y < 10}
-    assert as_set(got) == want
-    assert as_set(Q.border_ring(px([(0, 0, 0, 0), (0, 0, 9, 5)]), sizes(10))) == want - {(0, 0), (9, 5)}
+@pytest.mark.parametrize("n", [10, 33, 64, 65])
+def test_dilation_and_ring(words, sizes, n):
+    points = {(0, 0), (9, 5), (n - 1, n - 1), (min(31, n - 2), 3)}
+    rows = [(0, 0, x, y) for x, y in points]
+    want = {(x, y) for a, b in points for x in range(a - 2, a + 3) for y in range(b - 2, b + 3) if 0 <= x < n and 0 <= y < n}
+    assert as_set(Q.dilate(words(rows), sizes(n))) == want
+    assert as_set(Q.border_ring(words(rows), sizes(n))) == want - points
 
 
-def test_runs_and_back(px):
-    rows = [r for r in square(2, 3, 9, 4) if r[2] % 4]
+def test_runs_and_back(px, words):
+    rows = [r for r in square(2, 3, 90, 4) if r[2] % 4]
     runs = Q.pixels_to_run_lengths(px(rows), Q.OBJ)
-    assert runs.count() == 1 and len(runs.first().runs) == 4 * 3
-    assert as_set(Q.run_lengths_to_pixels(runs, Q.OBJ)) == {(r[2], r[3]) for r in rows}
+    assert runs.count() == 1 and len(runs.first().runs) == 4 * 23
+    assert as_set(Q.run_lengths_to_pixels(runs, Q.OBJ)) == {(r[2], r[3]) for r in rows} == as_set(words(rows))
+
+
+def test_box_crop_is_half_open(spark):
+    from lumenframe.operators.geometry import crop
+
+    boxes = spark.createDataFrame([(0, 0, -3, -2, 5, 1), (0, 1, 30, 2, 34, 4), (0, 2, 4, 4, 4, 9), (0, 3, 60, 0, 70, 1)], "image_id long, obj_idx long, x1 long, y1 long, x2 long, y2 long")
+    got = {(r.obj_idx, r.px, r.py): r.depth_mm for r in crop(tiles(spark, 66, 5, lambda x, y: 100 * x + y), boxes).collect()}
+    want = {(0, x, 0) for x in range(5)} | {(1, x, y) for x in range(30, 34) for y in (2, 3)} | {(3, x, 0) for x in range(60, 66)}
+    assert set(got) == want and all(v == 100 * x + y for (_, x, y), v in got.items())
+
+
+@pytest.mark.parametrize("w,h,ow,oh", [(64, 6, 32, 2), (70, 5, 23, 5), (40, 4, 80, 9)])
+def test_resampling_takes_the_nearest_source(spark, w, h, ow, oh):
+    from lumenframe.operators.geometry import resample_grid
+
+    sizes = spark.createDataFrame([(0, w, h)], "image_id long, gw long, gh long")
+    got = {(r.px, r.py): r.depth_mm for r in resample_grid(tiles(spark, w, h, lambda x, y: 100 * x + y), sizes, F.lit(ow), F.lit(oh)).collect()}
+    assert got == {(x, y): 100 * (x * w // ow) + y * h // oh for x in range(ow) for y in range(oh)}
 
 
 def depths(spark, values):
@@ -91,18 +128,18 @@ def test_histogram_mode(spark):
     assert mode([0, 95, 95, 100]) == 95
 
 
-def test_region_stats_of_an_object_without_depth(spark, px, sizes):
+def test_region_stats_of_an_object_without_depth(spark, words, sizes):
     objects = spark.createDataFrame([(0, 0), (0, 1)], "image_id long, obj_idx long")
-    depth = spark.createDataFrame([(0, x, y, None if x < 5 else 1500) for x in range(20) for y in range(20)], "image_id long, px long, py long, depth_mm long")
-    got = {r.obj_idx: r for r in Q.region_stats(objects, px(square(0, 0, 4, 4) + square(8, 8, 5, 5, 1)), depth, sizes(20)).collect()}
+    depth = tiles(spark, 20, 20, lambda x, y: None if x < 5 else 1500)
+    got = {r.obj_idx: r for r in Q.region_stats(objects, words(square(0, 0, 4, 4) + square(8, 8, 5, 5, 1)), depth, sizes(20)).collect()}
     assert (got[0].d_mean, got[0].num_pixels, got[0].z_val, got[0].u, got[0].v, got[0].transparent) == (0.0, 0, None, 10, 10, False)
     assert (got[1].d_mean, got[1].num_pixels, got[1].u, got[1].v, got[1].transparent) == (1.5, 25, 10, 10, True)
 
 
-def test_masks_grow_and_shrink(spark, px, sizes):
+def test_masks_grow_and_shrink(spark, px, words, sizes):
     rows = [r for r in square(1, 1, 14, 13) if (r[2] + 5 * r[3]) % 17]
     mask = {(r[2], r[3]) for r in rows}
-    small = as_set(Q.erode(px(rows), sizes(16), Config(erosion=3, adaptive_erosion=False)))
-    assert small <= mask <= as_set(Q.dilate(px(rows), sizes(16)))
+    small = as_set(Q.erode(words(rows), sizes(16), Config(erosion=3, adaptive_erosion=False)))
+    assert small <= mask <= as_set(Q.dilate(words(rows), sizes(16)))
     clip = Q.sigma_clip(px(rows).withColumn("depth_mm", F.col("px") * F.col("py")))
     assert as_set(clip) <= mask
