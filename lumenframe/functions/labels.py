@@ -10,17 +10,17 @@ GENERIC_TAGS = ("object", "objects", "thing", "things", "item", "items", "entity
 
 #: Words that are no label of a caption.
 STOPWORDS = (
-    "a an the some one two three "
-    "with on of in at by and or from to for as up out into over under about around "
-    "is are was were be been being has have can may will appears seems showing shows shown "
-    "this that these those it its there their "
-    "image photo picture view close shot "
-    "side top front back left right center middle "
-    "red blue green yellow white black brown grey gray orange purple pink dark light bright "
-    "large small big little tiny tall short long old new open closed empty full flat round "
-    "square wooden metal plastic glass stone brick single double multiple various different same "
-    "very quite just also well"
-).split()
+    "a", "an", "the", "some", "one", "two", "three",
+    "with", "on", "of", "in", "at", "by", "and", "or", "from", "to", "for", "as", "up", "out", "into", "over", "under", "about", "around",
+    "is", "are", "was", "were", "be", "been", "being", "has", "have", "can", "may", "will", "appears", "seems", "showing", "shows", "shown",
+    "this", "that", "these", "those", "it", "its", "there", "their",
+    "image", "photo", "picture", "view", "close", "shot",
+    "side", "top", "front", "back", "left", "right", "center", "middle",
+    "red", "blue", "green", "yellow", "white", "black", "brown", "grey", "gray", "orange", "purple", "pink", "dark", "light", "bright",
+    "large", "small", "big", "little", "tiny", "tall", "short", "long", "old", "new", "open", "closed", "empty", "full", "flat", "round",
+    "square", "wooden", "metal", "plastic", "glass", "stone", "brick", "single", "double", "multiple", "various", "different", "same",
+    "very", "quite", "just", "also", "well",
+)
 
 #: Phrases and predicates, in order of precedence.
 RELATION_RULES = (
@@ -57,14 +57,30 @@ def parse_tags(text: Column, max_tags: int = 8) -> Column:
     return F.slice(F.array_distinct(specific), 1, max_tags)
 
 
+def _python_text(value: Column) -> Column:
+    """A variant as Python writes it: strings in a list are quoted."""
+    kind = F.schema_of_variant(value)
+    items = F.transform(
+        F.try_variant_get(value, "$", "array<variant>"),
+        lambda v: F.when(F.schema_of_variant(v) == "STRING", F.concat(F.lit("'"), F.try_variant_get(v, "$", "string"), F.lit("'"))).otherwise(F.to_json(v)),
+    )
+    plain = F.try_variant_get(value, "$", "string")
+    return F.when(kind.startswith("ARRAY"), F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))).when(kind == "BOOLEAN", F.initcap(plain)).otherwise(plain)
+
+
 def tag_field(payload: Column) -> Column:
-    """SC-02: the first non-empty of the fields that taggers use, from a JSON object."""
+    """SC-02: of a JSON object, the text of the first non-empty field that taggers use; of
+    a list, its first element; of anything else, its text.  Null and empty give ""."""
+    whole = F.try_parse_json(payload)
+    kind = F.schema_of_variant(whole)
     fields = []
     for name in ("tags", "tag_en", "english", "labels"):
-        raw = F.get_json_object(payload, f"$.{name}")
-        head = F.get_json_object(payload, f"$.{name}[0]")
-        fields.append(F.when(~raw.isin("", "[]", "null"), F.when(raw.startswith("["), head).otherwise(raw)))
-    return F.coalesce(*fields, F.lit(""))
+        v = F.try_variant_get(whole, f"$.{name}", "variant")
+        text = _python_text(v)
+        fields.append(F.when(~F.is_variant_null(v) & ~text.isin("", "[]", "0", "False"), text))
+    first = F.try_variant_get(whole, "$[0]", "variant")
+    of_list = F.when(~F.is_variant_null(first), _python_text(first))
+    return F.coalesce(F.when(kind.startswith("OBJECT"), F.coalesce(*fields)).when(kind.startswith("ARRAY"), of_list).when(~F.is_variant_null(whole), _python_text(whole)), F.lit(""))
 
 
 def caption_noun(caption: Column) -> Column:
@@ -96,11 +112,18 @@ def clean_label(label: Column) -> Column:
 
 
 def choose_label(detector: Column, detector_conf: Column, caption_label: Column, caption: Column, tag: Column, tag_conf: Column) -> Column:
-    """SC-06: detector, then caption, then tag, then the generic label."""
+    """SC-06: detector, then caption, then tag, then the generic label; with what each
+    labeller says.  The tagger is asked only where the others know nothing specific."""
     d, c, t = clean_label(detector), clean_label(caption_label), clean_label(tag)
+    asked = (d == "object") & (c == "object")
+    tagged = F.when(asked, t).otherwise("object")
+    own = F.when(asked & (t != "object"), F.array(t)).otherwise(F.array().cast("array<string>"))
 
     def made(label: Column, conf: Column, text: Column, source: str) -> Column:
-        return F.struct(label.alias("label"), conf.cast("double").alias("conf"), text.alias("caption"), F.lit(source).alias("source_model"))
+        return F.struct(
+            label.alias("label"), conf.cast("double").alias("conf"), text.alias("caption"), F.lit(source).alias("source_model"),
+            c.alias("florence2_label"), caption.alias("florence2_caption"), tagged.alias("rampp_label"), tagged.alias("rampp_caption"), own.alias("rampp_tags"),
+        )
 
     return (
         F.when(d != "object", made(d, detector_conf, d, "detector"))
@@ -120,9 +143,10 @@ def query_text(tags: Column, default: str) -> Column:
     return F.when(F.size(tags) > 0, F.concat(F.array_join(tags, ". "), F.lit("."))).otherwise(default)
 
 
-def object_id(idx: Column, source: str = "GroundedSAM2") -> Column:
-    """SC-12."""
-    return F.concat(F.lit("obj_"), idx.cast("string"), F.lit(f"_{source}"))
+def object_id(idx: Column, segmentor: Column | None = None) -> Column:
+    """SC-12: all segmentors of the first track share a template, the second has its own."""
+    first = F.concat(F.lit("obj_"), idx.cast("string"), F.lit("_GroundedSAM2"))
+    return first if segmentor is None else F.when(segmentor == "SAM3", F.concat(F.lit("sam3_obj_"), idx.cast("string"))).otherwise(first)
 
 
 def external_id(label: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,17 +25,14 @@ def sample_frames(df: DataFrame, every: int = 10, series: str = "series_id", ord
 def ema(df: DataFrame, keys: list[str], frame: str, value: str, cfg: Config = DEFAULT) -> DataFrame:
     """WN-02: f0 = d0, ft = a dt + (1 - a) f(t-1), per key in frame order.
 
-    One aggregate folds the sorted series; for series too long for a row use ema_long."""
+    Each frame folds the last values of its series, from the oldest on: as many as it
+    takes until what came before weighs less than a double can tell."""
     a = cfg.ema_keep
-    points = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(frame).alias("frame"), F.col(value).cast("double").alias("d")))).alias("pts"))
-
-    def step(acc, p):
-        prev = F.element_at(acc, -1)
-        f = F.when(F.size(acc) == 0, p["d"]).otherwise(a * p["d"] + (1 - a) * prev["f"])
-        return F.concat(acc, F.array(F.struct(p["frame"].alias("frame"), f.alias("f"))))
-
-    empty = F.array().cast(f"array<struct<frame:{df.schema[frame].dataType.simpleString()},f:double>>")
-    return points.select(*keys, F.inline(F.aggregate("pts", empty, step))).withColumnsRenamed({"frame": frame, "f": "filtered"})
+    back = 1 if a >= 1 else math.ceil(math.log(1e-24) / math.log(1 - a))
+    past = Window.partitionBy(*keys).orderBy(frame).rowsBetween(-back, 0)
+    seen = df.select(*keys, frame, F.collect_list(F.col(value).cast("double")).over(past).alias("_d"))
+    fold = F.aggregate(F.slice("_d", 2, back + 1), F.get("_d", F.lit(0)), lambda f, d: a * d + (1 - a) * f)
+    return seen.select(*keys, frame, fold.alias("filtered"))
 
 
 def ema_long(df: DataFrame, key: str, frame: str, value: str, cfg: Config = DEFAULT) -> DataFrame:
@@ -63,6 +61,14 @@ def depth_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(v).alias("d_min"), F.max(v).alias("d_max"), F.bround(F.sum(v) / F.count(v), 4).alias("d_mean"))
 
 
+def depth_documents(frames: DataFrame, key: str, frame: str, prefix: str, size: tuple[int, int]) -> DataFrame:
+    """IO-13: one document per series of its frames' summaries in order, with a header."""
+    one = F.struct(F.col(frame).alias("frame"), F.col("d_min").alias("min"), F.col("d_max").alias("max"), F.col("d_mean").alias("mean"))
+    docs = frames.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("frames"))
+    head = [F.lit(prefix).alias("model_prefix"), F.array(*map(F.lit, size)).alias("target_size"), F.size("frames").alias("num_frames")]
+    return docs.select(key, F.to_json(F.struct(*head, "frames")).alias("document"))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
@@ -100,11 +100,18 @@ def resolve(triplets: DataFrame, objects: DataFrame) -> DataFrame:
     return t
 
 
+#: Fixed order: whose caption of a target counts, if it is not empty.
+CAPTIONS = ("caption", "rampp_caption", "florence2_caption")
+
+
 def attach(triplets: DataFrame, objects: DataFrame) -> DataFrame:
     """JN-09..10: relation rows.  Triplets without a subject are dropped; a target that
-    is no object is external.  objects has id, label, caption."""
+    is no object is external.  objects has id, label, and captions of the labellers:
+    caption (of the segmentor), rampp_caption, florence2_caption; those it lacks are
+    empty."""
     r = resolve(triplets, objects).where(F.col("s_idx").isNotNull())
-    o = objects.select("image_id", F.col("obj_idx").alias("t_idx"), F.col("id").alias("_tid"), F.col("label").alias("_tl"), F.col("caption").alias("_tc"))
+    told = [F.nullif(F.col(c), F.lit("")) for c in CAPTIONS if c in objects.columns]
+    o = objects.select("image_id", F.col("obj_idx").alias("t_idx"), F.col("id").alias("_tid"), F.col("label").alias("_tl"), F.coalesce(*told, F.lit("")).alias("_tc"))
     s = objects.select("image_id", F.col("obj_idx").alias("s_idx"), F.col("id").alias("source_id"))
     r = r.join(o, ["image_id", "t_idx"], "left").join(s, ["image_id", "s_idx"])
     target = F.coalesce("_tid", external_id(F.col("obj")))
@@ -165,8 +172,3 @@ def calibration_gate(cal: DataFrame) -> DataFrame:
     """PL-05: verdict by usable frames and reprojection error."""
     v = F.when(F.col("usable_frames") == 0, "fail").when((F.col("usable_frames") < 10) | (F.col("rms") > 1), "warn").otherwise("ok")
     return cal.withColumn("verdict", v)
-
-
-def first_in(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """TK-05: the first row of each key."""
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")

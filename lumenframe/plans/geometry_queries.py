@@ -198,18 +198,23 @@ def sc01_tags(spark, d):
     return t.select("doc_id", F.array_join("tags", "|").alias("tags"), F.size("tags").alias("n"))
 
 
-@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN source WHEN 1 THEN lang WHEN 2 THEN 'x' || doc_id WHEN 3 THEN lang || source ELSE '' END AS tag_text FROM documents""")
+@query("""SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN coalesce(source, '') WHEN 1 THEN coalesce(lang, '') WHEN 2 THEN '[' || chr(39) || 'x' || doc_id || chr(39) || ', ' || chr(39) || 'y' || chr(39) || ']' WHEN 3 THEN coalesce(lang || source, '') WHEN 4 THEN 'e' || doc_id
+    WHEN 5 THEN '[brackets] ' || doc_id WHEN 6 THEN '[text' ELSE '' END AS tag_text FROM documents""")
 def sc02_tag_field(spark, d):
+    """Objects with each field, a list under a key, a list, texts that begin with a
+    bracket, and nothing."""
     t = X.read(spark, d, "documents")
-    k, none = F.col("doc_id") % 5, F.lit(None).cast("string")
-    payload = F.to_json(
+    k, none, n = F.col("doc_id") % 8, F.lit(None).cast("string"), F.col("doc_id").cast("string")
+    fields = F.to_json(
         F.struct(
-            F.when(k == 0, F.col("source")).when(k == 1, F.lit("")).otherwise(none).alias("tags"),
+            F.when(k == 0, F.col("source")).when(k == 1, F.lit("")).when(k == 6, F.lit("[text")).otherwise(none).alias("tags"),
             F.when(k == 1, F.col("lang")).otherwise(none).alias("tag_en"),
-            F.when(k == 2, F.array(F.concat(F.lit("x"), F.col("doc_id").cast("string")), F.lit("y"))).alias("english"),
+            F.when(k == 2, F.array(F.concat(F.lit("x"), n), F.lit("y"))).alias("english"),
             F.when(k == 3, F.concat("lang", "source")).otherwise(none).alias("labels"),
         )
     )
+    listed = F.to_json(F.array(F.concat(F.lit("e"), n), F.lit("y")))
+    payload = F.when(k == 4, listed).when(k == 5, F.concat(F.lit('"[brackets] '), n, F.lit('"'))).otherwise(fields)
     return t.select("doc_id", L.tag_field(payload).alias("tag_text"))
 
 
@@ -230,15 +235,20 @@ def sc05_clean_label(spark, d):
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
+    """The objects of all detections, with their labels and what each labeller says."""
     c = X.label_candidates(spark, d)
     pick = L.choose_label(F.col("detector_label"), F.col("conf"), F.col("caption_label"), F.col("caption"), F.col("tag_label"), F.lit(0.7))
-    c = c.select("image_id", "obj_idx", L.object_id(F.col("obj_idx")).alias("id"), pick.alias("p"))
-    return c.select("image_id", "obj_idx", "id", "p.label", F.col("p.conf").alias("label_conf"), "p.caption", "p.source_model")
+    c = c.select("image_id", "obj_idx", "segmentor", "x", "y", "w", "h", "z_mm", "part_id", "detector_label", F.col("conf").alias("grounded_conf"), pick.alias("p"))
+    said = ("label", "caption", "source_model", "florence2_label", "florence2_caption", "rampp_label", "rampp_caption", "rampp_tags")
+    return c.select(
+        "image_id", "obj_idx", "segmentor", "x", "y", "w", "h", "z_mm", "part_id", L.object_id(F.col("obj_idx"), F.col("segmentor")).alias("id"),
+        L.clean_label(F.col("detector_label")).alias("grounded_label"), "grounded_conf", F.col("p.conf").alias("label_conf"), *[F.col(f"p.{k}").alias(k) for k in said],
+    )
 
 
 @query("SELECT image_id, obj_idx, label, label_conf, caption, source_model FROM labelled")
 def sc06_choose_label(spark, d):
-    return labelled(spark, d).drop("id")
+    return labelled(spark, d).select("image_id", "obj_idx", "label", "label_conf", "caption", "source_model")
 
 
 @query("""SELECT image_id, obj_idx, CASE part_id % 4 WHEN 0 THEN 0.75 WHEN 1 THEN 0.8 WHEN 2 THEN CASE WHEN part_id % 8 = 2 THEN 0.7 ELSE conf_pct / 100.0 END ELSE 0 END::DOUBLE AS conf FROM detections""")
@@ -253,11 +263,12 @@ def sc08_query_text(spark, d):
     return X.read(spark, d, "documents").select("doc_id", L.query_text(L.parse_tags(F.col("text")), DEFAULT.default_query).alias("query"))
 
 
-@query("""SELECT image_id, obj_idx, 'obj_' || obj_idx || '_GroundedSAM2' AS id, 'sam3_obj_' || obj_idx AS track_id, 'external_' || last_word AS external, last_word AS back FROM detections JOIN captions USING (part_id)""")
+@query("""SELECT image_id, obj_idx, CASE segmentor WHEN 'SAM3' THEN 'sam3_obj_' || obj_idx ELSE 'obj_' || obj_idx || '_GroundedSAM2' END AS id, 'obj_' || obj_idx || '_GroundedSAM2' AS first_id, 'external_' || last_word AS external, last_word AS back
+    FROM detections JOIN captions USING (part_id)""")
 def sc12_ids(spark, d):
     t = X.detections(spark, d).join(X.captions(spark, d).select("part_id", "last_word"), "part_id")
     ext = L.external_id(F.concat(F.lit(" "), F.upper("last_word")))
-    return t.select("image_id", "obj_idx", L.object_id(F.col("obj_idx")).alias("id"), F.format_string("sam3_obj_%d", "obj_idx").alias("track_id"), ext.alias("external"), L.external_label(ext).alias("back"))
+    return t.select("image_id", "obj_idx", L.object_id(F.col("obj_idx"), F.col("segmentor")).alias("id"), L.object_id(F.col("obj_idx")).alias("first_id"), ext.alias("external"), L.external_label(ext).alias("back"))
 
 
 @query("SELECT image_id, CASE WHEN n3 = 0 THEN 'n/a' ELSE printf('%.1f%%', 100.0::DOUBLE * n1 / n3) END AS pct FROM (SELECT image_id, count(*) FILTER (segmentor = 'SAM3') AS n3, count(*) FILTER (segmentor = 'SAM3' AND part_id % 3 = 0) AS n1 FROM detections GROUP BY ALL)")
@@ -283,17 +294,28 @@ def sc15_math(spark, d):
     return t.select("image_id", "obj_idx", F.round(F.hypot("w", "h"), 6).alias("diagonal"), F.round(F.tan(F.radians(F.col("conf_pct")) / 2), 6).alias("t"), F.abs(F.col("x") - F.col("y")).alias("off"), F.least(F.greatest("x", F.lit(5)), F.lit(20)).alias("clipped"))
 
 
-@query("SELECT * FROM categories")
+_NAMES = ("person", "Bicycle", "car", "DOG", "vase", "table")
+
+
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    names = F.array(*map(F.lit, _NAMES))
+    return X.detections(spark, d).select("image_id", "obj_idx", F.element_at(names, (F.col("part_id") % 6 + 1).cast("int")).alias("name"))
+
+
+@query("""SELECT c.id, c.name, count(t.image_id) AS detections, count(DISTINCT t.image_id) AS images FROM categories c LEFT JOIN (SELECT image_id, lower([
+    'person', 'Bicycle', 'car', 'DOG', 'vase', 'table'][(part_id % 6 + 1)::INT]) AS name FROM detections) t ON t.name = c.name GROUP BY ALL""")
 def io08_categories(spark, d):
-    return X.categories(spark)
+    """The dimension, with what the tables hold of each category."""
+    found = P.with_category(_named(spark, d), "name", X.categories(spark)).where("category_id is not null")
+    n = found.groupBy(F.col("category_id").alias("id")).agg(F.count(F.lit(1)).alias("detections"), F.count_distinct("image_id").alias("images"))
+    zero = F.lit(0).cast("long")
+    return X.categories(spark).join(n, "id", "left").select("id", "name", F.coalesce("detections", zero).alias("detections"), F.coalesce("images", zero).alias("images"))
 
 
 @query("""SELECT t.image_id, t.obj_idx, t.name, c.id AS category_id FROM (SELECT image_id, obj_idx, [
     'person', 'Bicycle', 'car', 'DOG', 'vase', 'table'][(part_id % 6 + 1)::INT] AS name FROM detections) t LEFT JOIN categories c ON lower(c.name) = lower(t.name)""")
 def jn11_category(spark, d):
-    names = F.array(*map(F.lit, ("person", "Bicycle", "car", "DOG", "vase", "table")))
-    t = X.detections(spark, d).select("image_id", "obj_idx", F.element_at(names, (F.col("part_id") % 6 + 1).cast("int")).alias("name"))
-    return P.with_category(t, "name", X.categories(spark))
+    return P.with_category(_named(spark, d), "name", X.categories(spark))
 
 
 @query("SELECT camera_id, fx, fy, cx, cy, k1, k2, 0.0::DOUBLE AS p1, 0.0::DOUBLE AS p2 FROM cameras WHERE fx IS NOT NULL AND fy IS NOT NULL AND cx IS NOT NULL AND cy IS NOT NULL")

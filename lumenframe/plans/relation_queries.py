@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..config import DEFAULT
 from ..functions import labels as L
 from ..operators import frames as S
+from ..operators import geometry as G
 from ..operators import pairs as P
 from ..operators import relations as R
 from ..operators.scoring import linear_scorer, score_batches
 from ..sources import fixtures as X
 from ..sources import io as IO
+from ..sources.scratch import scratch_table, work_folder
 from ..streaming.ema import stream_ema
 from ..streaming.ingest import ingest_new_files
 from .geometry_queries import boxes, camera_of, labelled
@@ -24,18 +24,6 @@ from .registry import query
 from .sql import STEPS, relation_case
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A fresh folder that all executors see: under spark.checkpoint.dir, or a temporary
-    one for a local session without that setting."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="lumenframe-")
-    return f"{shared.rstrip('/')}/work-{uuid.uuid4().hex}"
-
-
 _BOX = "CASE WHEN iou >= 0.1 THEN 'overlapping' WHEN abs(dx) >= abs(dy) THEN CASE WHEN dx > 0 THEN 'left_of' ELSE 'right_of' END WHEN dy > 0 THEN 'above' ELSE 'below' END"
 _IOU = """CASE WHEN least(ax2, bx2) <= greatest(ax1, bx1) OR least(ay2, by2) <= greatest(ay1, by1) THEN 0 ELSE (least(ax2, bx2) - greatest(ax1, bx1)) * (least(ay2, by2) - greatest(ay1, by1)) /
     ((ax2 - ax1) * (ay2 - ay1) + (bx2 - bx1) * (by2 - by1) - (least(ax2, bx2) - greatest(ax1, bx1)) * (least(ay2, by2) - greatest(ay1, by1)) + 1e-8::DOUBLE) END"""
@@ -91,7 +79,8 @@ def pl02_precedence(spark, d):
 
 
 def objects(spark: SparkSession, d: str) -> DataFrame:
-    return labelled(spark, d)
+    """The labelled objects at rest: the steps that follow read them several times."""
+    return scratch_table(labelled(spark, d), "objects")
 
 
 @query("SELECT image_id, seq, s_idx, CASE WHEN s_id IS NOT NULL THEN 'id' WHEN s_lab IS NOT NULL THEN 'label' END AS s_by FROM resolved")
@@ -135,10 +124,14 @@ def pl03_missing_triplets(spark, d):
 # Documents
 
 
-@query("SELECT split_part(filename, '/', -1) AS name, 'parquet' AS ext, size::BIGINT AS length FROM read_blob('/root/testdata/sf0.01/*')")
+@query("""SELECT 'in/' || name AS path, name, regexp_replace(name, '\\.[^.]+$', '') AS stem, lower(ext) AS ext, length FROM (
+    SELECT o_orderkey || '.' || ext AS name, ext, length FROM (SELECT o_orderkey, ['png', 'JPG', 'tiff', 'txt', 'Heic', 'json', 'WEBP'][(o_custkey % 7 + 1)::INT] AS ext, o_custkey::BIGINT AS length FROM orders))
+    WHERE lower(ext) NOT IN ('txt', 'json') ORDER BY path""")
 def io01_scan(spark, d):
-    """The folder of the given tables, with their suffix instead of an image's."""
-    return IO.scan_images(spark, d, ("parquet",)).select("name", "ext", "length")
+    """A manifest with a file for each order; a test scans a folder of files."""
+    ext = F.element_at(F.array(*map(F.lit, ("png", "JPG", "tiff", "txt", "Heic", "json", "WEBP"))), (F.col("o_custkey") % 7 + 1).cast("int"))
+    files = X.read(spark, d, "orders").select(F.concat(F.lit("in/"), F.col("o_orderkey").cast("string"), F.lit("."), ext).alias("path"), F.col("o_custkey").cast("long").alias("length"))
+    return IO.image_files(files).orderBy("path")
 
 
 @query("SELECT series_id, event_id, position, depth_cm FROM (SELECT *, frame_no AS position FROM series) WHERE position % 10 = 0")
@@ -175,7 +168,7 @@ def io04_detector_runs(spark, d):
     return good.select("model", "image_stem", "label", F.round("conf", 6).alias("conf"), F.col("bbox")[0].alias("x1"))
 
 
-@query("SELECT image_id::VARCHAR AS image_stem, (row_number() OVER (PARTITION BY image_id ORDER BY obj_idx) - 1)::INT AS obj_idx, id, label, segmentor AS source FROM labelled JOIN detections USING (image_id, obj_idx)")
+@query("SELECT image_id::VARCHAR AS image_stem, (row_number() OVER (PARTITION BY image_id ORDER BY obj_idx) - 1)::INT AS obj_idx, id, label, 'GroundedSAM2' AS source FROM labelled WHERE segmentor <> 'SAM3'")
 def io05_scene_objects(spark, d):
     """Scene documents written as text, read back, exploded; a broken one is rejected."""
     docs = scene_docs(spark, d).select("image_id", "document")
@@ -199,57 +192,187 @@ def io06_triplets(spark, d):
     return rows.join(given, ["image_id", "place"]).select("image_id", "seq", "sub", "pred", "obj", "sub_id", "obj_id", "score")
 
 
-def scene_docs(spark: SparkSession, d: str, track: str | None = None) -> DataFrame:
-    det = X.detections(spark, d)
-    det = det.where(F.col("segmentor") == track) if track else det
-    o = objects(spark, d).join(det, ["image_id", "obj_idx"])
-    stats = F.struct((F.col("z_mm") / 1000.0).alias("mean"), F.lit(None).cast("double").alias("std"))
-    nodes = o.select(
-        "image_id", "obj_idx", "id", "label", "caption", F.col("label_conf").alias("confidence"), F.array(*[c.cast("int") for c in (F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h"))]).alias("bbox"),
-        "segmentor", stats.alias("depth_stats"), F.struct((F.col("z_mm") / 1000.0).alias("z")).alias("coordinates_3d"),
+def measured(o: DataFrame) -> DataFrame:
+    """Depth statistics and positions of objects with their camera (fx, fy, cx, cy): what
+    the region statistics give, here from the boxes; every fourth object is not compared."""
+    z = F.col("z_mm") / 1000.0
+    x, y = F.col("x") + F.col("w") / 2.0, F.col("y") + F.col("h") / 2.0
+    p = F.col("part_id")
+
+    def stats(z: Column) -> Column:
+        named = {"min": z, "max": z, "mean": z, "median": z, "std": (p % 10) / 100.0, "num_pixels": F.col("w") * F.col("h"), "z_val": z, "z_val_pixels": F.expr("w * h div 2")}
+        named |= {"possibly_transparent": p % 9 == 0, "depth_separation_from_background": (p % 7) / 10.0}
+        return F.struct(*[c.alias(k) for k, c in named.items()])
+
+    def xyz(z: Column) -> Column:
+        return F.struct(*[c.alias(k[0]) for k, c in G.back_project(x, y, z).items()])
+
+    centre = F.array(F.floor(x).cast("int"), F.floor(y).cast("int"))
+    raw = p % 4 != 1
+    return o.withColumns(
+        {
+            "depth_stats": stats(z), "coordinates_3d": xyz(z), "mask_centroid_2d": centre,
+            "depth_stats_no_erosion": F.when(raw, stats(z + 0.5)), "coordinates_3d_no_erosion": F.when(raw, xyz(z + 0.5)), "mask_centroid_2d_no_erosion": F.when(raw, centre),
+        }
     )
-    k = camera_of(spark, d)
-    meta = k.select("image_id", F.struct(F.struct("fx", "fy", "cx", "cy").alias("intrinsics")).alias("metadata"))
-    return IO.scene_documents(nodes, R.attach(X.triplets(spark, d), objects(spark, d)), meta)
 
 
-@query("""SELECT image_id, count(*) AS num_objects, min(id) AS first_id, coalesce(any_value(r.n), 0) AS relations FROM labelled LEFT JOIN (
-    SELECT image_id, count(*) AS n FROM attached GROUP BY ALL) r USING (image_id) GROUP BY image_id""")
+STAMP = "2024-01-01 00:00:00"
+
+
+def _boxed() -> Column:
+    return F.array(*[c.cast("int") for c in (F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h"))])
+
+
+def scene_docs(spark: SparkSession, d: str, second: bool = False) -> DataFrame:
+    """The first track (GroundedSAM2 and SAM2_AMG), or the second (SAM3)."""
+    all_objects, k = objects(spark, d), camera_of(spark, d)
+    o = all_objects.where((F.col("segmentor") == "SAM3") == F.lit(second))
+    shown = F.concat(F.lit("scene_graph/sam3/objects/"), F.col("image_id").cast("string"), F.lit("_"), F.col("id"), F.lit("_depth.png"))
+    nodes = measured(o.join(k, "image_id")).select(
+        "image_id", "obj_idx", "id", "label", "label_conf", _boxed().alias("bbox"), "segmentor", *[f"{c}{v}" for v in ("", "_no_erosion") for c in ("coordinates_3d", "depth_stats", "mask_centroid_2d")],
+        F.col("obj_idx").cast("int").alias("mask_index"), (F.col("part_id") % 7 != 0).alias("mask_matched"), F.lit(None).cast("string").alias("mask_path"), F.when(F.lit(second), shown).alias("depth_map_path"),
+        "caption", "grounded_label", "grounded_conf", "florence2_label", "florence2_caption", "rampp_label", "rampp_caption", "rampp_tags",
+    )
+    given = X.triplets(spark, d)
+    n = o.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("part_id") % 7 != 0).alias("m"), F.array_sort(F.collect_set(F.when(F.size("rampp_tags") > 0, F.col("rampp_label")))).alias("tags"))
+    n = n.join(given.groupBy("image_id").agg(F.count(F.lit(1)).alias("t")), "image_id", "left").join(k, "image_id")
+    models = ("SAM3", "Florence-2", "Pix2SG") if second else ("GroundedSAM2", "Florence-2", "RAM++", "Pix2SG")
+    debug = F.struct(F.coalesce("t", F.lit(0).cast("long")).alias("raw_triplets"), F.col("n").alias("num_detected_objects"), F.col("m").alias("num_mask_matched"))
+    head = F.struct(
+        F.lit(STAMP).alias("timestamp"), F.lit("SAM3" if second else "SAM2").alias("segmentor"), F.struct("fx", "fy", "cx", "cy").alias("intrinsics"), F.array(*map(F.lit, models)).alias("models"),
+        F.col("tags").alias("rampp_tags"), L.query_text(F.col("tags"), DEFAULT.default_query).alias("gdino_query_used"), debug.alias("relation_debug"), F.col("n").alias("num_objects"),
+    )
+    return IO.scene_documents(nodes, R.attach(given, all_objects), n.select("image_id", head.alias("metadata")), second)
+
+
+def read_back(docs: DataFrame) -> DataFrame:
+    """Every field of every object, one row each, as the document holds them."""
+    kind = f"struct<metadata:{IO.METADATA},objects:array<{IO.OBJECT}>>"
+    o = docs.select("image_id", "num_objects", F.from_json("document", kind).alias("doc")).select("image_id", "num_objects", F.col("doc.metadata").alias("m"), F.explode("doc.objects").alias("o"))
+    told = F.transform("o.sources.Pix2SG.relations", lambda r: F.format_string("%s>%s>%s>%s>%.4f", r["predicate"], r["target_id"], r["target_label"], r["target_caption"], r["score"]))
+    first = F.get(F.map_keys("o.sources"), F.lit(0))
+    own = F.element_at("o.sources", first)
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    cols = {"keys": F.array_join(F.map_keys("o.sources"), ","), "own_label": own["label"], "own_caption": own["caption"], "own_conf": own["confidence"], "relations": F.array_join(told, ";")}
+    cols |= {f"o_{c}": F.col(f"o.{c}") for c in ("id", "label", "confidence", "conf", "segmentor", "sam2_mask_index", "sam3_mask_index", "mask_matched", "mask_path", "depth_map_path")}
+    cols |= {c: text(f"o.{c}") for c in ("bbox", "mask_centroid_2d", "mask_centroid_2d_no_erosion")}
+    for v in ("", "_no_erosion"):
+        cols |= {f"at_{c}{v}": F.col(f"o.coordinates_3d{v}.{c}") for c in "xyz"}
+        cols |= {f"d_{c}{v}": F.round(f"o.depth_stats{v}.{c}", 6) for c in ("min", "max", "mean", "median", "std", "z_val", "depth_separation_from_background")}
+        cols |= {f"d_{c}{v}": F.col(f"o.depth_stats{v}.{c}") for c in ("num_pixels", "z_val_pixels", "possibly_transparent")}
+    for name, tag in (("Florence2", "f2"), ("RAM++", "ram")):
+        cols |= {f"{tag}_{c}": F.col("o.sources")[name][c] for c in ("label", "caption")}
+    cols |= {"ram_tags": F.array_join(F.col("o.sources")["RAM++"]["tags"], ","), "timestamp": F.col("m.timestamp"), "track": F.col("m.segmentor"), "models": text("m.models"), "tags": text("m.rampp_tags"), "query": F.col("m.gdino_query_used")}
+    cols |= {f"k_{c}": F.round(f"m.intrinsics.{c}", 4) for c in ("fx", "fy", "cx", "cy")} | {c: F.col(f"m.relation_debug.{c}") for c in ("raw_triplets", "num_detected_objects", "num_mask_matched")}
+    return o.select("image_id", "num_objects", F.col("m.num_objects").alias("m_num_objects"), *[c.alias(k) for k, c in cols.items()])
+
+
+def _read_back_sql(second: bool) -> str:
+    """The fields of read_back from the tables."""
+    z, px = "z_mm / 1000.0::DOUBLE", "(x + w / 2.0::DOUBLE - cx) * ({z}) / fx"
+    py = px.replace("x + w", "y + h").replace("cx", "cy").replace("fx", "fy")
+    raw = lambda c: f"CASE WHEN part_id % 4 <> 1 THEN {c} END"
+    centre = "floor(x + w / 2.0)::INT || ',' || floor(y + h / 2.0)::INT"
+    cols = {"o_id": "id", "o_label": "label", "o_confidence": "label_conf", "o_conf": "label_conf", "o_segmentor": "segmentor", "o_mask_matched": "part_id % 7 <> 0", "o_mask_path": "NULL"}
+    cols |= {"o_sam2_mask_index": "NULL" if second else "obj_idx", "o_sam3_mask_index": "obj_idx" if second else "NULL"}
+    cols |= {"o_depth_map_path": "'scene_graph/sam3/objects/' || image_id || '_' || id || '_depth.png'" if second else "NULL", "keys": "'SAM3,Pix2SG'" if second else "'GroundedSAM2,Florence2,RAM++,Pix2SG'"}
+    cols |= {"own_label": "grounded_label", "own_caption": "caption", "own_conf": "grounded_conf", "relations": "coalesce(rel, '')", "bbox": "concat_ws(',', x, y, x + w, y + h)"}
+    cols |= {"mask_centroid_2d": centre, "mask_centroid_2d_no_erosion": raw(centre)}
+    for v, f, dz in (("", str, z), ("_no_erosion", raw, f"{z} + 0.5::DOUBLE")):
+        cols |= {f"at_x{v}": f(f"round_even({px.format(z=dz)}, 3)"), f"at_y{v}": f(f"round_even({py.format(z=dz)}, 3)"), f"at_z{v}": f(f"round_even({dz}, 3)")}
+        cols |= {f"d_{c}{v}": f(f"round({dz}, 6)") for c in ("min", "max", "mean", "median", "z_val")} | {f"d_std{v}": f("(part_id % 10) / 100.0::DOUBLE")}
+        cols |= {f"d_depth_separation_from_background{v}": f("(part_id % 7) / 10.0::DOUBLE"), f"d_num_pixels{v}": f("w * h"), f"d_z_val_pixels{v}": f("w * h // 2"), f"d_possibly_transparent{v}": f("part_id % 9 = 0")}
+    other = (lambda c: "NULL") if second else str
+    cols |= {"f2_label": other("florence2_label"), "f2_caption": other("florence2_caption"), "ram_label": other("rampp_label"), "ram_caption": other("rampp_label")}
+    cols |= {"ram_tags": other("CASE WHEN rampp_label = 'object' THEN '' ELSE rampp_label END"), "timestamp": f"'{STAMP}'", "track": "'SAM3'" if second else "'SAM2'", "models": "'SAM3,Florence-2,Pix2SG'" if second else "'GroundedSAM2,Florence-2,RAM++,Pix2SG'"}
+    cols |= {"tags": "coalesce(array_to_string(tags, ','), '')", "query": "CASE WHEN len(tags) > 0 THEN array_to_string(tags, '. ') || '.' ELSE 'object.' END"}
+    cols |= {f"k_{c}": f"round({c}, 4)" for c in ("fx", "fy", "cx", "cy")} | {"raw_triplets": "coalesce(t, 0)", "num_detected_objects": "n", "num_mask_matched": "m", "num_objects": "n", "m_num_objects": "n"}
+    one = "segmentor " + ("=" if second else "<>") + " 'SAM3'"
+    return f"""SELECT image_id, {', '.join(f'{c} AS {n}' for n, c in cols.items())} FROM (SELECT * FROM labelled WHERE {one}) JOIN k USING (image_id) JOIN (
+      SELECT image_id, count(*) AS n, count(*) FILTER (part_id % 7 <> 0) AS m, list_sort(list_distinct(list(rampp_label) FILTER (rampp_label <> 'object'))) AS tags FROM labelled WHERE {one} GROUP BY ALL) USING (image_id)
+    LEFT JOIN (SELECT image_id, count(*) AS t FROM triplets GROUP BY ALL) USING (image_id)
+    LEFT JOIN (SELECT image_id, source_id AS id, string_agg(predicate || '>' || target_id || '>' || target_label || '>' || target_caption || '>' || printf('%.4f', score), ';' ORDER BY seq) AS rel FROM attached GROUP BY ALL) USING (image_id, id)"""
+
+
+@query(_read_back_sql(False))
 def io09_scene_documents(spark, d):
-    docs = scene_docs(spark, d)
-    back = docs.select("image_id", "num_objects", F.from_json("document", f"struct<objects:array<{IO.OBJECT}>>")["objects"].alias("o"))
-    n = F.aggregate("o", F.lit(0), lambda s, x: s + F.aggregate(F.map_values(x["sources"]), F.lit(0), lambda t, y: t + F.size(y["relations"])))
-    return back.select("image_id", "num_objects", F.array_min(F.transform("o", lambda x: x["id"])).alias("first_id"), n.cast("long").alias("relations"))
+    """Every field of the first track's documents, read back from their text."""
+    return read_back(scene_docs(spark, d))
+
+
+def _images(spark: SparkSession, d: str) -> DataFrame:
+    stem = F.col("image_id").cast("string")
+    return X.frames(spark, d).select("image_id", F.concat(F.lit("in/"), stem, F.lit(".png")).alias("image_path"), stem.alias("stem"), F.lit(STAMP).alias("timestamp"), "width", "height")
 
 
-@query("SELECT image_id, m AS matching_mode, count(*) AS num_masks, sum(w * h)::BIGINT AS area FROM detections, (SELECT unnest(['A', 'B']) AS m) GROUP BY ALL")
+@query("""SELECT image_id, mode AS matching_mode, 'in/' || image_id || '.png' AS image_path, width || 'x' || height AS size, 'scene_graph/' || image_id || '_depth_mask_mapping_' || mode || '.png' AS mapping,
+    lo / 1000.0::DOUBLE AS depth_min, hi / 1000.0::DOUBLE AS depth_max, round_even(total / n::DOUBLE / 1000, 6) AS depth_mean, n AS num_auto_masks, obj_idx AS sam2_mask_index,
+    CASE WHEN none THEN 'obj_' || obj_idx || '_mask' ELSE 'obj_' || obj_idx || '_' || source_model END AS id, CASE WHEN none THEN 'unlabeled' ELSE label END AS label,
+    CASE WHEN none THEN '' ELSE source_model END AS source_model, CASE WHEN none THEN '' ELSE segmentor END AS segmentor, concat_ws(',', x, y, x + w, y + h) AS bbox,
+    z_mm / 1000.0::DOUBLE AS mean, CASE WHEN part_id % 4 <> 1 THEN z_mm / 1000.0::DOUBLE + 0.5 END AS raw_mean, round_even(z_mm / 1000.0::DOUBLE, 3) AS z, floor(x + w / 2.0)::INT || ',' || floor(y + h / 2.0)::INT AS centroid
+    FROM (SELECT *, mode = 'B' AND part_id % 5 = 0 AS none FROM labelled, (SELECT unnest(['A', 'B']) AS mode)) JOIN frames USING (image_id) JOIN (
+      SELECT image_id, min(z_mm) AS lo, max(z_mm) AS hi, sum(z_mm) AS total, count(*) AS n FROM labelled GROUP BY ALL) USING (image_id)""")
 def io10_mask_documents(spark, d):
-    t = X.detections(spark, d).select("image_id", F.col("obj_idx").alias("mask_index"), "x", "y", "w", "h", (F.col("w") * F.col("h")).alias("area"), F.lit("object").alias("label"), (F.col("conf_pct") / 100.0).alias("score"))
-    docs = R.fan_out_modes(IO.mask_documents(t), ["A", "B"])
-    back = F.from_json("document", "struct<summary:struct<num_masks:bigint>,masks:array<struct<area:bigint>>>")
-    docs = docs.select("image_id", "matching_mode", back.alias("b"))
-    return docs.select("image_id", "matching_mode", F.col("b.summary.num_masks").alias("num_masks"), F.aggregate("b.masks", F.lit(0).cast("long"), lambda s, x: s + x["area"]).alias("area"))
+    """Both matching modes; in the second, every fifth mask has no detection."""
+    o = objects(spark, d)
+    t = R.fan_out_modes(measured(o.join(camera_of(spark, d), "image_id")), ["A", "B"])
+    none = (F.col("matching_mode") == "B") & (F.col("part_id") % 5 == 0)
+    src = F.when(none, "").otherwise(F.col("source_model"))
+    t = t.withColumns(
+        {
+            "id": F.concat(F.lit("obj_"), F.col("obj_idx").cast("string"), F.lit("_"), F.when(none, "mask").otherwise(F.col("source_model"))), "label": F.when(none, "unlabeled").otherwise(F.col("label")),
+            "bbox": _boxed(), "segmentor": F.when(none, "").otherwise(F.col("segmentor")), "mask_index": F.col("obj_idx"),
+        }
+    ).withColumn("source_model", src)
+    grid = o.groupBy("image_id").agg((F.min("z_mm") / 1000.0).alias("depth_min"), (F.max("z_mm") / 1000.0).alias("depth_max"), F.bround(F.sum("z_mm") / F.count(F.lit(1)) / 1000, 6).alias("depth_mean"), F.count(F.lit(1)).alias("num_auto_masks"))
+    docs = IO.depth_mask_documents(t, _images(spark, d).join(grid, "image_id"))
+    kind = f"""struct<metadata:struct<image_path:string,image_size:array<int>,matching_mode:string>,depth:struct<depth_min:double,depth_max:double,depth_mean:double>,segmentation:struct<num_auto_masks:bigint>,
+      depth_mask:struct<mapping_image_path:string,objects:array<struct<id:string,label:string,bbox:array<int>,source_model:string,segmentor:string,sam2_mask_index:bigint,depth_stats:{IO.STATS},
+      depth_stats_no_erosion:{IO.STATS},coordinates_3d_from_mask:{IO.XYZ},mask_centroid_2d:array<int>>>>>"""
+    b = docs.select("image_id", F.from_json("document", kind).alias("b")).select("image_id", "b", F.explode("b.depth_mask.objects").alias("o"))
+    text = lambda c, sep=",": F.array_join(F.col(c).cast("array<string>"), sep)
+    return b.select(
+        "image_id", F.col("b.metadata.matching_mode").alias("matching_mode"), F.col("b.metadata.image_path").alias("image_path"), text("b.metadata.image_size", "x").alias("size"), F.col("b.depth_mask.mapping_image_path").alias("mapping"),
+        "b.depth.depth_min", "b.depth.depth_max", "b.depth.depth_mean", "b.segmentation.num_auto_masks", "o.sam2_mask_index", "o.id", "o.label", "o.source_model", "o.segmentor", text("o.bbox").alias("bbox"),
+        F.col("o.depth_stats.mean").alias("mean"), F.col("o.depth_stats_no_erosion.mean").alias("raw_mean"), F.col("o.coordinates_3d_from_mask.z").alias("z"), text("o.mask_centroid_2d").alias("centroid"),
+    )
 
 
-@query("SELECT image_id, count(*) AS num_masks, sum(x)::DOUBLE AS x, round(sum(conf_pct) / 100.0::DOUBLE, 4) AS score FROM detections WHERE segmentor = 'SAM3' GROUP BY ALL")
+@query("""SELECT image_id, 'in/' || image_id || '.png' AS image_path, width || 'x' || height AS size, 'SAM3 text_prompted' AS model, count(*) OVER (PARTITION BY image_id) AS num_masks, 'sam3/' || image_id || '_sam3_segmentation.png' AS shown,
+    obj_idx AS mask_index, concat_ws(',', x, y, w, h) AS bbox, w * h AS area, part_id % 100 / 100.0::DOUBLE AS predicted_iou, conf_pct / 200.0::DOUBLE AS stability_score, last_word AS label, conf_pct / 100.0::DOUBLE AS score
+    FROM (SELECT * FROM detections WHERE segmentor = 'SAM3') JOIN captions USING (part_id) JOIN frames USING (image_id)""")
 def io11_track_masks(spark, d):
-    t = X.detections(spark, d).where("segmentor = 'SAM3'").select("image_id", F.col("obj_idx").alias("mask_index"), "x", "y", "w", "h", (F.col("w") * F.col("h")).alias("area"), F.lit("object").alias("label"), (F.col("conf_pct") / 100.0).alias("score"))
-    back = F.from_json("document", "struct<masks:array<struct<bbox_xywh:array<double>,score:double>>>")["masks"]
-    docs = IO.mask_documents(t).select("image_id", "num_masks", back.alias("m"))
-    total = lambda f: F.aggregate("m", F.lit(0.0), lambda s, x: s + f(x))
-    return docs.select("image_id", "num_masks", total(lambda x: x["bbox_xywh"][0]).alias("x"), F.round(total(lambda x: x["score"]), 4).alias("score"))
+    t = X.detections(spark, d).where("segmentor = 'SAM3'").join(X.captions(spark, d).select("part_id", "last_word"), "part_id")
+    t = t.withColumns({"mask_index": F.col("obj_idx"), "area": F.col("w") * F.col("h"), "predicted_iou": F.col("part_id") % 100 / 100.0, "stability_score": F.col("conf_pct") / 200.0, "score": F.col("conf_pct") / 100.0})
+    docs = IO.track_mask_documents(t.withColumnRenamed("last_word", "label"), _images(spark, d))
+    kind = """struct<metadata:struct<image_path:string,image_size:array<int>,model:string,mode:string>,summary:struct<num_masks:bigint,segmentation_map_image_path:string>,
+      masks:array<struct<mask_index:bigint,bbox_xywh:array<double>,area:bigint,predicted_iou:double,stability_score:double,label:string,sam3_score:double>>>"""
+    b = docs.select("image_id", F.from_json("document", kind).alias("b")).select("image_id", "b", F.explode("b.masks").alias("o"))
+    return b.select(
+        "image_id", F.col("b.metadata.image_path").alias("image_path"), F.array_join(F.col("b.metadata.image_size").cast("array<string>"), "x").alias("size"), F.concat_ws(" ", "b.metadata.model", "b.metadata.mode").alias("model"),
+        F.col("b.summary.num_masks").alias("num_masks"), F.col("b.summary.segmentation_map_image_path").alias("shown"), "o.mask_index", F.array_join(F.col("o.bbox_xywh").cast("array<long>").cast("array<string>"), ",").alias("bbox"),
+        "o.area", "o.predicted_iou", "o.stability_score", "o.label", F.col("o.sam3_score").alias("score"),
+    )
 
 
-@query("SELECT image_id, count(*) AS num_objects FROM detections WHERE segmentor = 'SAM3' GROUP BY ALL")
+@query(_read_back_sql(True))
 def io12_track_documents(spark, d):
-    return scene_docs(spark, d, "SAM3").select("image_id", "num_objects")
+    """The same of the second track, whose objects have ids and sources of their own."""
+    return read_back(scene_docs(spark, d, True))
 
 
-@query("SELECT series_id, count(*) AS num_frames, min(depth_cm) AS d_min, max(depth_cm) AS d_max, round_even(sum(depth_cm) / count(*)::DOUBLE, 4) AS d_mean FROM series GROUP BY ALL")
+@query("""SELECT series_id, frame_no AS frame, min(v) AS d_min, max(v) AS d_max, round_even(sum(v) / count(*)::DOUBLE, 4) AS d_mean, any_value(n) AS num_frames, '640x480' AS size, 'metric' AS prefix FROM (
+    SELECT *, depth_cm + k * k AS v, count(DISTINCT frame_no) OVER (PARTITION BY series_id) AS n FROM (SELECT *, unnest(range(4)) AS k FROM series)) GROUP BY series_id, frame_no""")
 def io13_depth_summary(spark, d):
-    s = X.series(spark, d)
-    n = s.groupBy("series_id").agg(F.count(F.lit(1)).alias("num_frames"))
-    return n.join(S.depth_summary(s, ["series_id"], "depth_cm"), "series_id")
+    """Grids of four pixels for each frame, their summary written by series, read back."""
+    grids = X.series(spark, d).select("series_id", "frame_no", "depth_cm", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).withColumn("v", F.col("depth_cm") + F.col("k") * F.col("k"))
+    docs = S.depth_documents(S.depth_summary(grids, ["series_id", "frame_no"], "v"), "series_id", "frame_no", "metric", (640, 480))
+    kind = "struct<model_prefix:string,target_size:array<int>,num_frames:bigint,frames:array<struct<frame:bigint,min:bigint,max:bigint,mean:double>>>"
+    b = docs.select("series_id", F.from_json("document", kind).alias("b")).select("series_id", "b", F.explode("b.frames").alias("f"))
+    return b.select(
+        "series_id", "f.frame", F.col("f.min").alias("d_min"), F.col("f.max").alias("d_max"), F.col("f.mean").alias("d_mean"), "b.num_frames", F.array_join(F.col("b.target_size").cast("array<string>"), "x").alias("size"), F.col("b.model_prefix").alias("prefix")
+    )
 
 
 @query("SELECT model, n_images, n_total_detections FROM report")

@@ -7,8 +7,39 @@ from __future__ import annotations
 
 import re
 
-from ..functions.labels import GENERIC_TAGS, RELATION_RULES, STOPWORDS
-from ..sources.fixtures import CATEGORIES, PHRASES
+from ..sources.fixtures import CATEGORIES
+
+#: Fixed values, written a second time so that a slip on one side shows.
+_GENERIC = "object objects thing things item items entity entities scene image photo picture"
+_STOP = """a an the some one two three with on of in at by and or from to for as up out into over under about around is are was were be been being has have can may
+will appears seems showing shows shown this that these those it its there their image photo picture view close shot side top front back left right center middle red blue
+green yellow white black brown grey gray orange purple pink dark light bright large small big little tiny tall short long old new open closed empty full flat round square
+wooden metal plastic glass stone brick single double multiple various different same very quite just also well"""
+PHRASES = "on top of|under|next to|in front of|behind|inside|hanging from|leaning against|holding|wearing|using|near"
+_RULES = """on: on top of|resting on|placed on|sitting on|standing on|lying on
+under: under|below|beneath
+is_next_to: next to|beside|adjacent|alongside
+in_front_of: in front of|in front
+behind: behind|in back of
+inside_of: inside|within|contained in|in the
+hangs_from: hanging from|suspended from
+leans_on: leaning on|leaning against
+at: at|located at
+holds: holding|carrying|gripping|grabbing
+wears: wearing|dressed in
+rides: riding|mounted on
+eats: eating|consuming
+drinks: drinking
+reads: reading
+uses: using|operating
+looks_at: looking at|gazing at
+talks_on_phone: talking on|speaking on
+plays: playing
+kicks: kicking
+catches: catching
+cuts: cutting"""
+GENERIC_TAGS, STOPWORDS, PHRASES = _GENERIC.split(), _STOP.split(), PHRASES.split("|")
+RELATION_RULES = [(phrases.split("|"), name) for name, phrases in (line.split(": ") for line in _RULES.splitlines())]
 
 _words = lambda ws: "(" + ", ".join(f"'{w}'" for w in ws) + ")"
 
@@ -61,19 +92,21 @@ STEPS = {
     "captions": f"""SELECT p_partkey::BIGINT AS part_id, phrase, 'a ' || p_name || ' ' || phrase || ' a ' || lower(p_type) || ' table' AS caption,
         string_split(p_name, ' ')[-1] AS last_word, lower(p_type) AS type_label
         FROM (SELECT *, [{', '.join(f"'{p}'" for p in PHRASES)}][(p_partkey % 12 + 1)::INT] AS phrase FROM part)""",
-    "label_candidates": f"""SELECT image_id, obj_idx, conf_pct / 100.0::DOUBLE AS conf,
+    "label_candidates": f"""SELECT image_id, obj_idx, segmentor, x, y, w, h, z_mm, part_id, conf_pct / 100.0::DOUBLE AS conf,
         CASE WHEN segmentor <> 'GroundedSAM2' OR part_id % 5 = 0 THEN 'object' ELSE last_word END AS detector_label,
         CASE WHEN part_id % 4 = 0 THEN 'object' ELSE {noun('caption')} END AS caption_label, caption,
         CASE WHEN part_id % 6 = 0 THEN 'object' ELSE type_label END AS tag_label FROM detections JOIN captions USING (part_id)""",
-    "labelled": """SELECT image_id, obj_idx, 'obj_' || obj_idx || '_GroundedSAM2' AS id,
+    "labelled": """SELECT image_id, obj_idx, segmentor, x, y, w, h, z_mm, part_id, CASE segmentor WHEN 'SAM3' THEN 'sam3_obj_' || obj_idx ELSE 'obj_' || obj_idx || '_GroundedSAM2' END AS id,
+        detector_label AS grounded_label, conf AS grounded_conf,
         CASE WHEN detector_label <> 'object' THEN detector_label WHEN caption_label <> 'object' THEN caption_label WHEN tag_label <> 'object' THEN tag_label ELSE 'object' END AS label,
         CASE WHEN detector_label <> 'object' THEN conf WHEN caption_label <> 'object' THEN 0.75 WHEN tag_label <> 'object' THEN 0.7 ELSE 0.0 END AS label_conf,
         CASE WHEN detector_label <> 'object' THEN detector_label WHEN caption_label <> 'object' THEN caption WHEN tag_label <> 'object' THEN tag_label ELSE coalesce(nullif(caption, ''), 'object') END AS caption,
-        CASE WHEN detector_label <> 'object' THEN 'detector' WHEN caption_label <> 'object' THEN 'caption' WHEN tag_label <> 'object' THEN 'tags' ELSE 'fallback' END AS source_model
-        FROM label_candidates""",
+        CASE WHEN detector_label <> 'object' THEN 'detector' WHEN caption_label <> 'object' THEN 'caption' WHEN tag_label <> 'object' THEN 'tags' ELSE 'fallback' END AS source_model,
+        caption_label AS florence2_label, caption AS florence2_caption,
+        CASE WHEN detector_label = 'object' AND caption_label = 'object' THEN tag_label ELSE 'object' END AS rampp_label FROM label_candidates""",
     "triplets": f"""SELECT d.image_id, d.obj_idx AS seq, c.last_word AS sub, {relation_case('c.caption')} AS pred, coalesce(n.last_word, 'unknown') AS obj,
-        CASE WHEN d.part_id % 8 <> 0 THEN 'obj_' || d.obj_idx || '_GroundedSAM2' END AS sub_id,
-        CASE WHEN d.part_id % 12 <> 0 THEN 'obj_' || (d.obj_idx + 1) || '_GroundedSAM2' END AS obj_id, d.conf_pct / 100.0::DOUBLE AS score
+        CASE WHEN d.part_id % 8 <> 0 THEN CASE d.segmentor WHEN 'SAM3' THEN 'sam3_obj_' || d.obj_idx ELSE 'obj_' || d.obj_idx || '_GroundedSAM2' END END AS sub_id,
+        CASE WHEN d.part_id % 12 <> 0 THEN CASE d.segmentor WHEN 'SAM3' THEN 'sam3_obj_' || (d.obj_idx + 1) ELSE 'obj_' || (d.obj_idx + 1) || '_GroundedSAM2' END END AS obj_id, d.conf_pct / 100.0::DOUBLE AS score
         FROM detections d JOIN captions c USING (part_id) LEFT JOIN captions n ON n.part_id = d.part_id + 1 WHERE d.part_id % 4 = 0""",
     "series": """SELECT user_id::BIGINT AS series_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_no,
         round(value * 100)::BIGINT AS depth_cm, event_id::BIGINT AS event_id, ts FROM events""",

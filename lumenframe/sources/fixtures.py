@@ -139,6 +139,7 @@ def label_candidates(spark: SparkSession, d: str) -> DataFrame:
     return det.select(
         "image_id",
         "obj_idx",
+        *("segmentor", "x", "y", "w", "h", "z_mm", "part_id"),
         (F.col("conf_pct") / 100.0).alias("conf"),
         F.when((F.col("segmentor") != "GroundedSAM2") | (p % 5 == 0), "object").otherwise(F.col("last_word")).alias("detector_label"),
         F.when(p % 4 == 0, "object").otherwise(caption_noun(F.col("caption"))).alias("caption_label"),
@@ -151,7 +152,7 @@ def triplets(spark: SparkSession, d: str) -> DataFrame:
     c = captions(spark, d)
     det = detections(spark, d).where("part_id % 4 = 0").join(c, "part_id")
     other = c.select((F.col("part_id") - 1).alias("part_id"), F.col("last_word").alias("next_word"))
-    name = lambda idx: F.format_string("obj_%d_GroundedSAM2", idx)
+    name = lambda idx: object_id(idx, F.col("segmentor"))
     return det.join(other, "part_id", "left").select(
         "image_id",
         F.col("obj_idx").alias("seq"),

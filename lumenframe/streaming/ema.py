@@ -4,28 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import DEFAULT, Config
 
+BATCH = 10_000
 OUTPUT = "series_id long, frame_no long, filtered double"
 
 
 def stream_ema(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """df(series_id, frame_no, depth_cm): rows of a micro-batch are applied in frame order;
-    a late row is applied when it arrives.  The state is one value per series."""
+    a late row is applied when it arrives.  The state is one value per series.  Of a
+    micro-batch, only two columns of a series are held; the trigger's size bounds them."""
     a = cfg.ema_keep
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("frame_no")
-        out = []
-        for d in rows["depth_cm"]:
-            last = float(d) if last is None else a * float(d) + (1 - a) * last
-            out.append(last)
+        held = [(b["frame_no"].to_numpy(), b["depth_cm"].to_numpy(float)) for b in batches]
+        frames, values = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.argsort(frames, kind="stable")
+        for at in range(0, len(order), BATCH):
+            rows, out = order[at : at + BATCH], []
+            for d in values[rows].tolist():
+                last = d if last is None else a * d + (1 - a) * last
+                out.append(last)
+            yield pd.DataFrame({"series_id": key[0], "frame_no": frames[rows], "filtered": out})
         state.update((last,))
-        yield pd.DataFrame({"series_id": key[0], "frame_no": rows["frame_no"].to_numpy(), "filtered": out})
 
     return df.groupBy("series_id").applyInPandasWithState(update, OUTPUT, "last double", "append", GroupStateTimeout.NoTimeout)

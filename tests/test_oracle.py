@@ -10,19 +10,16 @@ from lumenframe.plans.registry import QUERIES, SQL
 from .oracle import connect, difference
 
 SMALL = "/root/testdata/sf0.001"
-#: Its SQL names the folder of the driver's comparison.
-ELSEWHERE = {"io01_scan": "/root/testdata/sf0.01"}
 
 
 @pytest.fixture(scope="module")
 def con():
-    return {d: connect(d) for d in {SMALL, *ELSEWHERE.values()}}
+    return connect(SMALL)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_sql(spark, con, name):
-    folder = ELSEWHERE.get(name, SMALL)
-    assert difference(entry.queries()[name](spark, folder), entry.oracle_sql()[name], con[folder]) == ""
+    assert difference(entry.queries()[name](spark, SMALL), entry.oracle_sql()[name], con) == ""
 
 
 def test_every_query_has_sql():

@@ -67,6 +67,23 @@ def test_nearest_breaks_ties_by_index(spark):
     assert max(sum(r.a == k for r in got) for k in range(4)) <= 2 and all(r.image_id == 0 for r in got)
 
 
+@pytest.mark.parametrize("shape", ["even", "clumps", "line", "same place", "few"])
+def test_nearest_of_many_objects(spark, shape):
+    """Images too large for all pairs, against all pairs; ties and far outliers too."""
+    rng = random.Random(shape)
+    place = {
+        "even": lambda k: (rng.randint(0, 500), rng.randint(0, 500)), "clumps": lambda k: (rng.choice([0, 3, 9000]) + rng.random(), rng.choice([0, 700]) + rng.random()),
+        "line": lambda k: (float(k), 7.0), "same place": lambda k: (1.0, 1.0), "few": lambda k: (rng.random(), rng.random()),
+    }[shape]
+    rows = [(i, k, *map(float, place(k))) for i, n in ((0, 12 if shape == "few" else 300), (1, 5), (2, 1)) for k in range(n)]
+    got = P.nearest(spark.createDataFrame(rows, "image_id long, obj_idx long, ux double, uy double"), Config(neighbours=8))
+    want = set()
+    for i, a, x, y in rows:
+        others = sorted(((u - x) ** 2 + (v - y) ** 2, b) for j, b, u, v in rows if j == i and b != a)
+        want |= {(i, a, b, r) for r, (_, b) in enumerate(others[:8], 1)}
+    assert {(r.image_id, r.a, r.b, r["rank"]) for r in got.collect()} == want
+
+
 def test_label_match_takes_the_first_object(spark):
     objects = spark.createDataFrame([(0, 0, "obj_0", "red cup", "c0"), (0, 1, "obj_1", "cup", ""), (0, 2, "obj_2", "table", None)], "image_id long, obj_idx long, id string, label string, caption string")
     rows = [
@@ -86,6 +103,15 @@ def test_label_match_takes_the_first_object(spark):
     assert all(r.target_id in node_ids or r.target_id.startswith("external_") for r in got.values())
 
 
+def test_caption_of_the_first_labeller_that_has_one(spark):
+    objects = spark.createDataFrame(
+        [(0, 0, "a", "x", "own", "tag", "florence"), (0, 1, "b", "y", "", "tag", "florence"), (0, 2, "c", "z", None, "", "florence"), (0, 3, "d", "w", "", None, "")],
+        "image_id long, obj_idx long, id string, label string, caption string, rampp_caption string, florence2_caption string",
+    )
+    t = spark.createDataFrame([(0, k, "x", "on", "q", "a", i, 1.0) for k, i in enumerate("abcd")], "image_id long, seq long, sub string, pred string, obj string, sub_id string, obj_id string, score double")
+    assert [r.target_caption for r in R.attach(t, objects).orderBy("seq").collect()] == ["own", "tag", "florence", ""]
+
+
 def test_strict_triplet_check_fails(spark):
     counts = spark.createDataFrame([(7, 2)], "image_id long, n_objects long")
     none = spark.createDataFrame([], "image_id long")

@@ -22,7 +22,11 @@ def test_tags(spark):
     assert one(spark, "thing", L.parse_tags) == [] and one(spark, "", L.parse_tags) == [] and one(spark, None, L.parse_tags) is None
 
 
-@pytest.mark.parametrize("payload,want", [('{"tags": "", "tag_en": "a | b"}', "a | b"), ('{"tags": ["x", "y"]}', "x"), ('{"tags": [], "labels": 5}', "5"), ("{}", "")])
+@pytest.mark.parametrize(
+    "payload,want",
+    [('{"tags": "", "tag_en": "a | b"}', "a | b"), ('{"tags": ["x", "y"]}', "['x', 'y']"), ('{"tags": [], "labels": 5}', "5"), ("{}", ""),
+     ('["x", "y"]', "x"), ('["", "y"]', ""), ("[]", ""), ('{"tags": "[x] y"}', "[x] y"), ('{"tags": null, "english": ["a", 2]}', "['a', 2]"), ('"[plain"', "[plain"), ("null", ""), (None, "")],
+)
 def test_tag_field(spark, payload, want):
     assert one(spark, payload, L.tag_field) == want
 
@@ -84,7 +88,7 @@ def test_triplet_payloads(spark):
 
 
 def test_ema_both_ways(spark):
-    rows = [(s, f, 10 * f + s) for s in range(3) for f in range(50)]
+    rows = [(s, f, 10 * f + s) for s in range(3) for f in range(150)]
     df = spark.createDataFrame(rows, "series_id long, frame_no long, depth_cm long")
     want = {}
     for s, f, d in rows:
