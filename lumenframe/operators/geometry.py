@@ -29,7 +29,7 @@ def resample_grid(depth: DataFrame, sizes: DataFrame, out_w: Column, out_h: Colu
     end = F.least(F.col("ow"), F.ceil((F.col("tx") * TILE + F.size("depth")) * F.col("ow") / F.col("gw")))
     px = met.where(first < end).select("image_id", "gw", "ow", "dy", "tx", "depth", F.explode(F.sequence(first, end - 1)).alias("dx"))
     at = (F.expr("dx * gw div ow") - F.col("tx") * TILE).cast("int")
-    return px.select("image_id", F.col("dx").alias("px"), F.col("dy").alias("py"), F.get("depth", at).alias("depth_mm"))
+    return px.select("image_id", F.col("dx").alias("px"), F.col("dy").alias("py"), F.get("depth", at).cast("long").alias("depth_mm"))
 
 
 def clamp_box(df: DataFrame, w: Column, h: Column) -> DataFrame:
@@ -165,10 +165,11 @@ def normalise(df: DataFrame, keys: list[str], value: str, top: float = 1.0, wide
 
 
 def normalise_grid(depth: DataFrame, top: float = 255.0) -> DataFrame:
-    """PF-16: image_id, px, py, depth_mm, norm by the extrema of each image.  They come
-    from its tiles, and meet the tiles before those are taken apart into pixels."""
-    ext = depth.groupBy("image_id").agg(F.min(F.array_min("depth")).alias("lo"), F.max(F.array_max("depth")).alias("hi"))
-    px = depth.join(ext, "image_id").select("image_id", "py", "tx", "lo", "hi", F.posexplode("depth").alias("j", "depth_mm"))
+    """PF-16: image_id, px, py, depth_mm, norm by the extrema of each image, which a
+    window over its tiles gives before those are taken apart into pixels."""
+    over = Window.partitionBy("image_id")
+    ext = depth.select("*", F.min(F.array_min("depth")).over(over).alias("lo"), F.max(F.array_max("depth")).over(over).alias("hi"))
+    px = ext.select("image_id", "py", "tx", "lo", "hi", F.posexplode("depth").alias("j", "depth_mm"))
     norm = normalised(F.col("depth_mm"), F.col("lo"), F.col("hi"), top)
     return px.select("image_id", (F.col("tx") * TILE + F.col("j")).alias("px"), "py", "depth_mm", norm.alias("norm"))
 

@@ -34,6 +34,12 @@ def _low_bits(n: Column) -> Column:
     return _bit(F.greatest(F.lit(0), F.least(F.lit(62), n))) - 1
 
 
+def dealt(df: DataFrame, *cols: str) -> DataFrame:
+    """df in as many partitions as shuffles have.  For rows that grow manifold afterwards:
+    adaptive execution would join their partitions by the size that they have now."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 # Forms of a mask
 
 
@@ -211,13 +217,13 @@ def union_window(pairs: DataFrame, ext: DataFrame, sizes: DataFrame, cfg: Config
 def depth_pixels(depth: DataFrame) -> DataFrame:
     """A row for each pixel of the grid."""
     d = depth.select("image_id", "py", "tx", F.posexplode("depth").alias("j", "depth_mm"))
-    return d.select("image_id", (F.col("tx") * TILE + F.col("j")).alias("px"), "py", "depth_mm")
+    return d.select("image_id", (F.col("tx") * TILE + F.col("j")).alias("px"), "py", F.col("depth_mm").cast("long").alias("depth_mm"))
 
 
 def gather_depth(words: DataFrame, depth: DataFrame, keys: list[str] = OBJ) -> DataFrame:
     """JN-01: the depth under each mask pixel."""
     met = words.join(depth, ["image_id", "py", "tx"]).select(*keys, "py", "tx", "bits", F.posexplode("depth").alias("j", "depth_mm"))
-    return met.where(F.getbit("bits", F.col("j")) == 1).select(*keys, (F.col("tx") * TILE + F.col("j")).alias("px"), "py", "depth_mm")
+    return met.where(F.getbit("bits", F.col("j")) == 1).select(*keys, (F.col("tx") * TILE + F.col("j")).alias("px"), "py", F.col("depth_mm").cast("long").alias("depth_mm"))
 
 
 def clipped_here(n: Column, s: Column, q: Column, d: Column, cfg: Config) -> Column:
@@ -333,7 +339,7 @@ def _ring_totals() -> tuple[Column, Column]:
     some = [F.when(F.getbit("ring", F.lit(j)) == 1, F.get("depth", F.lit(j))) for j in range(TILE)]
     total, n = F.lit(0).cast("long"), F.lit(0).cast("long")
     for d in some:
-        total, n = total + F.coalesce(d, F.lit(0)), n + F.when(d.isNotNull(), 1).otherwise(0)
+        total, n = total + F.coalesce(d.cast("long"), F.lit(0)), n + F.when(d.isNotNull(), 1).otherwise(0)
     return total, n
 
 
@@ -349,13 +355,14 @@ def region_stats(objects: DataFrame, words: DataFrame, depth: DataFrame, sizes:
     mask = erode(words, sizes, cfg) if eroded else words.select(*WORD, "bits")
     met = with_ring(mask, sizes).join(depth, ["image_id", "py", "tx"])
     ring_s, ring_n = _ring_totals()
-    met = met.select(*OBJ, "py", "tx", "bits", "depth", ring_s.alias("ring_s"), ring_n.alias("ring_n")).repartition(*OBJ)
-    parts = F.concat("depth", F.array(F.lit(None).cast("long")))
+    met = met.select(*OBJ, "py", "tx", "bits", "depth", ring_s.alias("ring_s"), ring_n.alias("ring_n"))
+    met = dealt(met, *OBJ)
+    parts = F.concat("depth", F.array(F.lit(None)))
     px = met.select(*OBJ, "py", "tx", "bits", F.size("depth").alias("last"), "ring_s", "ring_n", F.posexplode(parts).alias("j", "d"))
     inside = (F.col("j") < F.col("last")) & (F.getbit("bits", F.col("j")) == 1)
     end = F.col("j") == F.col("last")
     px = px.where(inside | end).select(
-        *OBJ, (F.col("tx") * TILE + F.col("j")).alias("px"), "py", "d", inside.alias("inside"), F.when(end, F.col("ring_s")).alias("ring_s"), F.when(end, F.col("ring_n")).alias("ring_n")
+        *OBJ, (F.col("tx") * TILE + F.col("j")).alias("px"), "py", F.col("d").cast("long").alias("d"), inside.alias("inside"), F.when(end, F.col("ring_s")).alias("ring_s"), F.when(end, F.col("ring_n")).alias("ring_n")
     )
     d = F.col("d")
     px = px.withColumns(

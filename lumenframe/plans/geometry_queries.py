@@ -10,6 +10,7 @@ from ..functions import labels as L
 from ..operators import geometry as G
 from ..operators import pairs as P
 from ..operators import relations as R
+from ..operators.regions import box_words
 from ..sources import fixtures as X
 from ..sources import io as IO
 from .registry import query
@@ -155,7 +156,8 @@ def pf16_normalise(spark, d):
 def pf17_normalise_masked(spark, d):
     from ..operators.regions import gather_depth, union_of_masks
 
-    inside = gather_depth(union_of_masks(X.mask_words(spark, d)), X.depth_tiles(spark, d), ["image_id"]).where("depth_mm is not null")
+    union = union_of_masks(X.mask_words(spark, d))
+    inside = gather_depth(union, X.depth_tiles(spark, d, union), ["image_id"]).where("depth_mm is not null")
     return _norm_census(G.normalise(inside, ["image_id"], "depth_mm", 100.0, widen=1.0), ["image_id"])
 
 
@@ -164,7 +166,7 @@ def pf17_normalise_masked(spark, d):
     WHERE depth_mm IS NOT NULL WINDOW w AS (PARTITION BY b.image_id, b.obj_idx)) GROUP BY ALL""")
 def pf18_normalise_in_box(spark, d):
     b = boxes(spark, d).select("image_id", "obj_idx", "x1", "y1", "x2", "y2")
-    p = G.normalise(G.crop(X.depth_tiles(spark, d), b).where("depth_mm is not null"), ["image_id", "obj_idx"], "depth_mm", 1000.0)
+    p = G.normalise(G.crop(X.depth_tiles(spark, d, box_words(b)), b).where("depth_mm is not null"), ["image_id", "obj_idx"], "depth_mm", 1000.0)
     return p.groupBy("image_id", "obj_idx").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor("norm")).cast("long").alias("total"))
 
 
@@ -184,7 +186,7 @@ def pf20_finite(spark, d):
 @query("SELECT image_id, obj_idx, count(*) AS n, sum(depth_mm)::BIGINT AS total FROM box_px JOIN depth_px USING (image_id, px, py) GROUP BY ALL")
 def pf21_crop(spark, d):
     b = boxes(spark, d).select("image_id", "obj_idx", "x1", "y1", "x2", "y2")
-    return G.crop(X.depth_tiles(spark, d), b).groupBy("image_id", "obj_idx").agg(F.count(F.lit(1)).alias("n"), F.sum("depth_mm").alias("total"))
+    return G.crop(X.depth_tiles(spark, d, box_words(b)), b).groupBy("image_id", "obj_idx").agg(F.count(F.lit(1)).alias("n"), F.sum("depth_mm").alias("total"))
 
 
 _PARTS = f"""SELECT doc_id, p, min(i) AS i FROM (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id,

@@ -25,8 +25,14 @@ def eroded(spark: SparkSession, d: str) -> DataFrame:
     return Q.erode(masks(spark, d), X.grid_size(spark, d))
 
 
+def depth(spark: SparkSession, d: str, ring: bool = False) -> DataFrame:
+    """The depth tiles that the masks touch, with their rings if wanted."""
+    w = masks(spark, d)
+    return X.depth_tiles(spark, d, Q.dilate(w, X.grid_size(spark, d)) if ring else w)
+
+
 def clipped(spark: SparkSession, d: str) -> DataFrame:
-    return Q.sigma_clip(Q.gather_depth(eroded(spark, d), X.depth_tiles(spark, d)))
+    return Q.sigma_clip(Q.gather_depth(eroded(spark, d), depth(spark, d)))
 
 
 def near(spark: SparkSession, d: str) -> DataFrame:
@@ -100,7 +106,7 @@ def ag01_extents(spark, d):
 
 @query("SELECT image_id, obj_idx, count(*) AS n, count(depth_mm) AS finite, sum(depth_mm)::BIGINT AS total FROM mask_px JOIN depth_px USING (image_id, px, py) GROUP BY ALL")
 def jn01_gather(spark, d):
-    g = Q.gather_depth(masks(spark, d), X.depth_tiles(spark, d))
+    g = Q.gather_depth(masks(spark, d), depth(spark, d))
     return g.groupBy(*OBJ).agg(F.count(F.lit(1)).alias("n"), F.count("depth_mm").alias("finite"), F.sum("depth_mm").alias("total"))
 
 
@@ -142,12 +148,12 @@ def ag07_histogram_mode(spark, d):
 
 @query("SELECT image_id, obj_idx, separation, transparent FROM region WHERE num_pixels > 0")
 def ag08_separation(spark, d):
-    w, sizes, depth = eroded(spark, d), X.grid_size(spark, d), X.depth_tiles(spark, d)
-    return Q.separation(Q.depth_stats(clipped(spark, d)), Q.gather_depth(Q.border_ring(w, sizes), depth))
+    ring = Q.border_ring(eroded(spark, d), X.grid_size(spark, d))
+    return Q.separation(Q.depth_stats(clipped(spark, d)), Q.gather_depth(ring, depth(spark, d, True)))
 
 
 def region(spark: SparkSession, d: str) -> DataFrame:
-    return Q.region_stats(all_objects(spark, d), masks(spark, d), X.depth_tiles(spark, d), X.grid_size(spark, d))
+    return Q.region_stats(all_objects(spark, d), masks(spark, d), depth(spark, d, True), X.grid_size(spark, d))
 
 
 @query("SELECT * FROM region")
@@ -166,7 +172,7 @@ def ag09_region_stats(spark, d):
             FROM mask_px JOIN depth_px USING (image_id, px, py) GROUP BY ALL) c USING (image_id, obj_idx) WHERE d.depth_mm IS NOT NULL)) WHERE ok OR m < 5 GROUP BY ALL) USING (image_id, obj_idx)) w
     USING (image_id, obj_idx)""")
 def ag10_erosion_comparison(spark, d):
-    c = Q.erosion_comparison(all_objects(spark, d), masks(spark, d), X.depth_tiles(spark, d), X.grid_size(spark, d))
+    c = Q.erosion_comparison(all_objects(spark, d), masks(spark, d), depth(spark, d, True), X.grid_size(spark, d))
     return c.select(*OBJ, "d_mean", "d_std", "num_pixels", "raw_d_mean", "raw_d_std", "raw_num_pixels")
 
 

@@ -212,7 +212,7 @@ def measured(o: DataFrame) -> DataFrame:
     return o.withColumns(
         {
             "depth_stats": stats(z), "coordinates_3d": xyz(z), "mask_centroid_2d": centre,
-            "depth_stats_no_erosion": F.when(raw, stats(z + 0.5)), "coordinates_3d_no_erosion": F.when(raw, xyz(z + 0.5)), "mask_centroid_2d_no_erosion": F.when(raw, centre),
+            "depth_stats_no_erosion": F.when(raw, stats(z + 0.4376)), "coordinates_3d_no_erosion": F.when(raw, xyz(z + 0.4376)), "mask_centroid_2d_no_erosion": F.when(raw, centre),
         }
     )
 
@@ -279,7 +279,7 @@ def _read_back_sql(second: bool) -> str:
     cols |= {"o_depth_map_path": "'scene_graph/sam3/objects/' || image_id || '_' || id || '_depth.png'" if second else "NULL", "keys": "'SAM3,Pix2SG'" if second else "'GroundedSAM2,Florence2,RAM++,Pix2SG'"}
     cols |= {"own_label": "grounded_label", "own_caption": "caption", "own_conf": "grounded_conf", "relations": "coalesce(rel, '')", "bbox": "concat_ws(',', x, y, x + w, y + h)"}
     cols |= {"mask_centroid_2d": centre, "mask_centroid_2d_no_erosion": raw(centre)}
-    for v, f, dz in (("", str, z), ("_no_erosion", raw, f"{z} + 0.5::DOUBLE")):
+    for v, f, dz in (("", str, z), ("_no_erosion", raw, f"{z} + 0.4376::DOUBLE")):
         cols |= {f"at_x{v}": f(f"round_even({px.format(z=dz)}, 3)"), f"at_y{v}": f(f"round_even({py.format(z=dz)}, 3)"), f"at_z{v}": f(f"round_even({dz}, 3)")}
         cols |= {f"d_{c}{v}": f(f"round({dz}, 6)") for c in ("min", "max", "mean", "median", "z_val")} | {f"d_std{v}": f("(part_id % 10) / 100.0::DOUBLE")}
         cols |= {f"d_depth_separation_from_background{v}": f("(part_id % 7) / 10.0::DOUBLE"), f"d_num_pixels{v}": f("w * h"), f"d_z_val_pixels{v}": f("w * h // 2"), f"d_possibly_transparent{v}": f("part_id % 9 = 0")}
@@ -310,7 +310,7 @@ def _images(spark: SparkSession, d: str) -> DataFrame:
     lo / 1000.0::DOUBLE AS depth_min, hi / 1000.0::DOUBLE AS depth_max, round_even(total / n::DOUBLE / 1000, 6) AS depth_mean, n AS num_auto_masks, obj_idx AS sam2_mask_index,
     CASE WHEN none THEN 'obj_' || obj_idx || '_mask' ELSE 'obj_' || obj_idx || '_' || source_model END AS id, CASE WHEN none THEN 'unlabeled' ELSE label END AS label,
     CASE WHEN none THEN '' ELSE source_model END AS source_model, CASE WHEN none THEN '' ELSE segmentor END AS segmentor, concat_ws(',', x, y, x + w, y + h) AS bbox,
-    z_mm / 1000.0::DOUBLE AS mean, CASE WHEN part_id % 4 <> 1 THEN z_mm / 1000.0::DOUBLE + 0.5 END AS raw_mean, round_even(z_mm / 1000.0::DOUBLE, 3) AS z, floor(x + w / 2.0)::INT || ',' || floor(y + h / 2.0)::INT AS centroid
+    z_mm / 1000.0::DOUBLE AS mean, CASE WHEN part_id % 4 <> 1 THEN z_mm / 1000.0::DOUBLE + 0.4376::DOUBLE END AS raw_mean, round_even(z_mm / 1000.0::DOUBLE, 3) AS z, floor(x + w / 2.0)::INT || ',' || floor(y + h / 2.0)::INT AS centroid
     FROM (SELECT *, mode = 'B' AND part_id % 5 = 0 AS none FROM labelled, (SELECT unnest(['A', 'B']) AS mode)) JOIN frames USING (image_id) JOIN (
       SELECT image_id, min(z_mm) AS lo, max(z_mm) AS hi, sum(z_mm) AS total, count(*) AS n FROM labelled GROUP BY ALL) USING (image_id)""")
 def io10_mask_documents(spark, d):

@@ -53,7 +53,7 @@ def detections(spark: SparkSession, d: str) -> DataFrame:
 
 def mask_words(spark: SparkSession, d: str) -> DataFrame:
     """The masks of all detections as words: boxes with a hole in every eleventh pixel."""
-    b = detections(spark, d)
+    b = Q.dealt(detections(spark, d), "image_id")
     rows = b.select(
         "image_id", "obj_idx", "segmentor", "z_mm", F.col("x").alias("x0"), (F.col("x") + F.col("w")).alias("x1"), F.explode(F.sequence("y", F.col("y") + F.col("h") - 1)).alias("py")
     )
@@ -68,35 +68,40 @@ def mask_px(spark: SparkSession, d: str) -> DataFrame:
     return Q.words_to_pixels(mask_words(spark, d), ("segmentor", "z_mm"))
 
 
-def _covered_tiles(spark: SparkSession, d: str) -> DataFrame:
-    """image_id, py, tx of all grids, and the words of the masks on each (null: none)."""
+def _covered_tiles(spark: SparkSession, d: str, touched: DataFrame | None) -> DataFrame:
+    """image_id, py, tx of all grids, and the depth of the nearest mask on each of their
+    pixels that has one (null: none has); and parts of the noise that a tile shares."""
     grid = grid_size(spark, d)
     grid = grid.select("image_id", "gw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("gh") - 1)).alias("py"))
     grid = grid.select("image_id", "py", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"gw div {Q.TILE} - 1"))).alias("tx"))
-    cover = mask_words(spark, d).groupBy("image_id", "py", "tx").agg(F.collect_list(F.struct("bits", "z_mm")).alias("cover"))
-    return grid.join(cover, ["image_id", "py", "tx"], "left")
+    place = ["image_id", "py", "tx"]
+    if touched is not None:
+        grid = grid.join(touched.select(*place).distinct(), place, "left_semi")
+    px = Q.words_to_pixels(Q.dealt(mask_words(spark, d), *place), ("z_mm",)).select("image_id", "py", F.floor(F.col("px") / Q.TILE).alias("tx"), (F.col("px") % Q.TILE).cast("int").alias("j"), "z_mm")
+    nearest = px.groupBy(*place, "j").agg(F.min("z_mm").alias("z"))
+    cover = nearest.groupBy(*place).agg(F.map_from_entries(F.collect_list(F.struct("j", "z"))).alias("cover"))
+    px, py, i = F.col("tx") * Q.TILE, F.col("py"), F.col("image_id")
+    return Q.dealt(grid.join(cover, place, "left"), *place).select(*place, "cover", (px * 11 + py * 17 + i).alias("_a"), (px * 5 + py * 3 + i).alias("_b"), (px + py * 29 + i).alias("_c"))
 
 
 def _depth_at(j: F.Column) -> F.Column:
     """The depth of pixel j of a tile: the nearest mask on it, or the wall, and noise."""
-    px, py, i = F.col("tx") * Q.TILE + j, F.col("py"), F.col("image_id")
-    nearer = lambda z, c: F.when(F.getbit(c["bits"], j) == 1, F.least(z, c["z_mm"])).otherwise(z)
-    nearest = F.coalesce(F.aggregate("cover", F.lit(None).cast("long"), nearer), F.lit(9000))
-    z = F.when(F.col("cover").isNull(), F.lit(9000)).otherwise(nearest)
-    value = z + (px * 11 + py * 17 + i) % 97 + F.when((px * 5 + py * 3 + i) % 41 == 0, 4000).otherwise(0)
-    return F.when((px + py * 29 + i) % 211 != 0, value.cast("long"))
+    z = F.coalesce(F.try_element_at(F.col("cover"), j), F.lit(9000))
+    value = z + (F.col("_a") + j * 11) % 97 + F.when((F.col("_b") + j * 5) % 41 == 0, 4000).otherwise(0)
+    return F.when((F.col("_c") + j) % 211 != 0, value.cast("int"))
 
 
-def depth_tiles(spark: SparkSession, d: str) -> DataFrame:
-    """The depth grids of all frames, 32 pixels of a grid row to a row."""
+def depth_tiles(spark: SparkSession, d: str, touched: DataFrame | None = None) -> DataFrame:
+    """The depth grids of all frames, 32 pixels of a grid row to a row; with touched
+    (image_id, py, tx), only the tiles that it names."""
     depth = F.transform(F.sequence(F.lit(0), F.lit(Q.TILE - 1)), _depth_at)
-    return _covered_tiles(spark, d).select("image_id", "py", "tx", depth.alias("depth"))
+    return _covered_tiles(spark, d, touched).select("image_id", "py", "tx", depth.alias("depth"))
 
 
 def depth_px(spark: SparkSession, d: str) -> DataFrame:
     """The same with a row for each pixel."""
-    px = _covered_tiles(spark, d).select("*", F.explode(F.sequence(F.lit(0), F.lit(Q.TILE - 1))).alias("j"))
-    return px.select("image_id", (F.col("tx") * Q.TILE + F.col("j")).alias("px"), "py", _depth_at(F.col("j")).alias("depth_mm"))
+    px = _covered_tiles(spark, d, None).select("*", F.explode(F.sequence(F.lit(0), F.lit(Q.TILE - 1))).alias("j"))
+    return px.select("image_id", (F.col("tx") * Q.TILE + F.col("j")).alias("px"), "py", _depth_at(F.col("j")).cast("long").alias("depth_mm"))
 
 
 def grid_size(spark: SparkSession, d: str) -> DataFrame:
