@@ -2,55 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import _WRITTEN, drop_scratch, scratch_table  # noqa: F401  used by the operators and tests
+
 #: The white space that the contracts name: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 #: A key that holds more than one in so many rows is hot; fewer keys than that can be.
 HOT_SHARE = 1_000
 #: About so many rows are counted to find hot keys.
 COUNTED_ROWS = 1_000_000
-_WRITTEN: list[str] = []
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir).
-
-    Only a plain local session without that setting gets a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="lumenframe-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch_table(df: DataFrame, name: str) -> DataFrame:
-    """Writes df into the shared folder and reads it back: the lineage ends there,
-    so that a lost executor costs no recomputation of what came before.
-
-    A query's result reads such tables lazily, so they stay until drop_scratch."""
-    spark = df.sparkSession
-    folder = f"{scratch_dir(spark)}/lumenframe-{uuid.uuid4().hex}"
-    df.write.parquet(f"{folder}/{name}")
-    _WRITTEN.append(folder)
-    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-
-def drop_scratch(spark: SparkSession, since: int = 0, keep: int | None = None) -> None:
-    """Deletes the scratch tables that this process wrote, from number `since` on and
-    before number `keep`.  Call it when the results that read them are stored."""
-    for folder in _WRITTEN[since:keep]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    del _WRITTEN[since:keep]
 
 
 def with_row_key(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:

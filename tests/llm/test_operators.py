@@ -105,6 +105,35 @@ def test_minhash_finds_pairs_inside_boilerplate(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == {i: i - i % 2 if i < 200 else i for i in range(600)}
 
 
+@pytest.mark.xfail(reason="measured: 502 of 510 documents, 98.4 %", strict=False)
+def test_minhash_recall_on_chains_and_dense_clusters(spark):
+    """Chains whose ends have nothing in common, and clusters of many near copies: of the
+    components that all links give, at least 99 % of the documents are in theirs."""
+    rng = np.random.default_rng(12)
+    texts = []
+    for _ in range(6):
+        words_ = [f"w{x}" for x in rng.integers(0, 10**9, 1500)]
+        texts += [" ".join(words_[i * 20 : i * 20 + 400]) for i in range(55)]  # 376 of 416 shingles in common: 0.904
+    for _ in range(3):
+        words_ = [f"w{x}" for x in rng.integers(0, 10**9, 300)]
+        for _ in range(60):
+            copy = list(words_)
+            for at in rng.choice(300, 3, replace=False):
+                copy[at] = f"v{rng.integers(0, 10**9)}"
+            texts.append(" ".join(copy))
+    sets = [shingles(t) for t in texts]
+    smallest = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if n and 100 * n >= 85 * (len(sets[i]) + len(sets[j]) - n):
+                a, b = sorted((smallest[i], smallest[j]))
+                smallest = [a if x == b else x for x in smallest]
+    assert len(set(smallest)) < 120
+    got = {r.doc_id: r.component_id for r in minhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(got[i] == c for i, c in enumerate(smallest)) >= 0.99 * len(texts)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7)]
     got = {r.node: r.component for r in minhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
