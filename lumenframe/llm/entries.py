@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, chat, exact_dedup, langid, media, minhash, packing, pii, sharding, toxicity
+from . import alignment, bpe, chat, exact_dedup, langid, media, minhash, packing, pii, sharding, spelling, toxicity
 from .common import blanks_removed, fold, table, text_of
 
 #: The setting that names a text file with the key of the pseudonyms on its first line.
@@ -94,6 +94,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the aligned groups of both public tokenizers, and the measures."""
     import public_tokenizers
@@ -103,5 +107,5 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumnRenamed("groups", "groups_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_bpe, op3_packing, op4_exact_dedup, op5_langid, op6_pii, op7_toxicity, op8_chat_format, op9_media, op10_sharding, op13_alignment)}
-SQL = {"op1_minhash": minhash.SQL, "op4_exact_dedup": exact_dedup.SQL, "op8_chat_format": chat.SQL}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_bpe, op3_packing, op4_exact_dedup, op5_langid, op6_pii, op7_toxicity, op8_chat_format, op9_media, op10_sharding, op11_spelling, op13_alignment)}
+SQL = {"op1_minhash": minhash.SQL, "op4_exact_dedup": exact_dedup.SQL, "op8_chat_format": chat.SQL, "op11_spelling": spelling.SQL}
