@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, chat, exact_dedup, langid, media, minhash, packing, pii, sharding, spelling, toxicity
+from . import alignment, bpe, chat, exact_dedup, langid, media, minhash, packing, pii, repeats, sharding, spelling, toxicity
 from .common import blanks_removed, fold, table, text_of
 
 #: The setting that names a text file with the key of the pseudonyms on its first line.
@@ -98,6 +98,12 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_forms(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return got.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the aligned groups of both public tokenizers, and the measures."""
     import public_tokenizers
@@ -107,5 +113,5 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumnRenamed("groups", "groups_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_bpe, op3_packing, op4_exact_dedup, op5_langid, op6_pii, op7_toxicity, op8_chat_format, op9_media, op10_sharding, op11_spelling, op13_alignment)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_bpe, op3_packing, op4_exact_dedup, op5_langid, op6_pii, op7_toxicity, op8_chat_format, op9_media, op10_sharding, op11_spelling, op12_suffix_dedup, op13_alignment)}
 SQL = {"op1_minhash": minhash.SQL, "op4_exact_dedup": exact_dedup.SQL, "op8_chat_format": chat.SQL, "op11_spelling": spelling.SQL}
