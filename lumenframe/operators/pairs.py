@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..sources.scratch import scratch_table
+from ..sources.spread import split_join
+from .quadtree import nearest_in_crowds
 
 BOX = ("x1", "y1", "x2", "y2")
 #: Objects of an image that all meet each other: a bounded group of pairs.
@@ -122,43 +124,22 @@ def _ranked(p: DataFrame, k: int) -> DataFrame:
 def nearest(objects: DataFrame, cfg: Config = DEFAULT, cols: tuple[str, ...] = ()) -> DataFrame:
     """JN-07, TK-02: the k nearest objects by centroid (ux, uy), ties by index.
 
-    In an image of no more than DENSE objects all meet.  In a larger one, objects meet
-    those of their own and the eight tiles around.  A tile is as wide as it takes to hold
-    about k of them; where the k-th neighbour is not surely nearer than what lies
-    outside, the object looks again, among tiles four times as wide, and after that four
-    times wider, until all of its image lies in reach.  So a crowded image is no single
-    group of pairs."""
+    In an image of no more than DENSE objects all meet; a larger one goes by a quadtree,
+    so that a crowded image, or a crowd at one place, is no group of pairs."""
     k = cfg.neighbours
     a, b = _sides(objects, ["ux", "uy", *cols])
-    size = objects.groupBy("image_id").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("ux").alias("_x0"), F.max("ux").alias("_x1"), F.min("uy").alias("_y0"), F.max("uy").alias("_y1")
-    )
-    few = size.where(F.col("_n") <= DENSE).select("image_id")
+    size = objects.groupBy("image_id").agg(F.count(F.lit(1)).alias("_n"))
+    few = size.where(F.col("_n") <= max(DENSE, k)).select("image_id")
     some = a.join(few, "image_id", "left_semi").join(b, "image_id").where("a <> b")
-    out = _ranked(some, k).drop("_n")
-    many = size.where(F.col("_n") > DENSE)
+    out = _ranked(some, k)
+    many = scratch_table(size.where(F.col("_n") > max(DENSE, k)).select("image_id"), "crowded")
     if many.isEmpty():
         return out
-    span = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"), F.lit(1.0))
-    many = many.select("image_id", "_x0", "_y0", span.alias("_span"), (span * F.sqrt(F.lit(float(k)) / F.col("_n"))).alias("_t"))
-    todo, every = scratch_table(a.join(many, "image_id"), "nearest"), b.join(many, "image_id")
-    place = lambda p, side, low: F.floor((F.col(p) - F.col(low)) / F.col("_t")).alias(side)
-    while not todo.isEmpty():
-        around = F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)]))
-        at = todo.select("*", place("a_ux", "_i", "_x0"), place("a_uy", "_j", "_y0"))
-        asking = at.select("*", around.alias("_di")).select("*", around.alias("_dj")).select("*", (F.col("_i") + F.col("_di")).alias("_ti"), (F.col("_j") + F.col("_dj")).alias("_tj"))
-        held = every.join(todo.select("image_id").distinct(), "image_id", "left_semi").select(*b.columns, place("b_ux", "_ti", "_x0"), place("b_uy", "_tj", "_y0"))
-        found = _ranked(asking.join(held, ["image_id", "_ti", "_tj"]).where("a <> b"), k)
-        low_x, low_y = F.col("_x0") + (F.col("_i") - 1) * F.col("_t"), F.col("_y0") + (F.col("_j") - 1) * F.col("_t")
-        reach = F.least(F.col("a_ux") - low_x, low_x + 3 * F.col("_t") - F.col("a_ux"), F.col("a_uy") - low_y, low_y + 3 * F.col("_t") - F.col("a_uy"))
-        sure = (F.col("_t") > F.col("_span")) | (F.col("kth") < reach * reach * (1 - 1e-9))
-        kth = found.where(F.col("rank") == k).select("image_id", "a", F.col("dist2").alias("kth"))
-        told = at.join(kth, ["image_id", "a"], "left").withColumn("_sure", F.coalesce(sure, F.lit(False)))
-        done = told.where("_sure").select("image_id", "a")
-        out = out.unionByName(scratch_table(found.join(done, ["image_id", "a"], "left_semi").select(*out.columns), "neighbours"))
-        todo = scratch_table(told.where("not _sure").select(*todo.columns).withColumn("_t", F.col("_t") * 4), "nearest")
-        every = every.withColumn("_t", F.col("_t") * 4)
-    return out
+    a = scratch_table(split_join(a, many, ["image_id"], F.col("a"), "left_semi"), "crowd")
+    b = a.select("image_id", *[F.col(c).alias(f"b{c[1:]}") for c in a.columns if c != "image_id"])
+    near = nearest_in_crowds(a, b, k)
+    met = split_join(split_join(near, a, ["image_id", "a"], F.col("rank")), b, ["image_id", "b"], F.col("a"))
+    return out.unionByName(met.select(*out.columns))
 
 
 def semantic_gate(ious: DataFrame, cfg: Config = DEFAULT) -> DataFrame:

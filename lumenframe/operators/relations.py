@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.labels import external_id, external_label
+from ..sources.scratch import scratch_table
+from ..sources.spread import split_join
 from .pairs import box_iou, nearest
 
+#: Needles times labels of an image that may all meet.
+MEET = 4096
+
 
 def direction() -> Column:
     """By the larger difference of the centroids; the horizontal one wins ties."""
@@ -69,34 +74,71 @@ def prefer_precomputed(precomputed: DataFrame, computed: DataFrame) -> DataFrame
     return precomputed.unionByName(rest, allowMissingColumns=True)
 
 
-def _first_by_label(wanted: DataFrame, objects: DataFrame, needle: str, out: str) -> DataFrame:
-    """wanted(image_id, <needle>): the first object whose label holds the needle, or is
-    held by it.  Needles are distinct per image, so copies of a triplet cost one search."""
-    w = wanted.select("image_id", needle).where(F.col(needle) != "").distinct()
-    o = objects.select("image_id", F.col("obj_idx").alias("_i"), F.lower("label").alias("_l"))
-    hit = w.join(o, "image_id").where(F.col("_l").contains(F.col(needle)) | F.col(needle).contains(F.col("_l")))
-    return hit.groupBy("image_id", needle).agg(F.min("_i").alias(out))
+def _pieces(text: Column, sizes: Column) -> Column:
+    """All different substrings of a text that have one of the sizes."""
+    some = F.filter(sizes, lambda n: n <= F.char_length(text))
+    starts = lambda n: F.when(n == 0, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.char_length(text) - n + 1))
+    return F.array_distinct(F.flatten(F.transform(some, lambda n: F.transform(starts(n), lambda i: F.substring(text, i, n)))))
+
+
+def _indexed_labels(needles: DataFrame, labels: DataFrame) -> DataFrame:
+    """image_id, needle, idx of needles and labels (image_id, label, idx; both distinct)
+    by a substring index: the pieces of the labels, of those sizes that the image's
+    needles have, with the first object of each; and the same the other way round.
+    Every needle is one look-up, however many labels hold it."""
+
+    def pieces(texts: DataFrame, col: str, others: DataFrame, other: str) -> DataFrame:
+        sizes = others.groupBy("image_id").agg(F.collect_set(F.char_length(other)).alias("_sizes"))
+        met = split_join(texts, sizes, ["image_id"], F.xxhash64(col))
+        return met.select(*texts.columns, F.explode(_pieces(F.col(col), F.col("_sizes"))).alias("_piece"))
+
+    held = pieces(labels, "label", needles, "needle").groupBy("image_id", F.col("_piece").alias("needle")).agg(F.min("idx").alias("idx"))
+    inside = needles.join(held.hint("merge"), ["image_id", "needle"])
+    parts = pieces(needles, "needle", labels, "label").withColumnRenamed("_piece", "label")
+    around = split_join(parts, labels, ["image_id", "label"], F.xxhash64("needle"))
+    both = inside.select("image_id", "needle", "idx").unionByName(around.select("image_id", "needle", "idx"))
+    return both.groupBy("image_id", "needle").agg(F.min("idx").alias("idx"))
+
+
+def first_by_label(needles: DataFrame, objects: DataFrame) -> DataFrame:
+    """needles (image_id, needle; distinct, not empty) with idx, the first object whose
+    lower-cased label holds the needle, or is held by it.
+
+    In an image of few needles and labels all meet; a larger one goes by an index."""
+    labels = objects.where("label is not null").groupBy("image_id", F.lower("label").alias("label")).agg(F.min("obj_idx").alias("idx"))
+    labels = scratch_table(labels, "labels")
+    needles = scratch_table(needles, "needles")
+    count = lambda df, name: df.groupBy("image_id").agg(F.count(F.lit(1)).alias(name))
+    size = count(needles, "_n").join(count(labels, "_m"), "image_id").where(F.col("_n") * F.col("_m") > MEET)
+    large = scratch_table(size.select("image_id"), "large_images")
+    few, some = (needles, labels) if (none := large.isEmpty()) else (x.join(large, "image_id", "left_anti") for x in (needles, labels))
+    hit = few.join(some, "image_id").where(F.col("label").contains(F.col("needle")) | F.col("needle").contains(F.col("label")))
+    out = hit.groupBy("image_id", "needle").agg(F.min("idx").alias("idx"))
+    if none:
+        return out
+    return out.unionByName(_indexed_labels(*(split_join(x, large, ["image_id"], F.xxhash64(c), "left_semi") for x, c in ((needles, "needle"), (labels, "label")))))
 
 
 def resolve(triplets: DataFrame, objects: DataFrame) -> DataFrame:
     """JN-09, JN-10: subject and target of each triplet as object indexes.
 
     An id wins; else the first object by label.  Adds s_idx, s_by, t_idx, t_by, where by
-    is id, label or null.  objects(image_id, obj_idx, id, label)."""
+    is id, label or null.  objects(image_id, obj_idx, id, label).  Both sides of all
+    triplets are looked up in one pass."""
+    lowered = triplets.withColumns({"_sub": F.lower(F.trim("sub")), "_obj": F.lower(F.trim("obj"))})
     ids = objects.select("image_id", F.col("obj_idx").alias("_idx"), F.col("id").alias("_id"))
-    t = triplets.withColumns({"_sub": F.lower(F.trim("sub")), "_obj": F.lower(F.trim("obj"))})
-    for side, id_col, needle in (("s", "sub_id", "_sub"), ("t", "obj_id", "_obj")):
-        by_id = ids.select("image_id", F.col("_idx").alias(f"_{side}_id"), F.col("_id").alias(id_col))
-        t = t.join(by_id, ["image_id", id_col], "left")
-        lost = t.where(F.col(f"_{side}_id").isNull())
-        found = _first_by_label(lost, objects, needle, f"_{side}_label")
-        t = t.join(found, ["image_id", needle], "left")
-        t = t.withColumns(
-            {
-                f"{side}_by": F.when(F.col(f"_{side}_id").isNotNull(), "id").when(F.col(f"_{side}_label").isNotNull(), "label"),
-                f"{side}_idx": F.coalesce(f"_{side}_id", f"_{side}_label"),
-            }
-        )
+    spread = F.col("seq")
+    t = lowered
+    for side, id_col in (("s", "sub_id"), ("t", "obj_id")):
+        t = split_join(t, ids.select("image_id", F.col("_idx").alias(f"_{side}_id"), F.col("_id").alias(id_col)), ["image_id", id_col], spread, "left", counted=triplets)
+    t = scratch_table(t, "by_id")
+    lost = t.select("image_id", F.explode(F.array(F.when(F.col("_s_id").isNull(), F.col("_sub")), F.when(F.col("_t_id").isNull(), F.col("_obj")))).alias("needle"))
+    found = scratch_table(first_by_label(lost.where("needle <> ''").distinct(), objects), "by_label")
+    rows = t.count()
+    for side, needle in (("s", "_sub"), ("t", "_obj")):
+        t = split_join(t, found.select("image_id", F.col("needle").alias(needle), F.col("idx").alias(f"_{side}_label")), ["image_id", needle], spread, "left", rows=rows)
+        by_id, by_label = F.col(f"_{side}_id"), F.when(F.col(f"_{side}_id").isNull(), F.col(f"_{side}_label"))
+        t = t.withColumns({f"{side}_by": F.when(by_id.isNotNull(), "id").when(by_label.isNotNull(), "label"), f"{side}_idx": F.coalesce(by_id, by_label)})
     return t
 
 

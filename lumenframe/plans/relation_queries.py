@@ -29,7 +29,7 @@ _IOU = """CASE WHEN least(ax2, bx2) <= greatest(ax1, bx1) OR least(ay2, by2) <=
     ((ax2 - ax1) * (ay2 - ay1) + (bx2 - bx1) * (by2 - by1) - (least(ax2, bx2) - greatest(ax1, bx1)) * (least(ay2, by2) - greatest(ay1, by1)) + 1e-8::DOUBLE) END"""
 _SCORE = "CASE WHEN predicate = 'overlapping' THEN 0.85 WHEN predicate IN ('in_front_of', 'behind') THEN 0.75 ELSE 0.7 END::DOUBLE"
 _BOX_EDGES = f"SELECT *, {_SCORE} AS score FROM (SELECT image_id, a AS sub_idx, b AS obj_idx, rank, {_BOX} AS predicate FROM (SELECT *, {_IOU} AS iou FROM knn))"
-_MASK_EDGES = f"""SELECT *, {_SCORE} AS score FROM (SELECT image_id, a AS sub_idx, b AS obj_idx, rank, CASE WHEN coalesce(iou, 0) >= 0.05 THEN 'overlapping' WHEN abs(bz - az) >= 3000 THEN
+_MASK_EDGES = f"""SELECT *, {_SCORE} AS score FROM (SELECT image_id, a AS sub_idx, b AS obj_idx, rank, CASE WHEN coalesce(inter / (joint + 1e-8::DOUBLE), 0) >= 0.05 THEN 'overlapping' WHEN abs(bz - az) >= 3000 THEN
     CASE WHEN az < bz THEN 'in_front_of' ELSE 'behind' END WHEN abs(dx) >= abs(dy) THEN CASE WHEN dx > 0 THEN 'left_of' ELSE 'right_of' END WHEN dy > 0 THEN 'above' ELSE 'below' END AS predicate
     FROM knn LEFT JOIN mask_pairs USING (image_id, a, b))"""
 

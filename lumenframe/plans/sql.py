@@ -122,7 +122,7 @@ STEPS = {
         SELECT a.image_id, a.obj_idx AS a, b.obj_idx AS b, least(a.x2, b.x2) - greatest(a.x1, b.x1) AS iw, least(a.y2, b.y2) - greatest(a.y1, b.y1) AS ih,
         a.w * a.h AS a_area, b.w * b.h AS b_area FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.obj_idx <> b.obj_idx) WHERE iw > 0 AND ih > 0""",
     "mask_area": "SELECT image_id, obj_idx, any_value(segmentor) AS segmentor, count(*) AS area, min(px) AS x_min, max(px) AS x_max, min(py) AS y_min, max(py) AS y_max FROM mask_px GROUP BY image_id, obj_idx",
-    "mask_pairs": """SELECT i.*, i.inter / (m.area + n.area - i.inter)::DOUBLE AS iou, m.segmentor AS a_seg, n.segmentor AS b_seg FROM (
+    "mask_pairs": """SELECT i.*, m.area + n.area - i.inter AS joint, i.inter / (m.area + n.area - i.inter)::DOUBLE AS iou, m.segmentor AS a_seg, n.segmentor AS b_seg FROM (
         SELECT a.image_id, a.obj_idx AS a, b.obj_idx AS b, count(*) AS inter FROM mask_px a JOIN mask_px b USING (image_id, px, py) WHERE a.obj_idx <> b.obj_idx GROUP BY ALL) i
         JOIN mask_area m ON m.image_id = i.image_id AND m.obj_idx = i.a JOIN mask_area n ON n.image_id = i.image_id AND n.obj_idx = i.b""",
     "dedup": """SELECT image_id, obj_idx, 'primary' AS origin FROM mask_area WHERE segmentor = 'GroundedSAM2' UNION ALL

@@ -84,6 +84,24 @@ def test_nearest_of_many_objects(spark, shape):
     assert {(r.image_id, r.a, r.b, r["rank"]) for r in got.collect()} == want
 
 
+def test_crowd_at_one_place_is_no_group_of_pairs(spark):
+    """100,000 objects on one centroid and some around it, against all pairs by place."""
+    n, k = 100_000, 8
+    rng = random.Random(9)
+    around = [(n + i, 5.0 + rng.choice([-1, 0, 1]) * 10.0 ** -rng.randint(0, 3), 5.0 + rng.random() * 10.0 ** -rng.randint(0, 3)) for i in range(200)]
+    crowd = spark.range(n).selectExpr("0L AS image_id", "id AS obj_idx", "5.0D AS ux", "5.0D AS uy")
+    df = crowd.unionByName(spark.createDataFrame([(0, *r) for r in around], "image_id long, obj_idx long, ux double, uy double"))
+    got = {}
+    for r in P.nearest(df).select("a", "b", "rank").toArrow().to_pylist():
+        got.setdefault(r["a"], []).append((r["rank"], r["b"]))
+    assert len(got) == n + 200
+    first = [(i, 5.0, 5.0) for i in range(k + 1)]
+    for a in [0, 4, 8, 9, 5000, n - 1, *(r[0] for r in around)]:
+        x, y = next(((x, y) for i, x, y in around if i == a), (5.0, 5.0))
+        others = sorted(((u - x) ** 2 + (v - y) ** 2, b) for b, u, v in first + around if b != a)
+        assert sorted(got[a]) == [(i, b) for i, (_, b) in enumerate(others[:k], 1)]
+
+
 def test_label_match_takes_the_first_object(spark):
     objects = spark.createDataFrame([(0, 0, "obj_0", "red cup", "c0"), (0, 1, "obj_1", "cup", ""), (0, 2, "obj_2", "table", None)], "image_id long, obj_idx long, id string, label string, caption string")
     rows = [
@@ -103,6 +121,26 @@ def test_label_match_takes_the_first_object(spark):
     assert all(r.target_id in node_ids or r.target_id.startswith("external_") for r in got.values())
 
 
+@pytest.mark.parametrize("meet", [R.MEET, 0])
+def test_labels_by_index_equal_all_pairs(spark, monkeypatch, meet):
+    """Needles and labels inside each other, of one image with most rows and of small ones;
+    without pairs (0), every image goes by the index."""
+    monkeypatch.setattr(R, "MEET", meet)
+    rng = random.Random(2)
+    text = lambda n: "".join(rng.choice("ab c\u00e9") for _ in range(n))
+    labels = [(i, k, text(rng.randint(0, 9)).upper() if k % 9 else ["", None][k % 2]) for i, n in ((0, 400), (1, 5), (2, 1)) for k in range(n)]
+    labels += [(3, k, "obj" + text(4)) for k in range(3)]
+    needles = sorted({(i, text(rng.randint(1, 12))) for i, n in ((0, 500), (1, 6), (2, 2), (4, 3)) for _ in range(n)})
+    o = spark.createDataFrame(labels, "image_id long, obj_idx long, label string")
+    got = R.first_by_label(spark.createDataFrame(needles, "image_id long, needle string"), o).collect()
+    want = {}
+    for i, w in needles:
+        hits = [k for j, k, t in labels if j == i and t is not None and (w in t.lower() or t.lower() in w)]
+        if hits:
+            want[i, w] = min(hits)
+    assert len(got) == len(want) and {(r.image_id, r.needle): r.idx for r in got} == want
+
+
 def test_caption_of_the_first_labeller_that_has_one(spark):
     objects = spark.createDataFrame(
         [(0, 0, "a", "x", "own", "tag", "florence"), (0, 1, "b", "y", "", "tag", "florence"), (0, 2, "c", "z", None, "", "florence"), (0, 3, "d", "w", "", None, "")],
