@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..sources.scratch import scratch_table
 
 
 def positional(df: DataFrame, keys: list[str], order: list, out: str = "obj_idx") -> DataFrame:
@@ -22,37 +19,114 @@ def sample_frames(df: DataFrame, every: int = 10, series: str = "series_id", ord
     return positional(df, [series], list(order), "position").where(F.col("position") % every == 0)
 
 
-def ema(df: DataFrame, keys: list[str], frame: str, value: str, cfg: Config = DEFAULT) -> DataFrame:
-    """WN-02: f0 = d0, ft = a dt + (1 - a) f(t-1), per key in frame order.
+#: Frames whose fold is one array; series of no more frames are folded as a whole.
+CHUNK = 64
+
+
+def _fold(values: Column, start: Column, keep: float) -> Column:
+    """f after the values in order, from f before them: null until there is a value; a
+    value of null leaves it as it is."""
+    step = lambda f, d: F.when(d.isNull(), f).when(f.isNull(), d).otherwise(keep * d + (1 - keep) * f)
+    return F.aggregate(values, start, step)
+
+
+def _running(start: Column, keep: float):
+    """A step over structs (frame, d) that gathers the frames with f after each."""
+
+    def step(so_far: Column, r: Column) -> Column:
+        last = F.when(F.size(so_far) == 0, start).otherwise(F.element_at(so_far, -1)["filtered"])
+        f = F.when(r["d"].isNull(), last).when(last.isNull(), r["d"]).otherwise(keep * r["d"] + (1 - keep) * last)
+        return F.concat(so_far, F.array(F.struct(r["frame"].alias("frame"), f.alias("filtered"))))
+
+    return step
+
+
+def _starts(maps: DataFrame, chunk: int) -> DataFrame:
+    """series, part, start: the value of a series before each of its parts.
+
+    maps (series, part, m, c, first): over a part, f becomes m f + c, or first if there
+    was none.  Neighbouring parts are composed to longer ones until a series is one part;
+    the values then pass down again.  A row holds `chunk` parts at most."""
+    upper = F.expr(f"part div {chunk}").alias("upper")
+    ordered = F.array_sort(F.collect_list(F.struct("part", "m", "c", "first")))
+    grouped = scratch_table(maps.groupBy("series", upper).agg(ordered.alias("parts")), "parts")
+    pass_on = lambda f, p: F.when(f.isNull(), p["first"]).otherwise(p["m"] * f + p["c"])
+    none = F.lit(None).cast("double")
+    cut = scratch_table(grouped.groupBy("series").count().where("count > 1").select("series"), "cut_series")
+    known = grouped.withColumn("start", none)
+    if not cut.isEmpty():
+        over = lambda start: F.aggregate("parts", start, lambda f, p: p["m"] * f + p["c"])
+        longer = grouped.join(cut.hint("merge"), "series", "left_semi").select(
+            "series", F.col("upper").alias("part"), F.aggregate("parts", F.lit(1.0), lambda m, p: m * p["m"]).alias("m"), over(F.lit(0.0)).alias("c"), F.aggregate("parts", none, pass_on).alias("first")
+        )
+        known = grouped.join(_starts(longer, chunk).withColumnRenamed("part", "upper").hint("merge"), ["series", "upper"], "left")
+
+    def step(so_far: Column, p: Column) -> Column:
+        before = F.struct(p["part"].alias("part"), so_far["f"].alias("start"))
+        return F.struct(pass_on(so_far["f"], p).alias("f"), F.concat(so_far["out"], F.array(before)).alias("out"))
+
+    empty = F.array().cast("array<struct<part:bigint,start:double>>")
+    out = F.aggregate("parts", F.struct(F.col("start").alias("f"), empty.alias("out")), step, lambda s: s["out"])
+    return known.select("series", F.explode(out).alias("p")).select("series", "p.part", "p.start")
+
+
+def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with `at`, their number in the order, without a gap.  The rows are sorted by
+    ranges; the driver gets one count for each range."""
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = scratch_table(sorted_.withColumns({"range": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "ordered")
+    counts = placed.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("low")).orderBy("range").collect()
+    before, shift = 0, []
+    for r in counts:
+        shift.append((r["range"], before - r["low"]))
+        before += r["n"]
+    shifts = rows.sparkSession.createDataFrame(shift, "range int, shift long")
+    return placed.join(F.broadcast(shifts), "range").withColumn("at", F.col("at") + F.col("shift")).drop("range", "shift")
 
-    Each frame folds the last values of its series, from the oldest on: as many as it
-    takes until what came before weighs less than a double can tell."""
-    a = cfg.ema_keep
-    back = 1 if a >= 1 else math.ceil(math.log(1e-24) / math.log(1 - a))
-    past = Window.partitionBy(*keys).orderBy(frame).rowsBetween(-back, 0)
-    seen = df.select(*keys, frame, F.collect_list(F.col(value).cast("double")).over(past).alias("_d"))
-    fold = F.aggregate(F.slice("_d", 2, back + 1), F.get("_d", F.lit(0)), lambda f, d: a * d + (1 - a) * f)
-    return seen.select(*keys, frame, fold.alias("filtered"))
 
+def ema_scan(df: DataFrame, keys: list[str], frame: str, value: str, cfg: Config = DEFAULT, chunk: int = CHUNK) -> DataFrame:
+    """WN-02 for series of any length, by a scan over affine maps.
 
-def ema_long(df: DataFrame, key: str, frame: str, value: str, cfg: Config = DEFAULT) -> DataFrame:
-    """WN-02 for long series: partitions sorted by key and frame, one pass over batches
-    with the last value of the current key as the only state."""
+    Rows are ordered by ranges of (keys, frame, value) and cut into chunks of `chunk`
+    rows, wherever a series starts.  A chunk is a map f -> m f + c; maps are composed
+    level by level, and the value before each chunk then gives those of its frames.  So
+    one long series keeps all tasks busy, and none holds it."""
     a = cfg.ema_keep
-    kinds = {c: df.schema[c].dataType.simpleString() for c in (key, frame)}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, last = None, 0.0
-        for b in batches:
-            out = []
-            for k, d in zip(b[key], b[value], strict=True):
-                last = float(d) if k != now else a * float(d) + (1 - a) * last
-                now = k
-                out.append(last)
-            yield pd.DataFrame({key: b[key], frame: b[frame], "filtered": out})
-
-    dealt = df.select(key, frame, value).repartition(key).sortWithinPartitions(key, frame)
-    return dealt.mapInPandas(run, f"{key} {kinds[key]}, {frame} {kinds[frame]}, filtered double")
+    slim = df.select(F.struct(*keys).alias("series"), F.col(frame).alias("frame"), F.col(value).cast("double").alias("d"))
+    rows = F.array_sort(F.collect_list(F.struct("at", "frame", "d")))
+    chunks = _numbered(slim, ["series", "frame", "d"]).groupBy("series", F.expr(f"at div {chunk}").alias("part")).agg(rows.alias("rows"))
+    chunks = scratch_table(chunks, "chunks")
+    values = F.transform("rows", lambda r: r["d"])
+    n = F.size(F.filter(values, lambda d: d.isNotNull()))
+    maps = chunks.select("series", "part", F.pow(F.lit(1 - a), n).alias("m"), _fold(values, F.lit(0.0), a).alias("c"), _fold(values, F.lit(None).cast("double"), a).alias("first"))
+    met = chunks.join(_starts(maps, chunk).hint("merge"), ["series", "part"])
+    return _opened(met, ["series"], "frame", F.col("start"), a).select(*[F.col("series")[k].alias(k) for k in keys], F.col("frame").alias(frame), "filtered")
+
+
+def _opened(arrays: DataFrame, keys: list[str], frame: str, start: Column, keep: float) -> DataFrame:
+    kind = arrays.schema["rows"].dataType.elementType["frame"].dataType.simpleString()
+    empty = F.array().cast(f"array<struct<frame:{kind},filtered:double>>")
+    out = F.aggregate("rows", empty, _running(start, keep))
+    return arrays.select(*keys, F.explode(out).alias("p")).select(*keys, F.col("p.frame").alias(frame), "p.filtered")
+
+
+def ema(df: DataFrame, keys: list[str], frame: str, value: str, cfg: Config = DEFAULT, chunk: int = CHUNK) -> DataFrame:
+    """WN-02: f0 = d0, ft = a dt + (1 - a) f(t-1), per key in frame order (rows of one
+    frame by value).
+
+    A frame without a value keeps the last f, and has none before the first value; such a
+    frame comes first among those of its number.  Series of up to `chunk` frames are
+    folded in one array each, longer ones by a scan."""
+    size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    same = lambda s: [df[k].eqNullSafe(s[k]) for k in keys]
+    long = scratch_table(size.where(F.col("_n") > chunk).select(*keys), "long_series")
+    none = long.isEmpty()
+    short = df if none else df.join(long, same(long), "left_anti")
+    rows = F.array_sort(F.collect_list(F.struct(F.col(frame).alias("frame"), F.col(value).cast("double").alias("d"))))
+    folded = _opened(short.groupBy(*keys).agg(rows.alias("rows")), keys, frame, F.lit(None).cast("double"), cfg.ema_keep)
+    if none:
+        return folded
+    return folded.unionByName(ema_scan(df.join(long, same(long), "left_semi"), keys, frame, value, cfg, chunk))
 
 
 def depth_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:

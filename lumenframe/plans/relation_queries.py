@@ -17,7 +17,7 @@ from ..sources import fixtures as X
 from ..sources import io as IO
 from ..sources.scratch import scratch_table, work_folder
 from ..streaming.ema import stream_ema
-from ..streaming.ingest import ingest_new_files
+from ..streaming.ingest import ingest_new_files, ingested
 from .geometry_queries import boxes, camera_of, labelled
 from .region_queries import masks
 from .registry import query
@@ -417,7 +417,8 @@ def wn02_ema(spark, d):
 
 @query(_EMA)
 def wn02_ema_long(spark, d):
-    return S.ema_long(X.series(spark, d), "series_id", "frame_no", "depth_cm").withColumn("filtered", F.round("filtered", 6))
+    """All series by the scan, in chunks so short that maps are composed over levels."""
+    return S.ema_scan(X.series(spark, d), ["series_id"], "frame_no", "depth_cm", chunk=16).withColumn("filtered", F.round("filtered", 6))
 
 
 @query("""SELECT vec_id AS image_id, round(sum(e) FILTER (kind = 'indoor') / sum(e) / count(*) FILTER (kind = 'indoor'), 6) AS indoor_score, round(sum(e) FILTER (kind = 'outdoor') / sum(e) / count(*) FILTER (kind = 'outdoor'), 6) AS outdoor_score,
@@ -448,9 +449,9 @@ def sm01_incremental_ingest(spark, d):
     lines = lines.select("event_id", F.when(F.col("event_id") % 17 == 0, F.substring("value", 1, 12)).otherwise(F.col("value")).alias("value"))
     for part in (0, 1):
         lines.where(F.col("event_id") % 2 == part).select("value").write.mode("append").text(f"{base}/in")
-        run = ingest_new_files(spark, f"{base}/in", "event_id long, user_id long, value double", f"{base}/out", f"{base}/state", quarantine=f"{base}/bad")
+        run = ingest_new_files(spark, f"{base}/in", "event_id long, user_id long, value double", f"{base}/out", f"{base}/state")
         run.awaitTermination()
-    return spark.read.schema("event_id long, user_id long, value double").parquet(f"{base}/out")
+    return ingested(spark, f"{base}/out")
 
 
 @query(_EMA)

@@ -6,6 +6,7 @@ import math
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
 from lumenframe.functions import labels as L
 from lumenframe.operators import frames as S
@@ -87,15 +88,79 @@ def test_triplet_payloads(spark):
     assert {(r.image_id, r["sub"], r.pred, r.obj, r.score) for r in got} == {(1, "a", "on", "b", 1.0), (2, "x", "y", "z", 0.5)}
 
 
-def test_ema_both_ways(spark):
-    rows = [(s, f, 10 * f + s) for s in range(3) for f in range(150)]
+def plain_ema(rows):
+    """filtered by (series, position) of rows (series, frame, depth or None) in order."""
+    out, last, at = {}, {}, {}
+    for s, f, d in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2] is not None, r[2] or 0)):
+        old = last.get(s)
+        last[s] = old if d is None else float(d) if old is None else 0.6 * d + 0.4 * old
+        at[s] = at.get(s, -1) + 1
+        out[s, f, at[s]] = last[s]
+    return out
+
+
+def ema_rows(df):
+    at, out = {}, {}
+    for r in sorted(df.collect(), key=lambda r: (str(r.series_id), r.frame_no)):
+        at[r.series_id] = at.get(r.series_id, -1) + 1
+        out[r.series_id, r.frame_no, at[r.series_id]] = r.filtered
+    return out
+
+
+@pytest.mark.parametrize("chunk", [4, 64])
+def test_ema_of_short_and_long_series(spark, chunk):
+    """Missing depths, a key without a name, series of one frame and of missing depths only."""
+    rows = [(s, f, None if (f * 7 + s) % 5 == 0 else 10 * f + s) for s in range(3) for f in range(170)]
+    rows += [(None, f, f) for f in range(9)] + [(7, 0, 5)] + [(8, f, None) for f in range(70)] + [(9, f, None if f < 66 else f) for f in range(70)]
     df = spark.createDataFrame(rows, "series_id long, frame_no long, depth_cm long")
-    want = {}
-    for s, f, d in rows:
-        want[s, f] = d if f == 0 else 0.6 * d + 0.4 * want[s, f - 1]
-    for out in (S.ema(df, ["series_id"], "frame_no", "depth_cm"), S.ema_long(df, "series_id", "frame_no", "depth_cm")):
-        got = {(r.series_id, r.frame_no): r.filtered for r in out.collect()}
-        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    want = plain_ema(rows)
+    for out in (S.ema(df, ["series_id"], "frame_no", "depth_cm", chunk=chunk), S.ema_scan(df, ["series_id"], "frame_no", "depth_cm", chunk=chunk)):
+        got = ema_rows(out)
+        assert got.keys() == want.keys() and all(got[k] == want[k] if want[k] is None else got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+
+
+def test_long_series_is_spread(spark):
+    """A third of a million frames of one series: all ranges hold a share, and the values
+    are those of one pass."""
+    n = 300_000
+    df = spark.range(n).selectExpr("1L AS series_id", "id AS frame_no", "id * 7919 % 1009 AS depth_cm")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the table is small
+    ordered = S._numbered(df.selectExpr("struct(series_id) AS series", "frame_no AS frame", "depth_cm AS d"), ["series", "frame", "d"])
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert ordered.selectExpr("count(distinct at)", "min(at)", "max(at)").first() == (n, 0, n - 1)
+    per_file = [r["count"] for r in ordered.groupBy(F.input_file_name()).count().collect()]
+    assert len(per_file) >= 4 and max(per_file) < n / 3
+    got = S.ema(df, ["series_id"], "frame_no", "depth_cm").toPandas().sort_values("frame_no")["filtered"].tolist()
+    last = None
+    for f in range(n):
+        d = f * 7919 % 1009
+        last = d if last is None else 0.6 * d + 0.4 * last
+        assert abs(got[f] - last) < 1e-9
+
+
+def test_batch_that_fails_after_its_write_counts_once(spark, tmp_path, monkeypatch):
+    from lumenframe.streaming import ingest
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text('{"k": 1}\n{"k": 2}\n{"k"')
+    run = lambda: ingest.ingest_new_files(spark, f"{tmp_path}/in", "k long", f"{tmp_path}/out", f"{tmp_path}/state")
+    commit = ingest._commit
+    monkeypatch.setattr(ingest, "_commit", lambda *a: 1 / 0)
+    with pytest.raises(Exception, match="division by zero"):
+        run().awaitTermination()
+    assert (tmp_path / "out/data").exists() and not (tmp_path / "out/commits").exists()
+    monkeypatch.setattr(ingest, "_commit", commit)
+    for text in ("", '{"k": 3}'):
+        (tmp_path / "in/b.json").write_text(text) if text else None
+        run().awaitTermination()
+    assert sorted(r.k for r in ingest.ingested(spark, f"{tmp_path}/out").collect()) == [1, 2, 3]
+    assert [r[0] for r in ingest.ingested(spark, f"{tmp_path}/out", "rejected").collect()] == ['{"k"']
+    # committed, but the checkpoint does not know it yet: the batch comes again
+    for at in (tmp_path / "state/commits").iterdir():
+        if at.name.strip(".").split(".")[0] == "1":
+            at.unlink()
+    run().awaitTermination()
+    assert sorted(r.k for r in ingest.ingested(spark, f"{tmp_path}/out").collect()) == [1, 2, 3]
 
 
 def test_entry_without_the_llm_folder(tmp_path):
