@@ -16,7 +16,7 @@ from ..operators.scoring import linear_scorer, score_batches
 from ..sources import fixtures as X
 from ..sources import io as IO
 from ..sources.scratch import scratch_table, work_folder
-from ..streaming.ema import stream_ema
+from ..streaming.ema import BLOCK, state_store, stream_ema
 from ..streaming.ingest import ingest_new_files, ingested
 from .geometry_queries import boxes, camera_of, labelled
 from .region_queries import masks
@@ -456,13 +456,16 @@ def sm01_incremental_ingest(spark, d):
 
 @query(_EMA)
 def sm02_stream_ema(spark, d):
-    """The series arrive in two files in order; the state goes from one to the next."""
+    """The series arrive in two files, neither in order; the state goes from one to the
+    next.  A row far ahead, of no series, then lets the watermark pass them all."""
     base = work_folder(spark)
     s = X.series(spark, d).select("series_id", "frame_no", "depth_cm")
-    for part in (F.col("frame_no") < 30, F.col("frame_no") >= 30):
-        s.where(part).coalesce(4).write.mode("append").parquet(f"{base}/in")
+    end = s.agg(F.lit(-1).cast("long").alias("series_id"), (F.max("frame_no") + 10 * BLOCK).alias("frame_no"), F.lit(None).cast("long").alias("depth_cm"))
+    for part in (s.where("frame_no < 1024"), s.where("frame_no >= 1024"), end):
+        part.coalesce(4).write.mode("append").parquet(f"{base}/in")
         stream = spark.readStream.schema("series_id long, frame_no long, depth_cm long").parquet(f"{base}/in")
-        run = stream_ema(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-        run.awaitTermination()
+        with state_store(spark):
+            run = stream_ema(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+            run.awaitTermination()
     out = spark.read.schema("series_id long, frame_no long, filtered double").parquet(f"{base}/out")
     return out.withColumn("filtered", F.round("filtered", 6))

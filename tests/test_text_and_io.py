@@ -138,6 +138,33 @@ def test_long_series_is_spread(spark):
         assert abs(got[f] - last) < 1e-9
 
 
+def test_stream_average_sorts_drops_late_rows_and_forgets(spark, tmp_path, monkeypatch):
+    """Rows out of order, in one batch and over batches; a late row; a series that pauses."""
+    from lumenframe.streaming import ema
+
+    def deliver(rows):
+        spark.createDataFrame(rows, "series_id long, frame_no long, depth_cm long").repartition(3).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("series_id long, frame_no long, depth_cm long").parquet(f"{tmp_path}/in")
+        with ema.state_store(spark):
+            out = ema.stream_ema(stream, delay="30 seconds", idle_frames=5 * ema.BLOCK)
+            out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+
+    b = ema.BLOCK
+    rows = [(s, f, None if f % 9 == 4 else f * 31 % 97 + s) for s in (1, 2) for f in range(2 * b)]
+    odd, even = rows[1::2], rows[::2]
+    deliver([r for r in even if r[1] < b] + [r for r in odd if r[1] < b - 5])
+    deliver([r for r in odd if b - 5 <= r[1] < b] + [r for r in rows if r[1] >= b][::-1])
+    deliver([(3, 2 * b + 100, 1)])
+    deliver([(1, 3, 1_000_000)])  # late
+    deliver([(2, 2 * b + 3 * b, 50), (3, 20 * b, 1)])
+    deliver([(1, 20 * b + 1, 70), (3, 30 * b, 1)])
+    deliver([(3, 40 * b, 1)])
+    want = plain_ema([r for r in rows])
+    want |= {(2, 5 * b, 2 * b): 0.6 * 50 + 0.4 * want[2, 2 * b - 1, 2 * b - 1], (1, 20 * b + 1, 2 * b): 70.0}
+    got = ema_rows(spark.read.parquet(f"{tmp_path}/out").where("series_id < 3"))
+    assert got.keys() == want.keys() and all(got[k] == want[k] if want[k] is None else got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_batch_that_fails_after_its_write_counts_once(spark, tmp_path, monkeypatch):
     from lumenframe.streaming import ingest
 
