@@ -63,7 +63,9 @@ def mask_iou_pairs(words: DataFrame, eps: float = 0.0) -> DataFrame:
     """JN-02: image_id, a, b, inter, iou of every ordered pair of masks that share a pixel.
 
     Masks meet by (image, row, tile), where they share 32 pixels, for a < b only; bitwise
-    counts sum up to one row per pair, and the mirrored pair is added to those."""
+    counts sum up to one row per pair, and the mirrored pair is added to those.  The words
+    are written once, as they are read three times."""
+    words = scratch_table(words.select("image_id", "obj_idx", "py", "tx", "bits"), "words")
     ext = words.groupBy("image_id", "obj_idx").agg(F.sum(F.bit_count("bits")).alias("area"))
     side = lambda k: words.select("image_id", "py", "tx", F.col("obj_idx").alias(k), F.col("bits").alias(f"{k}_bits"))
     met = side("a").join(side("b"), ["image_id", "py", "tx"]).where("a < b")
@@ -79,21 +81,53 @@ def mask_iou_pairs(words: DataFrame, eps: float = 0.0) -> DataFrame:
 def dedup_masks(objects: DataFrame, words: DataFrame, primary: str = "GroundedSAM2", candidate: str = "SAM2_AMG", cfg: Config = DEFAULT) -> DataFrame:
     """JN-04, ST-01: primaries, then the candidates that match no primary; adds origin.
 
-    Masks without pixels are dropped.  Only candidates meet primaries."""
-    solid = objects.join(words.select("image_id", "obj_idx").distinct(), ["image_id", "obj_idx"], "left_semi")
+    Masks without pixels are dropped.  Only candidates meet primaries, and of those only
+    pairs whose bounds allow the threshold: the smaller area, and the overlap of both
+    extents, are at least the threshold times the larger area.  Bits are counted for the
+    pairs that are left (see mask_bounds)."""
+    words = scratch_table(words.select("image_id", "obj_idx", "segmentor", "py", "tx", "bits"), "words")
+    ext = scratch_table(mask_bounds(words), "bounds")
+    solid = objects.join(ext.select("image_id", "obj_idx"), ["image_id", "obj_idx"], "left_semi")
     first, second = solid.where(F.col("segmentor") == primary), solid.where(F.col("segmentor") == candidate)
+    pair = scratch_table(threshold_pairs(ext.where(F.col("segmentor") == candidate), ext.where(F.col("segmentor") == primary), cfg), "bounded_pairs")
     side = lambda k, name: words.where(F.col("segmentor") == name).select("image_id", "py", "tx", F.col("obj_idx").alias(k), F.col("bits").alias(f"{k}_bits"))
-    met = side("a", candidate).join(side("b", primary), ["image_id", "py", "tx"])
-    inter = met.groupBy("image_id", "a", "b").agg(F.sum(F.bit_count(F.col("a_bits").bitwiseAND(F.col("b_bits")))).alias("inter"))
-    ext = words.groupBy("image_id", "obj_idx").agg(F.sum(F.bit_count("bits")).alias("area"))
-    area = lambda k: ext.select("image_id", F.col("obj_idx").alias(k), F.col("area").alias(f"{k}_area"))
-    pair = inter.join(area("a"), ["image_id", "a"]).join(area("b"), ["image_id", "b"])
-    hit = pair.where(F.col("inter") / (F.col("a_area") + F.col("b_area") - F.col("inter")) >= cfg.dedup_iou)
+    a = side("a", candidate).join(pair.hint("merge"), ["image_id", "a"])
+    met = a.join(side("b", primary).hint("merge"), ["image_id", "b", "py", "tx"])
+    inter = met.groupBy("image_id", "a", "b", "a_area", "b_area").agg(F.sum(F.bit_count(F.col("a_bits").bitwiseAND(F.col("b_bits")))).alias("inter"))
+    hit = inter.where(F.col("inter") / (F.col("a_area") + F.col("b_area") - F.col("inter")) >= cfg.dedup_iou)
     victims = hit.select("image_id", F.col("a").alias("obj_idx")).distinct()
     rest = second.join(victims, ["image_id", "obj_idx"], "left_anti")
     return first.withColumn("origin", F.lit("primary")).unionByName(rest.withColumn("origin", F.lit("survivor")))
 
 
+def mask_bounds(words: DataFrame) -> DataFrame:
+    """Area and extents (x1, y1, x2, y2; half open, in whole tiles of words along a row)
+    of each mask."""
+    tile = F.lit(32)
+    return words.groupBy("image_id", "obj_idx", "segmentor").agg(
+        F.sum(F.bit_count("bits")).cast("long").alias("area"), F.min(F.col("tx") * tile).alias("x1"), F.min("py").alias("y1"), (F.max("tx") * tile + tile).alias("x2"), (F.max("py") + 1).alias("y2")
+    )
+
+
+def threshold_pairs(a: DataFrame, b: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """image_id, a, b and areas of the pairs of masks (see mask_bounds) whose IoU may reach
+    dedup_iou: IoU is at most smaller area / larger area, and at most what their extents
+    share / larger area.  Extents meet by tile; cfg.dedup_iou is above 0."""
+    t, cut = cfg.tile, cfg.dedup_iou
+    cols = ["x1", "y1", "x2", "y2", "area"]
+    one = a.select("image_id", F.col("obj_idx").alias("a"), *[F.col(c).alias(f"a_{c}") for c in cols])
+    two = b.select("image_id", F.col("obj_idx").alias("b"), *[F.col(c).alias(f"b_{c}") for c in cols])
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / t), F.floor((F.col(hi) - 1) / t)))
+    tiles = lambda df, k: df.withColumn("_i", span(f"{k}_x1", f"{k}_x2")).withColumn("_j", span(f"{k}_y1", f"{k}_y2"))
+    met = tiles(one, "a").join(tiles(two, "b"), ["image_id", "_i", "_j"])
+    x, y = F.greatest("a_x1", "b_x1"), F.greatest("a_y1", "b_y1")
+    w, h = F.least("a_x2", "b_x2") - x, F.least("a_y2", "b_y2") - y
+    most, least = F.greatest("a_area", "b_area"), F.least("a_area", "b_area", w * h)
+    # a pair counts in the tile of the upper left corner of what the extents share
+    ok = (w > 0) & (h > 0) & (F.floor(x / t) == F.col("_i")) & (F.floor(y / t) == F.col("_j")) & (least >= most * (cut - 1e-9))
+    return met.where(ok).select("image_id", "a", "b", "a_area", "b_area")
+
+
 def match_by_detection(detections: DataFrame, masks: DataFrame) -> DataFrame:
     """JN-05: each detection with the mask of its index; a bad index gives -1, area 0."""
     m = masks.select("image_id", "mask_index", F.col("mask_index").alias("found"), "area")

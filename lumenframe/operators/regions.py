@@ -123,47 +123,69 @@ def _spread(words: DataFrame, wide: Column, left: int, keep: list[str]) -> DataF
     return out.withColumn("bits", F.col("bits").bitwiseAND(_low_bits(F.col("gw") - F.col("tx") * TILE))).where("bits <> 0")
 
 
-def erode(words: DataFrame, sizes: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """RG-03: masks eroded by the adaptive kernel; sizes(image_id, gw, gh).  A mask of at
-    most 4k² pixels, or one that would vanish, stays as it is.
+#: The widest kernel of one step: a word and its margins are one number of 63 bits.  It
+#: is odd, so that wider kernels are steps of it and a rest.
+STEP = 31
 
-    A pixel survives if all k² positions of its window that lie in the image are in the
-    mask.  Along a row that is an intersection of shifts; a row's result then goes to the
-    rows whose window holds it, and those which got all survive.  The join on the image
-    is the only shuffle of masks that are not eroded.
-    """
-    w = words.join(sizes, "image_id").withColumns(_sizes(Window.partitionBy(*OBJ)))
-    w = w.withColumn("k", erosion_size(cfg)).select(*WORD, "bits", "gw", "gh", F.when(F.col("area") > 4 * F.col("k") * F.col("k"), F.col("k")).otherwise(0).alias("k"))
-    keep = w.where("k <= 1").select(*WORD, "bits")
-    if cfg.erosion <= 1:
-        return keep
-    reach = cfg.erosion // 2
-    todo, lo, hi = w.where("k > 1"), -F.expr("k div 2"), F.col("k") - 1 - F.expr("k div 2")
-    side = ["gw", "gh", "k"]
+
+def _eroded(words: DataFrame, widest: int) -> DataFrame:
+    """words (with gw, gh and k, from 2 to widest) eroded by k x k, without the objects'
+    check; `left` is carried."""
+    reach, lo, hi = widest // 2, -F.expr("k div 2"), F.col("k") - 1 - F.expr("k div 2")
+    side = ["gw", "gh", "k", "left"]
     around = F.array(
         F.struct(F.col("tx"), F.shiftleft("bits", reach).alias("halo")),
         F.struct((F.col("tx") + 1).alias("tx"), F.shiftright("bits", TILE - reach).alias("halo")),
         F.struct((F.col("tx") - 1).alias("tx"), F.shiftleft(F.col("bits").bitwiseAND((1 << reach) - 1), TILE + reach).alias("halo")),
     )
-    halo = todo.select(*OBJ, "py", *side, F.inline(around)).where("halo <> 0").groupBy(*WORD, *side).agg(F.bit_or("halo").alias("halo"))
+    halo = words.select(*OBJ, "py", *side, F.inline(around)).where("halo <> 0").groupBy(*WORD, *side).agg(F.bit_or("halo").alias("halo"))
     left = F.when(F.col("tx") == 0, (1 << reach) - 1).otherwise(0).cast("long")
     right = F.lit((1 << TILE + 2 * reach) - 1) - _low_bits(F.least(F.col("gw") - F.col("tx") * TILE + reach, F.lit(TILE + 2 * reach)))
     full = F.col("halo").bitwiseOR(left).bitwiseOR(right)
     row = F.shiftright("halo", reach)
-    for dx in range(-reach, cfg.erosion - reach):
-        row = F.when((lo <= dx) & (hi >= dx), row.bitwiseAND(F.shiftright(full, reach + dx))).otherwise(row)
+    for dx in range(-reach, widest - reach):
+        row = row.bitwiseAND(F.when((lo <= dx) & (hi >= dx), F.shiftright(full, reach + dx)).otherwise(-1))
     rows = halo.select(*WORD, *side, row.bitwiseAND(ALL).alias("bits")).where("bits <> 0")
     sent = rows.select(*OBJ, "tx", *side, "bits", F.explode(F.sequence(F.col("py") - hi, F.col("py") - lo)).alias("py")).where("py >= 0 and py < gh")
     met = sent.groupBy(*WORD, *side).agg(F.bit_and("bits").alias("bits"), F.count(F.lit(1)).alias("n"))
     wanted = F.least(F.col("py") + hi, F.col("gh") - 1) - F.greatest(F.col("py") + lo, F.lit(0)) + 1
-    left_over = met.where((F.col("bits") != 0) & (F.col("n") == wanted)).select(*WORD, "bits", F.lit(1).alias("eroded"))
-    both = left_over.unionByName(todo.select(*WORD, "bits", F.lit(0).alias("eroded")))
+    return met.where((F.col("bits") != 0) & (F.col("n") == wanted)).select(*WORD, "bits", *side)
+
+
+def erode(words: DataFrame, sizes: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """RG-03: masks eroded by the adaptive kernel; sizes(image_id, gw, gh).  A mask of at
+    most 4k² pixels, or one that would vanish, stays as it is.
+
+    A pixel survives if all k² positions of its window that lie in the image are in the
+    mask.  Along a row that is an intersection of shifts; a row's result then goes to the
+    rows whose window holds it, and those which got all survive.  A kernel wider than STEP
+    is several kernels in turn.  The join on the image is the only shuffle of masks that
+    are not eroded.
+    """
+    w = words.join(sizes, "image_id").withColumns(_sizes(Window.partitionBy(*OBJ)))
+    w = w.withColumn("k", erosion_size(cfg)).select(*WORD, "bits", "gw", "gh", F.when(F.col("area") > 4 * F.col("k") * F.col("k"), F.col("k")).otherwise(0).alias("k"))
+    keep = w.where("k <= 1").select(*WORD, "bits")
+    if cfg.erosion <= 1:
+        return keep
+    todo = w.where("k > 1")
+    now, widest = todo.withColumn("left", F.col("k")), cfg.erosion
+    while widest > 1:
+        step = now if widest == cfg.erosion else now.where("left > 1")
+        done = _eroded(step.withColumn("k", F.least("left", F.lit(STEP))), min(widest, STEP)).withColumn("left", F.col("left") - F.col("k") + 1)
+        now = done if widest == cfg.erosion else done.unionByName(now.where("left <= 1").select(*done.columns))
+        widest -= min(widest, STEP) - 1
+    both = now.select(*WORD, "bits", F.lit(1).alias("eroded")).unionByName(todo.select(*WORD, "bits", F.lit(0).alias("eroded")))
     some = both.withColumn("some", F.max("eroded").over(Window.partitionBy(*OBJ))).where("eroded = some")
     return keep.unionByName(some.select(*WORD, "bits"))
 
 
 def _grown(words: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
-    """Words of the k x k dilation, several for a place; `own` holds the mask itself."""
+    """Words of the k x k dilation, several for a place; `own` holds the mask itself.
+    Dilations of STEP go before that of a wider kernel's rest."""
+    mask = words.select(*WORD, F.col("bits").alias("own"))
+    wider = k > STEP
+    while k > STEP:
+        words, k = dilate(words, sizes, STEP), k - STEP + 1
     lo, hi = -(k // 2), k - 1 - k // 2
     wide = F.col("bits")
     for d in range(1, k):
@@ -172,7 +194,11 @@ def _grown(words: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
     grown = _spread(w, wide, -lo, ["gw", "gh", "mask"])
     rows = grown.select(*OBJ, "tx", "bits", "mask", "side", "gh", F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("dy"), "py")
     own = F.when((F.col("side") == 0) & (F.col("dy") == 0), F.col("mask")).otherwise(F.lit(0).cast("long"))
-    return rows.select(*OBJ, (F.col("py") + F.col("dy")).alias("py"), "tx", "bits", own.alias("own"), "gh").where("py >= 0 and py < gh").drop("gh")
+    out = rows.select(*OBJ, (F.col("py") + F.col("dy")).alias("py"), "tx", "bits", own.alias("own"), "gh").where("py >= 0 and py < gh").drop("gh")
+    if not wider:
+        return out
+    zero = F.lit(0).cast("long")
+    return out.withColumn("own", zero).unionByName(mask.select(*WORD, zero.alias("bits"), "own"))
 
 
 def dilate(words: DataFrame, sizes: DataFrame, k: int = 5) -> DataFrame:

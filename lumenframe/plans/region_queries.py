@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
@@ -323,11 +323,22 @@ def jn13_by_source(spark, d):
     return E.by_source(t).drop("source")
 
 
-@query("SELECT image_id, a, b, round(iou, 6) AS iou FROM box_pairs WHERE iou >= 0.1")
+def covered() -> Column:
+    """The share of the smaller box that the other one covers: a caller's pair function."""
+    side = lambda k: (F.col(f"{k}_x2") - F.col(f"{k}_x1")) * (F.col(f"{k}_y2") - F.col(f"{k}_y1"))
+    w, h = F.least("a_x2", "b_x2") - F.greatest("a_x1", "b_x1"), F.least("a_y2", "b_y2") - F.greatest("a_y1", "b_y1")
+    return F.when((w > 0) & (h > 0), w * h / F.least(side("a"), side("b"))).otherwise(0.0)
+
+
+_COVERED = """CASE WHEN least(ax2, bx2) > greatest(ax1, bx1) AND least(ay2, by2) > greatest(ay1, by1) THEN (least(ax2, bx2) - greatest(ax1, bx1)) * (least(ay2, by2) - greatest(ay1, by1)) /
+    least((ax2 - ax1) * (ay2 - ay1), (bx2 - bx1) * (by2 - by1))::DOUBLE ELSE 0 END"""
+
+
+@query(f"""SELECT image_id, a AS sub_idx, b AS obj_idx, rank, CASE WHEN iou >= 0.1 THEN 'overlapping' WHEN abs(dx) >= abs(dy) THEN CASE WHEN dx > 0 THEN 'left_of' ELSE 'right_of' END
+    WHEN dy > 0 THEN 'above' ELSE 'below' END AS predicate, CASE WHEN iou >= 0.1 THEN 0.85 ELSE 0.7 END::DOUBLE AS score FROM (SELECT *, {_COVERED} AS iou FROM knn)""")
 def ud01_pair_iou(spark, d):
-    """The pair function is an argument: any column of the pair."""
-    pairs = P.overlapping_boxes(boxes(spark, d))
-    return pairs.where(P.box_iou() >= 0.1).select("image_id", "a", "b", F.round(P.box_iou(), 6).alias("iou"))
+    """Box relations with a pair function of the caller's own in place of IoU."""
+    return R.box_scaffold(boxes(spark, d), iou=covered)
 
 
 @query("SELECT image_id, count(*) AS n, count(*) FILTER (segmentor = 'SAM3') AS sam3 FROM detections GROUP BY ALL")

@@ -142,7 +142,7 @@ def io02_sample_frames(spark, d):
 
 @query("SELECT image_id, image_id % 200 = 0 AS reused, count(*) AS pixels, sum(depth_mm)::BIGINT AS total FROM depth_px GROUP BY ALL")
 def io03_depth_reuse(spark, d):
-    """Half of the grids are stored by an earlier run; the others are computed now."""
+    """The grids of one image in 200 are stored by an earlier run; the others are computed now."""
     folder = work_folder(spark) + "/grids"
     depth = X.depth_tiles(spark, d)
     IO.write_grids(depth.where("image_id % 200 = 0"), folder)

@@ -59,6 +59,21 @@ def test_dedup_is_idempotent(spark):
     assert again.count() == 3
 
 
+def test_bounds_leave_few_pairs_and_all_victims(spark):
+    """Random masks: the pairs that bounds leave, of those that share a row of words."""
+    rng = random.Random(7)
+    masks = [(i, k, ["GroundedSAM2", "SAM2_AMG"][k % 2], *(rng.choice([0, 1, 2, 8]) for _ in range(2)), rng.randint(6, 22), rng.randint(6, 22)) for i in range(3) for k in range(24)]
+    px = pixels(spark, masks)
+    cells = {(i, k): {(x, y) for x in range(x0, x0 + w) for y in range(y0, y0 + h)} for i, k, _, x0, y0, w, h in masks}
+    close = {(i, a, b) for i, a in cells for j, b in cells if i == j and a % 2 and not b % 2 and len(cells[i, a] & cells[i, b]) >= 0.7 * len(cells[i, a] | cells[i, b])}
+    ext = P.mask_bounds(px)
+    left = {(r.image_id, r.a, r.b) for r in P.threshold_pairs(ext.where("segmentor = 'SAM2_AMG'"), ext.where("segmentor = 'GroundedSAM2'")).collect()}
+    assert close and close <= left and len(left) < 0.7 * 3 * 12 * 12
+    objects = px.select("image_id", "obj_idx", "segmentor").distinct()
+    got = {(r.image_id, r.obj_idx) for r in P.dedup_masks(objects, px).collect()}
+    assert got == set(cells) - {(i, a) for i, a, _ in close}
+
+
 def test_nearest_breaks_ties_by_index(spark):
     rows = [(0, 0, 0.0, 0.0), (0, 1, 1.0, 0.0), (0, 2, 0.0, 1.0), (0, 3, -1.0, 0.0), (1, 0, 5.0, 5.0)]
     df = spark.createDataFrame(rows, "image_id long, obj_idx long, ux double, uy double")

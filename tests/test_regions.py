@@ -48,6 +48,38 @@ def plain_erosion(mask, k, n):
     return {p for p in mask if ok(*p)}
 
 
+@pytest.mark.parametrize("k", [31, 32, 33, 64, 101])
+def test_wide_kernels(words, sizes, k):
+    """Erosion and dilation by kernels wider than a step, even ones too, against sums over
+    windows that the image cuts off."""
+    import numpy as np
+
+    n = 330
+    mask = np.zeros((n, n), bool)
+    mask[0:260, 20:300] = True
+    mask[100, 150] = mask[3, 29] = False
+    lo, hi = -(k // 2), k - 1 - k // 2
+
+    def windows(m):
+        total = np.zeros((n + 1, n + 1), int)
+        total[1:, 1:] = m.cumsum(0).cumsum(1)
+        at = np.arange(n)
+        a, b = np.clip(at + lo, 0, n), np.clip(at + hi + 1, 0, n)
+        c, d = np.clip(at - hi, 0, n), np.clip(at - lo + 1, 0, n)
+        box = lambda p, q: total[np.ix_(q, q)] - total[np.ix_(p, q)] - total[np.ix_(q, p)] + total[np.ix_(p, p)]
+        return box(a, b) == np.outer(b - a, b - a), box(c, d) > 0
+
+    rows = [(0, 0, x, y) for y, x in zip(*map(np.ndarray.tolist, np.nonzero(mask)), strict=True)]
+    eroded, grown = windows(mask)
+    eroded &= mask
+    cells = lambda m: {(x, y) for y, x in zip(*map(np.ndarray.tolist, np.nonzero(m)), strict=True)}
+    w = words(rows)
+    want = cells(eroded) if mask.sum() > 4 * k * k and eroded.any() else cells(mask)
+    assert as_set(Q.erode(w, sizes(n), Config(erosion=k, adaptive_erosion=False))) == want
+    assert as_set(Q.dilate(w, sizes(n), k)) == cells(grown)
+    assert as_set(Q.with_ring(w, sizes(n), k).where("ring <> 0").select(*Q.WORD, F.col("ring").alias("bits"))) == cells(grown & ~mask)
+
+
 @pytest.mark.parametrize("k", [1, 2, 3, 5])
 @pytest.mark.parametrize("at,n", [(0, 20), (3, 20), (25, 41), (25, 64), (52, 64)])
 def test_erosion_of_each_size(words, sizes, k, at, n):
