@@ -9,13 +9,21 @@ from . import alignment, bpe, chat, exact_dedup, langid, media, minhash, packing
 from .common import blanks_removed, fold, table, text_of
 
 #: The setting that names a text file with the key of the pseudonyms on its first line.
-#: The key then stands in no setting, plan or event log.  Without it, a key for tests.
-KEY_FILE, TEST_KEY = "spark.lumenframe.pseudonymKeyFile", "lumenframe-demo-key"
+#: The key then stands in no setting, plan or event log.
+KEY_FILE = "spark.lumenframe.pseudonymKeyFile"
+#: A published key, for tests and demonstrations only.
+TEST_KEY = "lumenframe-demo-key"
 
 
-def pseudonym_key(spark: SparkSession) -> str | Column:
+def pseudonym_key(spark: SparkSession, default: str | None = None) -> str | Column:
+    """The key in the file that the setting names; without the setting, the default, or
+    an error if there is none."""
     path = spark.conf.get(KEY_FILE, None)
-    return spark.read.text(path, wholetext=True).select(F.substring_index("value", "\n", 1)).scalar() if path else TEST_KEY
+    if path:
+        return spark.read.text(path, wholetext=True).select(F.substring_index("value", "\n", 1)).scalar()
+    if default is None:
+        raise ValueError(f"set {KEY_FILE} to a file with the key of the pseudonyms")
+    return default
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +69,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs, pseudonym_key(spark), count_cols=True)
+    return pii.pseudonymise(docs, pseudonym_key(spark, TEST_KEY), count_cols=True)
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,4 +122,4 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_minhash, op2_bpe, op3_packing, op4_exact_dedup, op5_langid, op6_pii, op7_toxicity, op8_chat_format, op9_media, op10_sharding, op11_spelling, op12_suffix_dedup, op13_alignment)}
-SQL = {"op1_minhash": minhash.SQL, "op4_exact_dedup": exact_dedup.SQL, "op8_chat_format": chat.SQL, "op11_spelling": spelling.SQL}
+SQL = {"op1_minhash": minhash.SQL, "op4_exact_dedup": exact_dedup.SQL, "op8_chat_format": chat.SQL, "op11_spelling": spelling.SQL, "op12_suffix_dedup": repeats.SQL}

@@ -17,9 +17,15 @@ common boilerplate.  A class in several of them (see COMMON_TREES) therefore als
 meets others by its rarest shingles.  In any fixed order of all shingles, two sets of
 the wanted similarity share one of their first shingles ("prefix"); rare ones come
 first, so that boilerplate is not among them.  All pairs of a list of at most LIST
-classes that share a prefix shingle are candidates.  A longer list is split by a minhash
-of the rest of the prefix, another one for each list; where even that leaves many, they
-meet their neighbours and the first.
+classes that share a prefix shingle are candidates at once.  A longer list is split by a
+minhash of the rest of the prefix, another one for each list; where even that leaves
+many, they meet their neighbours and the first.
+
+What such a list leaves out follows when the links found so far have made components: in
+every list of a shingle whose classes lie in several components, each class meets all of
+the list in other components, in blocks of bounded size.  Most of a dense cluster is one
+component by then, so that this is little; and no component stays split for the length
+of a list.
 """
 
 from __future__ import annotations
@@ -50,6 +56,8 @@ COMMON_TREES = 2
 #: Rows of sorted orders in one range partition, which a task holds (about 100 bytes each).
 RANGE_ROWS = 200_000
 LIST = 24
+#: Classes of a list that meet in one task; a longer list is cut into pairs of blocks.
+BLOCK = 8_192
 #: The order of shingles comes from this many texts, counted in 2 ** COUNT_BITS buckets.
 #: It is only an order: any one gives the same pairs, a good one short lists.
 ORDER_TEXTS, COUNT_BITS = 16_384, 22
@@ -300,19 +308,122 @@ def _meet(batches: Iterator[pa.RecordBatch], percent: int, misses: int) -> Itera
         yield from pairs(held)
 
 
-def rare_pairs(docs: DataFrame, percent: int, misses: int) -> DataFrame:
-    """Candidates a, b among docs (id, n, lo, hi, text) that share rare shingles."""
+def shingle_order(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Counts of shingles by bucket in a sample of docs (id, text), which order them, and
+    the count from which a bucket is hot."""
     shares = max(1, docs.count() // ORDER_TEXTS)
     sample = docs.where(F.pmod(F.xxhash64("id"), F.lit(shares)) == 0).select("text")
     known = sample.mapInArrow(_count, "bucket long, k long").groupBy("bucket").agg(F.sum("k").alias("k")).where("k > 1").toArrow()
     counts = np.zeros(1 << COUNT_BITS, np.uint16)
     counts[known["bucket"].to_numpy()] = np.minimum(known["k"].to_numpy(), np.iinfo(np.uint16).max)
-    hot = max(16, 8 * LIST // shares)  # far more than LIST: buckets also hold other shingles
+    return counts, max(16, 8 * LIST // shares)  # far more than LIST: buckets also hold other shingles
+
+
+def rare_pairs(docs: DataFrame, counts: np.ndarray, hot: int, percent: int, misses: int) -> DataFrame:
+    """Candidates a, b among docs (id, n, lo, hi, text) that share rare shingles."""
     listed = docs.select("id", "n", "lo", "hi", "text").mapInArrow(partial(_list, counts=counts, hot=hot, percent=percent), _LISTED)
     dealt = listed.repartition("part").sortWithinPartitions("part")
     return dealt.mapInArrow(partial(_meet, percent=percent, misses=misses), "a long, b long")
 
 
+_HELD = "shingle long, place int, id long, n long, lo long, hi long, component long"
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    """The prefix shingles of each class with their place in its order."""
+    names = [c.split()[0] for c in _HELD.split(", ")]
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            found = []
+            for k, (n, text) in enumerate(zip(part.column(1).to_pylist(), part.column(5), strict=True)):
+                s = shingle_set(text.as_py())
+                if len(s) == n:  # else another text of a repeated id
+                    found.append((k, prefix(s, counts, percent)[0]))
+            if not found:
+                continue
+            size = [len(p) for _, p in found]
+            of = np.repeat([k for k, _ in found], size)
+            place = np.concatenate([np.arange(x, dtype=np.int32) for x in size])
+            cols = [_signed(np.concatenate([p for _, p in found])), place, *(part.column(c).to_numpy()[of] for c in (0, 1, 2, 3, 4))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+
+
+def crossing(place, ids, n, lo, hi, component, block, percent: int, misses: int) -> np.ndarray:
+    """Candidates (smaller id, larger id) of different components among classes that share
+    a shingle, at the given places in their orders.  If it is the first one that a pair
+    shares, what lies behind it bounds their intersection.  Where there are two blocks,
+    only classes of different blocks meet."""
+    lo, hi = lo.view(np.uint64), hi.view(np.uint64)
+    order = np.argsort(component, kind="stable")
+    _, size = np.unique(component[order], return_counts=True)
+    largest = int(size.argmax())
+    begin = size[:largest].sum()
+    order = np.concatenate([order[:begin], order[begin + size[largest] :], order[begin : begin + size[largest]]])  # the largest one last
+    rest = n[order] - place[order]
+    out = []
+    behind = np.cumsum(np.delete(size, largest))
+    stops = np.repeat(behind, np.diff(behind, prepend=0))
+    apart = bool(block.min() != block.max())
+    for i, stop in enumerate(stops.tolist()):
+        a, others = order[i], order[stop:]
+        ok = (lo[a] ^ lo[others]) | (hi[a] ^ hi[others])
+        ok = np.bitwise_count(ok) <= misses
+        ok &= (100 + percent) * np.minimum(rest[i], rest[stop:]) >= percent * (n[a] + n[others])
+        ok &= 100 * np.minimum(n[a], n[others]) >= percent * np.maximum(n[a], n[others])
+        if apart:
+            ok &= block[a] != block[others]
+        met = others[ok]
+        if len(met):
+            out.append(np.stack([np.minimum(ids[a], ids[met]), np.maximum(ids[a], ids[met])], axis=1))
+    return np.concatenate(out) if out else np.empty((0, 2), np.int64)
+
+
+def _cross(batches: Iterator[pa.RecordBatch], percent: int, misses: int) -> Iterator[pa.RecordBatch]:
+    """Rows of shingle, x, y, place, id, n, lo, hi, component, block, sorted by the first three."""
+    held: list[pa.RecordBatch] = []
+
+    def pairs(got: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(got)
+        cols = [t.column(k).to_numpy() for k in range(t.num_columns)]
+        new = np.ones(len(t), bool)
+        new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])
+        starts = np.flatnonzero(new)
+        found = [crossing(*(c[a:b] for c in cols[3:]), percent, misses) for a, b in zip(starts, np.append(starts[1:], len(t)), strict=True) if b - a > 1]
+        p = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+        for at in range(0, len(p), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(p[at : at + 50_000, 0]), pa.array(p[at : at + 50_000, 1])], names=["a", "b"])
+
+    for batch in batches:  # a list may go on in the next batch; its blocks are bounded
+        if not batch.num_rows:
+            continue
+        key = [batch.column(k).to_numpy() for k in range(3)]
+        changes = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key]))
+        done = int(changes[-1]) + 1 if len(changes) else 0
+        if held and any(held[-1].column(k)[-1].as_py() != key[k][0] for k in range(3)):
+            yield from pairs(held)
+            held = []
+        if done:
+            yield from pairs([*held, batch.slice(0, done)])
+            held = []
+        held.append(batch.slice(done))
+    if held:
+        yield from pairs(held)
+
+
+def crossing_pairs(docs: DataFrame, counts: np.ndarray, percent: int, misses: int) -> DataFrame:
+    """Candidates a, b among docs (id, n, lo, hi, component, text) that share a rare shingle
+    and lie in different components."""
+    rows = scratch_table(docs.select("id", "n", "lo", "hi", "component", "text").mapInArrow(partial(_prefixes, counts=counts, percent=percent), _HELD), "prefix_rows")
+    lists = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+    lists = scratch_table(lists.where("low <> high").select("shingle", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "crossing_lists")
+    met = split_join(rows, lists, ["shingle"], F.col("id")).withColumn("block", F.pmod(F.xxhash64("id", "shingle"), "blocks").cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("shingle", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "place", "id", "n", "lo", "hi", "component", "block")
+    dealt = met.repartition("shingle", "x", "y").sortWithinPartitions("shingle", "x", "y")
+    return dealt.mapInArrow(partial(_cross, percent=percent, misses=misses), "a long, b long")
+
+
 def similar_sets(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     common = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * common >= percent * (len(a) + len(b) - common)
@@ -331,6 +442,17 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+def confirmed(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b whose sets of shingles, made from rows (id, text), are similar enough."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    # all three sides grow with the corpus: shuffle joins at every size, never a broadcast
+    texts = scratch_table(rows.join(named.hint("merge"), "id", "left_semi"), "texts")
+    ta, tb = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    with_a = split_join(pairs, ta, ["a"], F.col("b"))
+    both = split_join(with_a, tb, ["b"], F.col("a"), counted=pairs).select("a", "b", "ta", "tb")
+    return scratch_table(both.mapInArrow(partial(_confirm, percent=percent), "a long, b long"), "confirmed")
+
+
 def components(links: DataFrame) -> DataFrame:
     """Node and component (its smallest node) of an undirected graph of links a, b:
     alternating large-star and small-star steps until nothing changes.  A node with a
@@ -380,17 +502,21 @@ def near_links(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     # a row without b and lo for each tree in which a class shares its first hash with many
     common = found.where("b is null and lo is null").groupBy(F.col("a").alias("id")).count()
     doubtful = scratch_table(common.where(F.col("count") > COMMON_TREES).select("id"), "doubtful")
-    if not doubtful.isEmpty():
+    dense = not doubtful.isEmpty()
+    if dense:
         sketches = reps.select("id", "n", "lo", "hi").join(doubtful.hint("merge"), "id")
-        pairs = pairs.unionByName(rare_pairs(scratch_table(sketches.join(rows.hint("merge"), "id"), "doubtful_texts"), percent, misses))
+        doubtful = scratch_table(sketches.join(rows.hint("merge"), "id"), "doubtful_texts")
+        counts, hot = shingle_order(doubtful)
+        pairs = pairs.unionByName(rare_pairs(doubtful, counts, hot, percent, misses))
     pairs = scratch_table(pairs.distinct(), "pairs")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    # all three sides grow with the corpus: shuffle joins at every size, never a broadcast
-    texts = scratch_table(rows.join(named.hint("merge"), "id", "left_semi"), "texts")
-    ta, tb = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    with_a = split_join(pairs, ta, ["a"], F.col("b"))
-    both = split_join(with_a, tb, ["b"], F.col("a"), counted=pairs).select("a", "b", "ta", "tb")
-    links = scratch_table(both.mapInArrow(partial(_confirm, percent=percent), "a long, b long"), "confirmed")
+    links = confirmed(pairs, rows, percent)
+    if dense:
+        groups = components(links).withColumnRenamed("node", "id").hint("merge")
+        placed = doubtful.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        more = crossing_pairs(placed, counts, percent, misses).distinct().join(pairs.hint("merge"), ["a", "b"], "left_anti")
+        more = scratch_table(more, "crossing_pairs")
+        if not more.isEmpty():
+            links = links.unionByName(confirmed(more, rows, percent))
     named_rows = split_join(full.select("id", "n", "f1", "f2"), classes, ["f1", "f2", "n"], F.col("id")).select("id", "n", "rep")
     return named_rows.unionByName(signed.where(~whole).select("id", "n", F.lit(None).cast("long").alias("rep"))), links
 
