@@ -110,6 +110,17 @@ def erosion_size(cfg: Config = DEFAULT) -> Column:
     return table.otherwise(cfg.erosion)
 
 
+def centroids(words: DataFrame) -> DataFrame:
+    """image_id, obj_idx, mx, my: the mean position of each mask's pixels.  The positions
+    in a word add up by counts of its bits under five patterns, one for each binary digit
+    of a position."""
+    digit = lambda d: sum(1 << j for j in range(TILE) if j >> d & 1)
+    inside = sum((F.bit_count(F.col("bits").bitwiseAND(digit(d))) * (1 << d) for d in range(1, 5)), F.bit_count(F.col("bits").bitwiseAND(digit(0))))
+    n = F.bit_count("bits")
+    sums = words.groupBy(*OBJ).agg(F.sum(n).alias("n"), F.sum(inside + n * F.col("tx") * TILE).alias("x"), F.sum(n * F.col("py")).alias("y"))
+    return sums.select(*OBJ, F.round(F.col("x") / F.col("n"), 6).alias("mx"), F.round(F.col("y") / F.col("n"), 6).alias("my"))
+
+
 # Morphology
 
 

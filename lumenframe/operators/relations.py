@@ -52,10 +52,13 @@ def box_scaffold(boxes: DataFrame, cfg: Config = DEFAULT, iou: Callable[[], Colu
     return n.select("image_id", F.col("a").alias("sub_idx"), F.col("b").alias("obj_idx"), "rank", "predicate", relation_score(F.col("predicate")).alias("score"))
 
 
-def mask_scaffold(objects: DataFrame, ious: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Relations from masks: objects(image_id, obj_idx, ux, uy, z), ious of pairs."""
-    n = nearest(objects, cfg, ("z",)).join(ious.select("image_id", "a", "b", "iou"), ["image_id", "a", "b"], "left")
-    n = n.withColumn("predicate", mask_predicate(F.col("iou"), cfg))
+def mask_scaffold(objects: DataFrame, ious: DataFrame, cfg: Config = DEFAULT, iou: Callable[[], Column] = box_iou) -> DataFrame:
+    """Relations from masks: objects (image_id, obj_idx, x1.., ux, uy, z, masked), ious of
+    pairs of masks.  Neighbours are ranked by ux, uy, which are the mask's centroid where
+    there is one; a pair without any mask is told by its boxes."""
+    n = nearest(objects, cfg, ("z", "masked", "x1", "y1", "x2", "y2")).join(ious.select("image_id", "a", "b", F.col("iou").alias("_iou")), ["image_id", "a", "b"], "left")
+    by_mask = F.col("a_masked") | F.col("b_masked")
+    n = n.withColumn("predicate", F.when(by_mask, mask_predicate(F.col("_iou"), cfg)).otherwise(box_predicate(iou(), cfg)))
     return n.select("image_id", F.col("a").alias("sub_idx"), F.col("b").alias("obj_idx"), "rank", "predicate", relation_score(F.col("predicate")).alias("score"))
 
 

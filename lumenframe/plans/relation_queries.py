@@ -11,6 +11,7 @@ from ..functions import labels as L
 from ..operators import frames as S
 from ..operators import geometry as G
 from ..operators import pairs as P
+from ..operators import regions as Q
 from ..operators import relations as R
 from ..operators.scoring import linear_scorer, score_batches
 from ..sources import fixtures as X
@@ -29,9 +30,10 @@ _IOU = """CASE WHEN least(ax2, bx2) <= greatest(ax1, bx1) OR least(ay2, by2) <=
     ((ax2 - ax1) * (ay2 - ay1) + (bx2 - bx1) * (by2 - by1) - (least(ax2, bx2) - greatest(ax1, bx1)) * (least(ay2, by2) - greatest(ay1, by1)) + 1e-8::DOUBLE) END"""
 _SCORE = "CASE WHEN predicate = 'overlapping' THEN 0.85 WHEN predicate IN ('in_front_of', 'behind') THEN 0.75 ELSE 0.7 END::DOUBLE"
 _BOX_EDGES = f"SELECT *, {_SCORE} AS score FROM (SELECT image_id, a AS sub_idx, b AS obj_idx, rank, {_BOX} AS predicate FROM (SELECT *, {_IOU} AS iou FROM knn))"
-_MASK_EDGES = f"""SELECT *, {_SCORE} AS score FROM (SELECT image_id, a AS sub_idx, b AS obj_idx, rank, CASE WHEN coalesce(inter / (joint + 1e-8::DOUBLE), 0) >= 0.05 THEN 'overlapping' WHEN abs(bz - az) >= 3000 THEN
+_MASK_EDGES = f"""SELECT *, {_SCORE} AS score FROM (SELECT image_id, a AS sub_idx, b AS obj_idx, rank, CASE WHEN NOT (am OR bm) THEN {_BOX}
+    WHEN am AND bm AND coalesce(inter / (joint + 1e-8::DOUBLE), 0) >= 0.05 THEN 'overlapping' WHEN abs(bz - az) >= 3000 THEN
     CASE WHEN az < bz THEN 'in_front_of' ELSE 'behind' END WHEN abs(dx) >= abs(dy) THEN CASE WHEN dx > 0 THEN 'left_of' ELSE 'right_of' END WHEN dy > 0 THEN 'above' ELSE 'below' END AS predicate
-    FROM knn LEFT JOIN mask_pairs USING (image_id, a, b))"""
+    FROM (SELECT *, {_IOU} AS iou FROM centred_knn) LEFT JOIN (SELECT image_id, a, b, inter, joint FROM mask_pairs) USING (image_id, a, b))"""
 
 
 @query(_BOX_EDGES)
@@ -43,8 +45,11 @@ def sc10_box_relations(spark, d):
 
 @query(_MASK_EDGES)
 def sc09_mask_relations(spark, d):
-    """The same from masks and depth (SC-09)."""
-    return R.mask_scaffold(boxes(spark, d).withColumn("z", F.col("z_mm")), P.mask_iou_pairs(masks(spark, d), eps=1e-8))
+    """The same from masks and depth (SC-09); every seventh object has no mask."""
+    o = boxes(spark, d).drop("ux", "uy").withColumn("z", F.col("z_mm"))
+    words = scratch_table(masks(spark, d).join(o.where("part_id % 7 <> 0").select("image_id", "obj_idx"), ["image_id", "obj_idx"], "left_semi"), "matched_words")
+    o = o.join(Q.centroids(words), ["image_id", "obj_idx"], "left").withColumn("masked", F.col("mx").isNotNull())
+    return R.mask_scaffold(G.centroid(o, "mx", "my"), P.mask_iou_pairs(words, eps=1e-8))
 
 
 @query("SELECT predicate, round(score, 4) AS score, count(*) AS n FROM (" + _MASK_EDGES + ") GROUP BY ALL")

@@ -127,6 +127,13 @@ STEPS = {
         b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2, b.ux - a.ux AS dx, b.uy - a.uy AS dy, a.z_mm AS az, b.z_mm AS bz,
         row_number() OVER (PARTITION BY a.image_id, a.obj_idx ORDER BY (b.ux - a.ux) ** 2 + (b.uy - a.uy) ** 2, b.obj_idx) AS rank
         FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.obj_idx <> b.obj_idx) WHERE rank <= 8""",
+    "centred": """SELECT b.* REPLACE (coalesce(mx, ux) AS ux, coalesce(my, uy) AS uy), mx IS NOT NULL AS masked FROM boxes b LEFT JOIN (
+        SELECT image_id, obj_idx, round(sum(px) / count(*)::DOUBLE, 6) AS mx, round(sum(py) / count(*)::DOUBLE, 6) AS my FROM mask_px
+        JOIN detections USING (image_id, obj_idx) WHERE part_id % 7 <> 0 GROUP BY ALL) USING (image_id, obj_idx)""",
+    "centred_knn": """SELECT * FROM (SELECT a.image_id, a.obj_idx AS a, b.obj_idx AS b, a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2,
+        b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2, b.ux - a.ux AS dx, b.uy - a.uy AS dy, a.z_mm AS az, b.z_mm AS bz, a.masked AS am, b.masked AS bm,
+        row_number() OVER (PARTITION BY a.image_id, a.obj_idx ORDER BY (b.ux - a.ux) * (b.ux - a.ux) + (b.uy - a.uy) * (b.uy - a.uy), b.obj_idx) AS rank
+        FROM centred a JOIN centred b ON a.image_id = b.image_id AND a.obj_idx <> b.obj_idx) WHERE rank <= 8""",
     "box_pairs": """SELECT *, iw * ih / (a_area + b_area - iw * ih + 1e-8::DOUBLE) AS iou FROM (
         SELECT a.image_id, a.obj_idx AS a, b.obj_idx AS b, least(a.x2, b.x2) - greatest(a.x1, b.x1) AS iw, least(a.y2, b.y2) - greatest(a.y1, b.y1) AS ih,
         a.w * a.h AS a_area, b.w * b.h AS b_area FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.obj_idx <> b.obj_idx) WHERE iw > 0 AND ih > 0""",
