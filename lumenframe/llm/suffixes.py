@@ -2,11 +2,11 @@
 
 A suffix is of type S if it is smaller than the next one, else L.  The leftmost suffixes
 of S runs (LMS) are sorted first: inducing puts their substrings in order, equal ones get
-equal names, and where names repeat, the string of names is sorted in the same way.  From
-the sorted LMS suffixes, a pass from the left induces the L suffixes and one from the
-right the S suffixes; each moves every suffix once.  A pass takes as many suffixes at a
-time as it can before one of them lands: each puts its left neighbour at the next slot of
-that one's bucket.
+equal names, and where names repeat, the string of names is sorted in the same way (one
+in which few names repeat, by ranks of growing runs).  From the sorted LMS suffixes, a
+pass from the left induces the L suffixes and one from the right the S suffixes; each
+moves every suffix once.  A pass takes as many suffixes at a time as it can before one of
+them lands: each puts its left neighbour at the next slot of that one's bucket.
 
 Texts end with 0, which is nowhere else.
 """
@@ -30,13 +30,13 @@ def _types(text: np.ndarray) -> np.ndarray:
 
 def _places(buckets: np.ndarray) -> np.ndarray:
     """How many earlier entries are in the same bucket."""
-    order = np.argsort(buckets, kind="stable")
+    order = buckets.argsort(kind="stable")
     ordered = buckets[order]
-    new = np.ones(len(order), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
     count = np.arange(len(order))
+    first = np.zeros(len(order), np.int64)
+    np.multiply(count[1:], ordered[1:] != ordered[:-1], out=first[1:])
     out = np.empty(len(order), np.int64)
-    out[order] = count - np.maximum.accumulate(np.where(new, count, 0))
+    out[order] = count - np.maximum.accumulate(first)
     return out
 
 
@@ -44,26 +44,46 @@ def _pass(text: np.ndarray, moves: np.ndarray, sa: np.ndarray, slot: np.ndarray,
     """One pass over sa (unfilled: -1), from the left (sign 1) or the right (-1).  An entry
     i whose left neighbour moves puts i - 1 at the next slot of its bucket."""
     n, at, width = len(sa), 0, 256
+    view = sa if sign > 0 else sa[::-1]
     while at < n:
         width = min(width, n - at)
-        block = sa[at : at + width] if sign > 0 else sa[n - at - width : n - at][::-1]
-        who = np.flatnonzero(block > 0)
-        left = block[who] - 1
-        ok = moves[left]
-        who, left = who[ok], left[ok]
+        left = view[at : at + width] - 1
+        who = np.flatnonzero((left >= 0) & moves[left])
         done = width
         if len(who):
+            left = left[who]
             bucket = text[left]
             target = slot[bucket] + sign * _places(bucket)
-            lands = np.minimum.accumulate((target if sign > 0 else n - 1 - target) - at)
-            late = np.flatnonzero(lands < np.append(who[1:], width))
-            if len(late):  # what lands inside the block is read in the next one
-                done = int(lands[late[0]])
-                left, bucket, target = (x[: late[0] + 1] for x in (left, bucket, target))
+            lands = np.minimum.accumulate(target if sign > 0 else n - 1 - target) - at
+            late = lands[:-1] < who[1:]  # what lands inside the block is read in the next one
+            k = int(late.argmax()) if len(late) else 0
+            if not (len(late) and late[k]):
+                k = len(who) - 1
+            if lands[k] < width:
+                done = int(lands[k]) if k + 1 == len(who) or late[k] else width
+            if k + 1 < len(who):
+                left, bucket, target = left[: k + 1], bucket[: k + 1], target[: k + 1]
             sa[target] = left
             slot[bucket] = target + sign  # of equal buckets the last one counts
         at += done
-        width = max(64, min(2 * done, _WIDTH))
+        width = max(64, min(done + (done >> 1), _WIDTH))
+
+
+def _by_pairs(text: np.ndarray) -> np.ndarray:
+    """The suffix array of a text whose entries nearly all differ, by ranks of runs of 1,
+    2, 4 and more entries."""
+    n, span = len(text), 1
+    rank = np.append(text.astype(np.int64) + 1, 0)
+    while True:
+        key = rank[:n] * (n + 2)
+        key[: n - span] += rank[span:n] if span < n else 0
+        sa = key.argsort(kind="stable")
+        ordered = key[sa]
+        new = np.cumsum(np.append(True, ordered[1:] != ordered[:-1]))
+        if new[-1] == n:
+            return sa.astype(np.int32)
+        rank[sa] = new
+        span *= 2
 
 
 def _induce(text: np.ndarray, s: np.ndarray, lms: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
@@ -85,12 +105,14 @@ def _equal_spans(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarra
     return np.logical_and.reduceat(same, first)
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
+def suffix_array(text: np.ndarray, differing: int = 0) -> np.ndarray:
     """The order of all suffixes of text (unsigned integers; its last entry is 0 and no
-    other is)."""
+    other is).  differing: how many different entries it has, if that is known."""
     n = len(text)
     if n <= 2:
         return np.arange(n - 1, -1, -1, dtype=np.int32)
+    if differing * 4 >= n * 3:
+        return _by_pairs(text)
     s = _types(text)
     sizes = np.bincount(text)
     stops = np.cumsum(sizes)
@@ -111,7 +133,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     if name[-1] + 1 < len(lms):
         names = np.empty(len(lms), np.uint16 if name[-1] < 1 << 16 else np.uint32)
         names[rank[ordered]] = name
-        ordered = lms[suffix_array(names)]
+        ordered = lms[suffix_array(names, int(name[-1]) + 1)]
     return _induce(text, s, ordered, starts, stops)
 
 
