@@ -31,7 +31,7 @@ ANCHORS = (0.32, 0.64, 1.0)
 #: An anchor with more different segments is dealt again by longer ones.
 MANY = 2_000
 #: A shard array holds about so many bytes.
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 1 << 20
 #: Hot anchors come from this many rows.  They only spread the load.
 COUNTED_DOCS = 20_000
 _PLACE_BITS = 18
@@ -230,22 +230,39 @@ def _ranges(row: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch
 
 def shard_ranges(row: np.ndarray, start: np.ndarray, segs: list[bytes], width: int) -> pa.RecordBatch:
     """Windows of the segments of a shard that start earlier in another place there, as
-    ranges of successive window starts.  Windows of one text lie in one segment each."""
+    ranges of successive window starts.  Windows of one text lie in one segment each.
+
+    The array is made of those windows only whose longer anchor is there twice."""
     order = np.lexsort((start, row))
     row, start, segs = row[order], start[order], [segs[i] for i in order.tolist()]
-    size = np.array([len(s) for s in segs])
-    ends = np.cumsum(size + 1)  # a separator behind each segment
-    begin = ends - size - 1
-    text = np.frombuffer(b"\0".join([*segs, b""]), np.uint8).astype(np.uint16) + np.uint16(2)
+    raw = np.frombuffer(b"".join(segs), np.uint8)
+    stops = np.cumsum([len(s) for s in segs])
+    at, n, key, again = segments(raw, stops, max(1, int(width * ANCHORS[1])), width)
+    _, which, count = np.unique(key, return_inverse=True, return_counts=True)
+    keep = (count[which] > 1) | again
+    at, n = at[keep], n[keep]
+    if not len(at):
+        return _ranges(row[:0], start[:0], start[:0])
+    of = np.searchsorted(stops, at, "right")
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + n[:-1]) | (of[1:] != of[:-1])  # parts that follow each other are one
+    first = np.flatnonzero(new)
+    n, at, of = np.add.reduceat(n, first), at[first], of[first]
+    row, start = row[of], start[of] + at - np.concatenate([[0], stops[:-1]])[of]
+    size = n + width  # with a separator behind each
+    ends = np.cumsum(size)
+    begin = ends - size
+    place = np.arange(ends[-1]) - np.repeat(begin, size)
+    text = np.append(raw, 0)[np.repeat(at, size) + place].astype(np.uint16) + np.uint16(2)
     text[ends - 1] = 1
     text = np.append(text, np.uint16(0))
-    room = np.append(np.repeat(ends - 1, size + 1) - np.arange(ends[-1]), 0)
-    at = repeats(text, room, width)
-    new = np.ones(len(at), bool)
-    new[1:] = at[1:] != at[:-1] + 1
+    room = np.append(np.repeat(size - 1, size) - place, 0)
+    found = repeats(text, room, width)
+    new = np.ones(len(found), bool)
+    new[1:] = found[1:] != found[:-1] + 1
     first = np.flatnonzero(new)
-    of = np.searchsorted(ends, at[first], "right")
-    return _ranges(row[of], start[of] + at[first] - begin[of], np.diff(np.append(first, len(at))))
+    of = np.searchsorted(ends, found[first], "right")
+    return _ranges(row[of], start[of] + found[first] - begin[of], np.diff(np.append(first, len(found))))
 
 
 def _shards(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -347,3 +364,23 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     if key == "row_key" and rows.schema["id"].dataType == kept.schema["row"].dataType and rows.where("not (id <=> row)").isEmpty():
         return kept.withColumnRenamed("row", id_col)  # the key is the id itself
     return rows.select("row", "id").join(kept.hint("merge"), "row").drop("row").withColumnRenamed("id", id_col)
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS raw FROM documents),
+w AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS nth
+  FROM (SELECT doc_id, p, substring(raw, 2 * p + 1, 200) AS s FROM (SELECT doc_id, raw, unnest(range(length(raw) // 2 - 99)) AS p FROM d))),
+r AS (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS run FROM w WHERE nth > 1),
+covered AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM r GROUP BY doc_id, run),
+marked AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM covered),
+numbered AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY a ROWS UNBOUNDED PRECEDING) AS span FROM marked),
+spans AS (SELECT doc_id, min(a) AS a, max(b) AS b FROM numbered GROUP BY doc_id, span),
+holes AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM spans),
+kept AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substring(raw, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS front, max(b) AS tail
+  FROM holes JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, length(d.raw) // 2 AS n_bytes, coalesce(k.n_removed, 0)::BIGINT AS n_removed, coalesce(k.n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(k.front || substring(d.raw, 2 * k.tail + 1), d.raw))) AS kept_sha256
+FROM d LEFT JOIN kept k USING (doc_id)
+"""
