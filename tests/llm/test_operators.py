@@ -138,11 +138,11 @@ def test_minhash_recall_on_chains_and_dense_clusters(spark, monkeypatch, block):
 def test_minhash_of_one_large_cluster_with_few_links(spark):
     """500 texts about as similar as the limit, of which few pairs are linked."""
     rng = np.random.default_rng(5)
-    base = [f"w{x}" for x in rng.integers(0, 10**9, 300)]
+    base = [f"w{x}" for x in rng.integers(0, 10**9, 250)]
     texts = []
     for k in range(500):
         copy = list(base)
-        for at in rng.choice(300, 3, replace=False):
+        for at in rng.choice(250, 3, replace=False):
             copy[at] = f"v{k}_{at}"
         texts.append(" ".join(copy))
     sets = [np.array(sorted(map(hash, shingles(t)))) for t in texts]
