@@ -88,10 +88,11 @@ def _rest(text: Column, at: Column) -> Column:
 
 
 def tries(words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(edges, ends, states) of both tries of words (wid, word).
+    """(nodes, ends, states) of both tries of words (wid, word).
 
-    edges: node, label, child; ends: node, of (the word that ends there); states: wid,
-    node, rest: the nodes in the later half of each word's own path, and what follows."""
+    nodes: node, edges (label, child, whether a word ends at the child, labels that lead
+    on from it); ends: node, of (the word that ends there); states: wid, node, rest: the
+    nodes in the later half of each word's own path, and what follows."""
     prefixes = scratch_table(words.select("wid", "word").mapInArrow(_prefixes, _PREFIX), "prefixes")
     seen = prefixes.groupBy("node").agg(F.min("next").alias("least"), F.max("next").alias("most"))
     kept = seen.where("least <> most or least = -1").select("node")
@@ -103,31 +104,55 @@ def tries(words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         "text", F.explode(F.arrays_zip(F.expr("slice(path, 1, size(path) - 1)").alias("up"), F.expr("slice(path, 2, size(path) - 1)").alias("down"))).alias("s")
     ).select("s.up.node", "s.down.node", F.substring("text", F.col("s.up.depth") + 1, F.col("s.down.depth") - F.col("s.up.depth")))
     edges = steps.toDF("node", "child", "label").groupBy("child").agg(F.first("node").alias("node"), F.first("label").alias("label"))
+    edges = scratch_table(edges, "edges")
     ends = paths.select(F.element_at("path", -1)["node"].alias("node"), F.col("wid").alias("of"))
+    # a node has an edge for each code point of the alphabet at most
+    onward = edges.groupBy(F.col("node").alias("child")).agg(F.collect_list("label").alias("onward"))
+    told = edges.join(onward.hint("merge"), "child", "left").join(ends.select(F.col("node").alias("child"), F.lit(True).alias("ends")).distinct().hint("merge"), "child", "left")
+    leads = F.array_join(F.transform("onward", lambda label: F.substring(label, 1, 1)), "")
+    edge = F.struct(
+        "label", F.substring("label", 1, 1).alias("lead"), _rest(F.col("label"), F.lit(1)).alias("behind"), F.char_length("label").alias("size"), "child",
+        F.coalesce("ends", F.lit(False)).alias("ends"), F.coalesce(leads, F.lit("")).alias("leads"), F.coalesce("onward", F.array().cast("array<string>")).alias("onward"),
+    )
+    nodes = scratch_table(told.groupBy("node").agg(F.collect_list(edge).alias("edges")), "nodes")
     own = paths.select("wid", "text", F.explode("path").alias("at"))
     states = own.select("wid", "at.node", _rest(F.col("text"), F.col("at.depth")).alias("rest")).where("rest <> ''")
-    return scratch_table(edges, "edges"), ends, states
+    return nodes, ends, states
+
+
+def _moves(rest: str, tail: str, fits) -> Column:
+    """Children and what then is left of the text, over the edges that fit and from which
+    the rest can go on or end.  tail is the rest without its first code point."""
+
+    def left(e: Column) -> Column:
+        return F.when(e["size"] == 1, F.col(tail)).otherwise(_rest(F.col(rest), e["size"]))
+
+    def open_(e: Column) -> Column:
+        text = left(e)
+        onward = F.contains(e["leads"], F.substring(text, 1, 1)) & F.exists(e["onward"], lambda label: text.startswith(label))
+        return fits(e) & F.when(text == "", e["ends"]).otherwise(onward)
+
+    return F.transform(F.filter("edges", open_), lambda e: F.struct(e["child"].alias("node"), left(e).alias("rest")))
 
 
 def neighbours(words: DataFrame) -> DataFrame:
     """a, b: the word numbers of all ordered pairs of words (wid, word; distinct) that
     differ by exactly one inserted, deleted or replaced code point."""
-    edges, ends, states = tries(words)
-    lead = edges.select("node", F.substring("label", 1, 1).alias("lead"), F.char_length("label").alias("skip"), "label", "child")
+    nodes, ends, states = tries(words)
     states = scratch_table(states, "states_0")
-    first, second = F.substring("rest", 1, 1), F.substring("rest", 2, 1)
+    first, tail = F.substring("rest", 1, 1), _rest(F.col("rest"), F.lit(1))
+    met = split_join(states, nodes, ["node"], F.col("wid")).select("wid", "edges", "rest", first.alias("first"), tail.alias("tail"), F.substring("rest", 2, 1).alias("second"), _rest(F.col("rest"), F.lit(2)).alias("last"))
+    replaced = _moves("rest", "tail", lambda e: (F.col("first") != e["lead"]) & F.col("tail").startswith(e["behind"]) & (F.char_length("rest") >= e["size"]))
     # of equal neighbouring code points the last one is left out
-    left_out = states.where(first != second).select("wid", "node", _rest(F.col("rest"), F.lit(1)).alias("rest"))
-    met = split_join(states, lead, ["node"], F.col("wid"))
-    replaced = met.where((first != F.col("lead")) & _rest(F.col("rest"), F.lit(1)).startswith(_rest(F.col("label"), F.lit(1))) & (F.char_length("rest") >= F.col("skip")))
-    front = scratch_table(left_out.unionByName(replaced.select("wid", F.col("child").alias("node"), _rest(F.col("rest"), F.col("skip")).alias("rest"))), "states_1")
-    done = front.where("rest = ''").select("wid", "node")
+    left_out = _moves("tail", "last", lambda e: (F.col("first") != F.col("second")) & (F.col("second") == e["lead"]) & F.col("tail").startswith(e["label"]))
+    front = scratch_table(met.select("wid", F.explode(F.concat(replaced, left_out)).alias("to")).select("wid", "to.*"), "states_1")
+    done = states.where(F.char_length("rest") == 1).select("wid", "node").unionByName(front.where("rest = ''").select("wid", "node"))
     level = 1
     while not (going := front.where("rest <> ''")).isEmpty():
         level += 1
-        met = split_join(going.withColumn("lead", first), lead, ["node", "lead"], F.col("wid"))
-        followed = met.where(F.col("rest").startswith(F.col("label")))
-        front = scratch_table(followed.select("wid", F.col("child").alias("node"), _rest(F.col("rest"), F.col("skip")).alias("rest")), f"states_{level}")
+        met = split_join(going, nodes, ["node"], F.col("wid")).select("wid", "edges", "rest", first.alias("first"), tail.alias("tail"))
+        followed = met.select("wid", F.explode(_moves("rest", "tail", lambda e: (F.col("first") == e["lead"]) & F.col("rest").startswith(e["label"]))).alias("to"))
+        front = scratch_table(followed.select("wid", "to.*"), f"states_{level}")
         done = done.unionByName(front.where("rest = ''").select("wid", "node"))
     pairs = split_join(scratch_table(done, "done"), ends, ["node"], F.col("wid")).where("wid <> of")
     both = pairs.select(F.explode(F.array(F.struct(F.col("wid").alias("a"), F.col("of").alias("b")), F.struct(F.col("of").alias("a"), F.col("wid").alias("b")))).alias("p"))
