@@ -90,8 +90,8 @@ def _rest(text: Column, at: Column) -> Column:
 def tries(words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, ends, states) of both tries of words (wid, word).
 
-    nodes: node, edges (label, child, whether a word ends at the child, labels that lead
-    on from it); ends: node, of (the word that ends there); states: wid, node, rest: the
+    nodes: node, edges (first code point and rest of the label, child, whether a word ends
+    at the child, labels that lead on from it); ends: node, of (the word that ends there); states: wid, node, rest: the
     nodes in the later half of each word's own path, and what follows."""
     prefixes = scratch_table(words.select("wid", "word").mapInArrow(_prefixes, _PREFIX), "prefixes")
     seen = prefixes.groupBy("node").agg(F.min("next").alias("least"), F.max("next").alias("most"))
@@ -111,7 +111,7 @@ def tries(words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     told = edges.join(onward.hint("merge"), "child", "left").join(ends.select(F.col("node").alias("child"), F.lit(True).alias("ends")).distinct().hint("merge"), "child", "left")
     leads = F.array_join(F.transform("onward", lambda label: F.substring(label, 1, 1)), "")
     edge = F.struct(
-        "label", F.substring("label", 1, 1).alias("lead"), _rest(F.col("label"), F.lit(1)).alias("behind"), F.char_length("label").alias("size"), "child",
+        F.substring("label", 1, 1).alias("lead"), _rest(F.col("label"), F.lit(1)).alias("behind"), "child",
         F.coalesce("ends", F.lit(False)).alias("ends"), F.coalesce(leads, F.lit("")).alias("leads"), F.coalesce("onward", F.array().cast("array<string>")).alias("onward"),
     )
     nodes = scratch_table(told.groupBy("node").agg(F.collect_list(edge).alias("edges")), "nodes")
@@ -120,17 +120,17 @@ def tries(words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return nodes, ends, states
 
 
-def _moves(rest: str, tail: str, fits) -> Column:
+def _moves(tail: str, fits) -> Column:
     """Children and what then is left of the text, over the edges that fit and from which
-    the rest can go on or end.  tail is the rest without its first code point."""
+    the rest can go on or end.  tail is the text without the code point of the edge's lead."""
 
     def left(e: Column) -> Column:
-        return F.when(e["size"] == 1, F.col(tail)).otherwise(_rest(F.col(rest), e["size"]))
+        return F.when(e["behind"] == "", F.col(tail)).otherwise(_rest(F.col(tail), F.char_length(e["behind"])))
 
     def open_(e: Column) -> Column:
         text = left(e)
         onward = F.contains(e["leads"], F.substring(text, 1, 1)) & F.exists(e["onward"], lambda label: text.startswith(label))
-        return fits(e) & F.when(text == "", e["ends"]).otherwise(onward)
+        return fits(e) & F.col(tail).startswith(e["behind"]) & F.when(text == "", e["ends"]).otherwise(onward)
 
     return F.transform(F.filter("edges", open_), lambda e: F.struct(e["child"].alias("node"), left(e).alias("rest")))
 
@@ -141,17 +141,17 @@ def neighbours(words: DataFrame) -> DataFrame:
     nodes, ends, states = tries(words)
     states = scratch_table(states, "states_0")
     first, tail = F.substring("rest", 1, 1), _rest(F.col("rest"), F.lit(1))
-    met = split_join(states, nodes, ["node"], F.col("wid")).select("wid", "edges", "rest", first.alias("first"), tail.alias("tail"), F.substring("rest", 2, 1).alias("second"), _rest(F.col("rest"), F.lit(2)).alias("last"))
-    replaced = _moves("rest", "tail", lambda e: (F.col("first") != e["lead"]) & F.col("tail").startswith(e["behind"]) & (F.char_length("rest") >= e["size"]))
+    met = split_join(states, nodes, ["node"], F.col("wid")).select("wid", "edges", first.alias("first"), tail.alias("tail"), F.substring("rest", 2, 1).alias("second"), _rest(F.col("rest"), F.lit(2)).alias("last"))
+    replaced = _moves("tail", lambda e: F.col("first") != e["lead"])
     # of equal neighbouring code points the last one is left out
-    left_out = _moves("tail", "last", lambda e: (F.col("first") != F.col("second")) & (F.col("second") == e["lead"]) & F.col("tail").startswith(e["label"]))
+    left_out = _moves("last", lambda e: (F.col("first") != F.col("second")) & (F.col("second") == e["lead"]))
     front = scratch_table(met.select("wid", F.explode(F.concat(replaced, left_out)).alias("to")).select("wid", "to.*"), "states_1")
     done = states.where(F.char_length("rest") == 1).select("wid", "node").unionByName(front.where("rest = ''").select("wid", "node"))
     level = 1
     while not (going := front.where("rest <> ''")).isEmpty():
         level += 1
-        met = split_join(going, nodes, ["node"], F.col("wid")).select("wid", "edges", "rest", first.alias("first"), tail.alias("tail"))
-        followed = met.select("wid", F.explode(_moves("rest", "tail", lambda e: (F.col("first") == e["lead"]) & F.col("rest").startswith(e["label"]))).alias("to"))
+        met = split_join(going, nodes, ["node"], F.col("wid")).select("wid", "edges", first.alias("first"), tail.alias("tail"))
+        followed = met.select("wid", F.explode(_moves("tail", lambda e: F.col("first") == e["lead"])).alias("to"))
         front = scratch_table(followed.select("wid", "to.*"), f"states_{level}")
         done = done.unionByName(front.where("rest = ''").select("wid", "node"))
     pairs = split_join(scratch_table(done, "done"), ends, ["node"], F.col("wid")).where("wid <> of")
