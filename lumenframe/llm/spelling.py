@@ -31,6 +31,7 @@ RATIO = 10
 DAMAGE = 31
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_ALL = 2**31 - 1
 _SEEDS = np.array([0x8F1BBCDC62C1D6CA, 0x5BE0CD19137E2179], np.uint64)
 
 
@@ -40,9 +41,11 @@ def count_words(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
     Where damage divides the crc32 h of `<id>:<run>`, the run first loses its code point
     h % length; with damage 0 none does.  Null texts have no words; a null id is empty."""
-    lowered = F.translate(F.col(text_col), _UPPER, _LOWER)
-    runs = F.regexp_extract_all(lowered, F.lit(f"[a-zÀ-ÿ]{{{LEAST_LENGTH},}}"), F.lit(0))
+    runs = F.regexp_extract_all(F.col(text_col), F.lit(f"[A-Za-zÀ-ÿ]{{{LEAST_LENGTH},}}"), F.lit(0))
     found = docs.select(F.col(id_col).cast("string").alias("id"), F.explode(runs).alias("run"))
+    # lower() would also change letters beyond A-Z
+    plain = F.octet_length("run") == F.char_length("run")
+    found = found.withColumn("run", F.when(plain, F.lower("run")).otherwise(F.translate("run", _UPPER, _LOWER)))
     if damage:
         h = F.crc32(F.concat(F.coalesce("id", F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
         at = F.pmod(F.col("h"), F.char_length("run")).cast("int")
@@ -84,7 +87,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rest(text: Column, at: Column) -> Column:
     """text from the code point number at (from 0) on."""
-    return F.substring(text, at + 1, F.char_length(text))
+    return F.substring(text, at + 1, F.lit(_ALL))
 
 
 def tries(words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
