@@ -4,12 +4,13 @@ A mergeable Misra-Gries summary (Spark's approx_top_k sketch) names the digests
 that may be frequent.  Their exact winners are computed with a map-side combine
 and broadcast, at most `heavy` rows, so that rows of large groups are decided
 where they are read.  All other digests belong to groups of bounded share and
-are decided by an ordinary shuffle of slim rows.
+are decided by an ordinary shuffle of slim rows: winners by a map-side combine, then a
+join with the rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blanks_removed, fresh, scratch_table, text_of
@@ -58,10 +59,11 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
         "frequent",
     )
     decided = rows.join(F.broadcast(known), "text_sha256")
-    group = Window.partitionBy("text_sha256")
-    rest = rows.join(F.broadcast(known.select("text_sha256")), "text_sha256", "left_anti").select(
-        "*", winner(id_col).over(group).alias("best"), F.count(F.lit(1)).over(group).alias("group_size")
-    )
+    # winners of all other digests are combined before the shuffle; their join streams the
+    # rows of a group past its one winner, so that no task holds a group
+    light = rows.join(F.broadcast(known.select("text_sha256")), "text_sha256", "left_anti")
+    winners = light.groupBy("text_sha256").agg(winner(id_col).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    rest = light.join(winners.hint("merge"), "text_sha256")
     return (
         decided.select(id_col, "text_sha256", "best", "group_size")
         .unionByName(rest.select(id_col, "text_sha256", "best", "group_size"))
