@@ -295,11 +295,39 @@ def metres(mm: Column) -> Column:
     return F.floor(mm * 10 + 0.500001) / 10000
 
 
+def depth_counts(px: DataFrame, keys: list[str] = OBJ) -> DataFrame:
+    """keys, depth_mm, n_px: how many pixels of a region have each finite depth.
+
+    AG-02, AG-03 and AG-07 need no more than this.  It is combined before the shuffle and
+    dealt by region and depth, so that the pixels of a huge region never meet in one task;
+    a region has at most as many rows as its depths have millimetres."""
+    return px.where(F.col("depth_mm").isNotNull()).groupBy(*keys, "depth_mm").agg(F.count(F.lit(1)).alias("n_px"))
+
+
+def clip_counts(counts: DataFrame, keys: list[str] = OBJ, cfg: Config = DEFAULT) -> DataFrame:
+    """AG-03 on depth_counts: the counts that sigma_clip would leave."""
+    over = Window.partitionBy(*keys)
+    d, n = F.col("depth_mm"), F.col("n_px")
+    c = counts.withColumns({"_n": F.sum(n).over(over), "_s": F.sum(d * n).over(over), "_q": F.sum(d * d * n).over(over)})
+    c = c.withColumn("_in", clipped_here(F.col("_n"), F.col("_s"), F.col("_q"), d, cfg))
+    c = c.withColumn("_left", F.sum(F.when(F.col("_in"), n).otherwise(0)).over(over))
+    return c.where(F.col("_in") | (F.col("_left") < cfg.min_inliers)).select(*keys, "depth_mm", "n_px")
+
+
 def depth_stats(px: DataFrame, keys: list[str] = OBJ) -> DataFrame:
     """AG-02: min, max, mean, median and population deviation, in metres."""
-    d = F.col("depth_mm")
-    agg = px.groupBy(*keys).agg(
-        F.min(d).alias("lo"), F.max(d).alias("hi"), F.sum(d).alias("s"), F.sum(d * d).alias("q"), F.count(F.lit(1)).alias("n"), F.percentile(d, F.lit(0.5)).alias("med")
+    return stats_of_counts(depth_counts(px, keys), keys)
+
+
+def stats_of_counts(counts: DataFrame, keys: list[str] = OBJ) -> DataFrame:
+    """AG-02 from depth_counts.  The median is the middle of the two depths at which the
+    running count passes half of the pixels: no task holds the depths of a region."""
+    d, n = F.col("depth_mm"), F.col("n_px")
+    run = Window.partitionBy(*keys).orderBy("depth_mm")
+    c = counts.withColumns({"_up_to": F.sum(n).over(run), "_n": F.sum(n).over(Window.partitionBy(*keys))})
+    low, high = (F.min(F.when(F.col("_up_to") > F.expr(rank), d)) for rank in ("(_n - 1) div 2", "_n div 2"))
+    agg = c.groupBy(*keys).agg(
+        F.min(d).alias("lo"), F.max(d).alias("hi"), F.sum(d * n).alias("s"), F.sum(d * d * n).alias("q"), F.sum(n).alias("n"), ((low + high) / 2).alias("med")
     )
     var = (F.col("n") * F.col("q") - F.col("s") * F.col("s")).cast("double")
     return agg.select(
@@ -346,17 +374,18 @@ def histogram_mode(px: DataFrame, keys: list[str] = OBJ) -> DataFrame:
 
     Bins are counted in integers: least(bins - 1, (d - min) * bins div (max - min)).  A
     constant region has its range widened by half a metre on each side."""
-    d = F.col("depth_mm")
-    base = px.groupBy(*keys).agg(F.min(d).alias("lo"), F.max(d).alias("hi"), F.count(F.lit(1)).alias("z_pixels"))
+    d, n, over = F.col("depth_mm"), F.col("n_px"), Window.partitionBy(*keys)
+    c = depth_counts(px, keys).withColumns({"z_pixels": F.sum(n).over(over), "lo": F.min(d).over(over), "hi": F.max(d).over(over)})
     flat = F.col("lo") == F.col("hi")
-    base = base.select(
-        *keys, "z_pixels",
+    c = c.select(
+        *keys, "depth_mm", "n_px", "z_pixels",
         F.when(flat, F.col("lo") - 500).otherwise(F.col("lo")).alias("lo"),
         F.when(flat, F.col("hi") + 500).otherwise(F.col("hi")).alias("hi"),
         F.greatest(F.lit(10), F.least(F.lit(100), F.expr("z_pixels div 5"))).alias("bins"),
     )
-    binned = px.join(base, keys).select(*keys, "z_pixels", "lo", "hi", "bins", F.least(F.col("bins") - 1, F.expr("(depth_mm - lo) * bins div (hi - lo)")).alias("b"))
-    best = binned.groupBy(*keys, "z_pixels", "lo", "hi", "bins").agg(F.mode("b", True).alias("b"))
+    binned = c.withColumn("b", F.least(F.col("bins") - 1, F.expr("(depth_mm - lo) * bins div (hi - lo)")))
+    filled = binned.groupBy(*keys, "z_pixels", "lo", "hi", "bins", "b").agg(F.sum(n).alias("in_bin"))
+    best = filled.groupBy(*keys, "z_pixels", "lo", "hi", "bins").agg(F.max_by("b", F.struct("in_bin", -F.col("b"))).alias("b"))
     return best.select(*keys, "z_pixels", (F.col("lo") + (2 * F.col("b") + 1) * (F.col("hi") - F.col("lo")) / (2.0 * F.col("bins"))).alias("z_mm"))
 
 
@@ -458,15 +487,26 @@ def region_stats(objects: DataFrame, words: DataFrame, depth: DataFrame, sizes:
 
 
 def erosion_comparison(objects: DataFrame, words: DataFrame, depth: DataFrame, sizes: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """AG-10: statistics with and without erosion side by side."""
-    a = region_stats(objects, words, depth, sizes, cfg, True)
-    b = region_stats(objects, words, depth, sizes, cfg, False)
-    return a.join(b.select(*OBJ, *[F.col(c).alias(f"raw_{c}") for c in b.columns if c not in OBJ]), OBJ)
+    """AG-10: statistics with and without erosion side by side.
+
+    Both masks of an object go through one chain, as objects 2 i and 2 i + 1, so that the
+    depth is read and met once."""
+    twin = lambda k: (F.col("obj_idx") * 2 + k).alias("obj_idx")
+    masks = [w.select("image_id", twin(k), "py", "tx", "bits") for k, w in enumerate((erode(words, sizes, cfg), words))]
+    both = objects.select("image_id", F.explode(F.array(twin(0), twin(1))).alias("obj_idx"))
+    stats = region_stats(both, masks[0].unionByName(masks[1]), depth, sizes, cfg, False)
+    raw = F.col("obj_idx") % 2 == 1
+    names = [c for c in stats.columns if c not in OBJ]
+    sides = [F.max(F.when(side, F.col(c))).alias(f"{head}{c}") for side, head in ((~raw, ""), (raw, "raw_")) for c in names]
+    return stats.groupBy("image_id", F.expr("obj_idx div 2").alias("obj_idx")).agg(*sides)
 
 
 def grid_stats(depth: DataFrame) -> DataFrame:
-    """AG-11: min, max and mean depth of an image, in metres."""
-    d = F.col("depth_mm")
-    return depth.where(d.isNotNull()).groupBy("image_id").agg(
-        metres(F.min(d)).alias("d_min"), metres(F.max(d)).alias("d_max"), metres(F.sum(d) / F.count(F.lit(1))).alias("d_mean")
+    """AG-11: min, max and mean depth of an image, in metres, from depth tiles: each tile
+    is one row of partial results, and is never taken apart.  Images without a finite
+    depth have no row."""
+    some = F.filter("depth", lambda d: d.isNotNull())
+    tiles = depth.select("image_id", F.array_min("depth").alias("lo"), F.array_max("depth").alias("hi"), F.size(some).cast("long").alias("n"), F.aggregate(some, F.lit(0).cast("long"), lambda a, d: a + d).alias("s"))
+    return tiles.where("n > 0").groupBy("image_id").agg(
+        metres(F.min("lo")).alias("d_min"), metres(F.max("hi")).alias("d_max"), metres(F.sum("s") / F.sum("n")).alias("d_mean")
     )

@@ -35,6 +35,12 @@ def clipped(spark: SparkSession, d: str) -> DataFrame:
     return Q.sigma_clip(Q.gather_depth(eroded(spark, d), depth(spark, d)))
 
 
+def clipped_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics need no pixels, only how many of a region have each depth."""
+    counts = Q.depth_counts(Q.gather_depth(eroded(spark, d), depth(spark, d)))
+    return Q.stats_of_counts(Q.clip_counts(counts))
+
+
 def near(spark: SparkSession, d: str) -> DataFrame:
     c = clipped(spark, d)
     return Q.with_distance(c, Q.weighted_centroid(c))
@@ -116,7 +122,7 @@ _STATS = """SELECT image_id, obj_idx, floor((lo) * 10 + 0.500001::DOUBLE) / 1000
 
 @query(_STATS)
 def ag02_depth_stats(spark, d):
-    return Q.depth_stats(clipped(spark, d)).drop("mean_mm")
+    return clipped_stats(spark, d).drop("mean_mm")
 
 
 @query("SELECT image_id, obj_idx, count(*) AS n, sum(depth_mm)::BIGINT AS total FROM clipped GROUP BY ALL")
@@ -149,7 +155,7 @@ def ag07_histogram_mode(spark, d):
 @query("SELECT image_id, obj_idx, separation, transparent FROM region WHERE num_pixels > 0")
 def ag08_separation(spark, d):
     ring = Q.border_ring(eroded(spark, d), X.grid_size(spark, d))
-    return Q.separation(Q.depth_stats(clipped(spark, d)), Q.gather_depth(ring, depth(spark, d, True)))
+    return Q.separation(clipped_stats(spark, d), Q.gather_depth(ring, depth(spark, d, True)))
 
 
 def region(spark: SparkSession, d: str) -> DataFrame:
@@ -178,7 +184,7 @@ def ag10_erosion_comparison(spark, d):
 
 @query("SELECT image_id, floor((min(depth_mm)) * 10 + 0.500001::DOUBLE) / 10000 AS d_min, floor((max(depth_mm)) * 10 + 0.500001::DOUBLE) / 10000 AS d_max, floor((sum(depth_mm) / count(depth_mm)::DOUBLE) * 10 + 0.500001::DOUBLE) / 10000 AS d_mean FROM depth_px GROUP BY ALL")
 def ag11_grid_stats(spark, d):
-    return Q.grid_stats(X.depth_px(spark, d))
+    return Q.grid_stats(X.depth_tiles(spark, d))
 
 
 @query("SELECT image_id, a, b, inter, round(iou, 6) AS iou FROM mask_pairs")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import statistics
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,6 +156,46 @@ def test_sigma_clip(spark):
     assert count([800] * 200 + [2500] * 50) == 200  # |2500 - 1140| = 1360 is not under 2 * 680
 
 
+def test_counts_give_what_pixels_give(spark):
+    rng = random.Random(5)
+    regions = {0: [rng.gauss(3000, 400) // 1 for _ in range(3000)], 1: [700] * 40 + [5000], 2: [1200, None, 1201], 3: [None], 4: [9], 5: [rng.randrange(100, 9000) for _ in range(998)]}
+    rows = [(0, k, i, 0, None if v is None else int(v)) for k, vs in regions.items() for i, v in enumerate(vs)]
+    px = spark.createDataFrame(rows, "image_id long, obj_idx long, px long, py long, depth_mm long")
+    for cfg in (Config(), Config(sigma=0.05), Config(sigma=0.0)):
+        kept = {k: sorted(r.depth_mm for r in Q.sigma_clip(px, cfg=cfg).where(F.col("obj_idx") == k).collect()) for k in regions}
+        counts = Q.clip_counts(Q.depth_counts(px), cfg=cfg)
+        assert {k: sorted(r.depth_mm for r in counts.where(F.col("obj_idx") == k).collect() for _ in range(r.n_px)) for k in regions} == kept
+    got = {r.obj_idx: r for r in Q.depth_stats(px).collect()}
+    assert sorted(got) == [0, 1, 2, 4, 5]  # no row without a finite depth
+    for k, r in got.items():
+        v = [int(x) for x in regions[k] if x is not None]
+        assert (r.n_clipped, r.d_min, r.d_max) == (len(v), min(v) / 1000, max(v) / 1000)
+        assert (r.d_median, r.d_mean, r.d_std) == pytest.approx((statistics.median(v) / 1000, statistics.fmean(v) / 1000, statistics.pstdev(v) / 1000), abs=6e-5)
+    assert Q.depth_stats(px.limit(0)).count() == Q.histogram_mode(px.limit(0)).count() == 0
+
+
+def test_counts_combine_before_the_shuffle(spark, capsys):
+    Q.depth_stats(depths(spark, [1, 2, 3])).explain()
+    assert "partial_count" in capsys.readouterr().out
+
+
+def test_erosion_comparison_is_two_chains_side_by_side(spark, words, sizes):
+    objects = spark.createDataFrame([(0, 0), (0, 1), (0, 2)], "image_id long, obj_idx long")
+    masks = words(square(0, 0, 4, 4) + square(6, 6, 12, 13, 1))
+    depth = tiles(spark, 20, 20, lambda x, y: None if x < 5 else 1500 + 7 * x + y)
+    got = {r.obj_idx: r for r in Q.erosion_comparison(objects, masks, depth, sizes(20)).collect()}
+    for eroded, head in ((True, ""), (False, "raw_")):
+        for r in Q.region_stats(objects, masks, depth, sizes(20), eroded=eroded).collect():
+            assert all(got[r.obj_idx][head + c] == r[c] for c in r.asDict() if c not in Q.OBJ)
+    assert len(got) == 3
+
+
+def test_grid_stats_of_tiles(spark):
+    rows = [(0, 0, 0, [None] * 32), (0, 0, 1, [5] * 31 + [None]), (0, 1, 0, [36] * 32), (1, 0, 0, [None] * 32)]
+    got = Q.grid_stats(spark.createDataFrame(rows, "image_id long, py long, tx long, depth array<int>")).collect()
+    assert [(r.image_id, r.d_min, r.d_max, r.d_mean) for r in got] == [(0, 0.005, 0.036, 0.0207)]
+
+
 def test_histogram_mode(spark):
     mode = lambda v: Q.histogram_mode(depths(spark, v)).first().z_mm
     assert mode([1000] * 12) == 1000 - 500 + 5.5 * 100
