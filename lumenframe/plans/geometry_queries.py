@@ -179,8 +179,9 @@ def pf19_quantise(spark, d):
 
 @query("SELECT image_id, count(*) AS pixels, count(depth_mm) AS finite FROM depth_px GROUP BY ALL")
 def pf20_finite(spark, d):
-    p = X.depth_px(spark, d).withColumn("depth", (F.col("depth_mm") / 1000.0).cast("float"))
-    return p.groupBy("image_id").agg(F.count(F.lit(1)).alias("pixels"), F.count_if(G.is_finite(F.col("depth"))).alias("finite"))
+    finite = F.filter("depth", lambda mm: G.is_finite((mm / 1000.0).cast("float")))
+    tiles = X.depth_tiles(spark, d).select("image_id", F.size("depth").alias("pixels"), F.size(finite).alias("finite"))
+    return tiles.groupBy("image_id").agg(F.sum("pixels").alias("pixels"), F.sum("finite").alias("finite"))
 
 
 @query("SELECT image_id, obj_idx, count(*) AS n, sum(depth_mm)::BIGINT AS total FROM box_px JOIN depth_px USING (image_id, px, py) GROUP BY ALL")
