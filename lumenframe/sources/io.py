@@ -146,8 +146,8 @@ def scene_documents(nodes: DataFrame, relations: DataFrame, metadata: DataFrame,
 
 
 def write_documents(docs: DataFrame, path: str, buckets: int = 16) -> None:
-    """Documents as JSON lines, in a bounded number of folders."""
-    docs.withColumn("bucket", F.pmod(F.xxhash64("image_id"), F.lit(buckets))).write.mode("overwrite").partitionBy("bucket").json(path)
+    """Documents as compressed JSON lines, in a bounded number of folders."""
+    docs.withColumn("bucket", F.pmod(F.xxhash64("image_id"), F.lit(buckets))).write.mode("overwrite").partitionBy("bucket").json(path, compression="gzip")
 
 
 def depth_mask_documents(objects: DataFrame, images: DataFrame) -> DataFrame:

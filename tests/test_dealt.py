@@ -19,3 +19,18 @@ def test_only_given_rows_are_moved(spark, name, capsys):
     entry.queries()[name](spark, SMALL).explain()
     moved = re.findall(r"(?:Broadcast)?Exchange .*", capsys.readouterr().out)
     assert moved and all("REPARTITION_BY_NUM" in m for m in moved), moved
+
+
+@pytest.mark.parametrize("name", ("jn09_subjects", "jn10_attach", "jn12_resolved_edges", "ag14_attach_counts"))
+def test_objects_at_rest_stay_dealt(spark, name, capsys):
+    """Objects and triplets are written once, dealt by image, and then nothing is moved."""
+    entry.queries()[name](spark, SMALL).explain()
+    plan = capsys.readouterr().out
+    assert "Bucketed: true" in plan and "Exchange" not in plan
+
+
+def test_images_of_a_camera_stay_dealt(spark, capsys):
+    """Cameras go to the images: no task gets all images of a camera."""
+    entry.queries()["pf09_intrinsics"](spark, SMALL).explain()
+    plan = capsys.readouterr().out
+    assert re.search(r"BroadcastHashJoin \[camera_id.*LeftOuter", plan) and not re.search(r"SortMergeJoin \[camera_id.*LeftOuter", plan)
