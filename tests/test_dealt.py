@@ -34,3 +34,10 @@ def test_images_of_a_camera_stay_dealt(spark, capsys):
     entry.queries()["pf09_intrinsics"](spark, SMALL).explain()
     plan = capsys.readouterr().out
     assert re.search(r"BroadcastHashJoin \[camera_id.*LeftOuter", plan) and not re.search(r"SortMergeJoin \[camera_id.*LeftOuter", plan)
+
+
+def test_layers_stay_dealt(spark, capsys):
+    """What captions tell meets the rows of lineitem; no object or pair is dealt by part."""
+    entry.queries()["st02_layers"](spark, SMALL).explain()
+    plan = capsys.readouterr().out
+    assert not re.search(r"Join \[part_id", plan)
