@@ -643,6 +643,26 @@ def test_media_finds_copies(spark):
     assert media.find_copies(images.limit(0), F.lit(True)).count() == 0
 
 
+def test_media_leaves_out_no_pair_that_meets_the_threshold(spark, monkeypatch):
+    """Edits that leave no half of a corner's bits as it was; cells and slabs of a few
+    images.  All pairs and votes are those of the comparison in full."""
+    monkeypatch.setattr(media, "CELL", 8)
+    rng = np.random.default_rng(3)
+    texts = [media.render(rng.normal(size=64).astype(np.float32)) for _ in range(12)]
+    halves = [((a[1:].astype(int) + a[:-1]) // 2).astype(np.uint8) for a in texts]
+    small = [media._scaled(a[6:-6, 6:-6].astype(np.float32), 1.25).astype(np.uint8) for a in texts]
+    rows = [(i, a.shape[1], a.shape[0], a.tobytes()) for i, a in enumerate([*texts, *halves, *small])]
+    images = spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary")
+    described = [media.describe_image(a) for a in (*texts, *halves, *small)]
+    want = {(q, j): media.consensus(described[q], described[j]) for q in range(12) for j in range(36) if q != j}
+    want = {pair: n for pair, n in want.items() if n >= media.MIN_VOTES}
+    split = [media.consensus_of_all(described[:12], described[at : at + 16]) for at in (0, 16, 32)]
+    assert {(i, at + j): n for at, part in zip((0, 16, 32), split, strict=True) for i, j, n in zip(*(x.tolist() for x in part), strict=True) if i != at + j} == want
+    found = lambda exact: {(r.image_id, r.match_id): r.votes for r in media.find_copies(images, F.col("image_id") < 12, exact).collect() if r.match_id is not None}
+    assert found(True) == want
+    assert found(False).items() < want.items()
+
+
 EDITS = {
     **media.EDITS,
     "gamma 0.7": lambda a: (255 * (a / 255) ** 0.7).astype(np.uint8),
