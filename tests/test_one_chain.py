@@ -22,3 +22,14 @@ def test_pixels_are_made_once(spark, name, capsys):
     assert [len(j.split(", ")) for j in joins].count(3) == 1, joins
     assert not any("obj_idx" in j for j in joins), joins
     assert "Union" not in plan
+
+
+@pytest.mark.parametrize("name", ("pf16_normalise", "pf17_normalise_masked", "pf18_normalise_in_box"))
+def test_pixels_are_not_sorted(spark, name, capsys):
+    """What a window tells of an image or an object comes from its words or tiles: nothing
+    sorts or keeps their pixels, and the tiles of boxes are not dealt a second time."""
+    entry.queries()[name](spark, SMALL).explain()
+    plan = capsys.readouterr().out
+    above = plan[: plan.index("Generate posexplode")]
+    assert "Sort" not in above and "Window" not in above, above
+    assert plan.count("Exchange") <= 3
