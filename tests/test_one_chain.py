@@ -33,3 +33,13 @@ def test_pixels_are_not_sorted(spark, name, capsys):
     above = plan[: plan.index("Generate posexplode")]
     assert "Sort" not in above and "Window" not in above, above
     assert plan.count("Exchange") <= 3
+
+
+def test_both_masks_of_an_object_are_made_once(spark, capsys):
+    """AG-10: windows add up words, not pixels; the words come from two dealings of rows
+    (masks, and the depth's cover), objects from a third, sizes from a fourth or fifth."""
+    entry.queries()["ag10_erosion_comparison"](spark, SMALL).explain()
+    plan = capsys.readouterr().out
+    above = plan[: plan.index("Generate posexplode")].splitlines()
+    assert all("row_number" in line for line in above if "Window [" in line)
+    assert plan.count("REPARTITION_BY_NUM") <= 6 and "Union" not in plan
