@@ -218,3 +218,16 @@ def test_masks_grow_and_shrink(spark, px, words, sizes):
     assert small <= mask <= as_set(Q.dilate(words(rows), sizes(16)))
     clip = Q.sigma_clip(px(rows).withColumn("depth_mm", F.col("px") * F.col("py")))
     assert as_set(clip) <= mask
+
+
+def test_erosion_of_words_that_share_a_place(spark, sizes):
+    """Objects of one id: their words of a place become one, whether they are eroded or not;
+    an image that is listed twice changes nothing."""
+    box = lambda x0, x1, y0, y1, obj: [(0, obj, x0, x1, y) for y in range(y0, y1)]
+    rows = box(2, 40, 0, 20, 0) + box(30, 70, 3, 25, 0) + box(5, 8, 5, 8, 1) + box(6, 9, 5, 8, 1)
+    words = Q.ranges_to_words(spark.createDataFrame(rows, "image_id long, obj_idx long, x0 long, x1 long, py long"))
+    mask = {(x, y) for _, k, a, b, y in rows if k == 0 for x in range(a, b)}
+    small = {(x, y) for _, k, a, b, y in rows if k == 1 for x in range(a, b)}
+    got = Q.erode(words, sizes(72).unionAll(sizes(72)), Config(erosion=3, adaptive_erosion=False))
+    assert as_set(got.where("obj_idx = 0")) == plain_erosion(mask, 3, 72)
+    assert as_set(got.where("obj_idx = 1")) == small
