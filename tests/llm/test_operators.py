@@ -693,3 +693,14 @@ def test_images_without_corners():
 
 def test_every_numbered_query_is_registered():
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in entries.QUERIES} == set(range(1, 11))
+
+
+def test_matches_that_cannot_agree_do_not_vote():
+    """Scale and turn are counted first; six matches that share both stay, others of the
+    same pair go."""
+    a, b = np.zeros(9, media.CORNER), np.zeros(9, media.CORNER)
+    a["angle"][:6], b["angle"][:6] = range(0, 60, 10), range(64, 124, 10)
+    b["angle"][6:] = 128, 150, 200
+    i = np.arange(9)
+    assert media._may_agree(a, b, i, i, np.zeros(9, int)).tolist() == [True] * 6 + [False] * 3
+    assert not media._may_agree(a, b, i, i, i % 2).any() and not len(media._may_agree(a, b, i[:0], i[:0], i[:0]))
