@@ -74,6 +74,15 @@ def test_counts_of_depths_stay_in_order(spark, capsys):
     assert len(re.findall(r"\bSort \[", above)) == 1 and "HashAggregate" not in above, above
 
 
+@pytest.mark.parametrize("name", ("ag03_sigma_clip", "ag04_weighted_centroid", "ag06_inner_circle"))
+def test_sums_of_pixels_are_hashed(spark, name, capsys):
+    """Few sums over many pixels: not one group after the other."""
+    entry.queries()[name](spark, SMALL).explain()
+    plan = capsys.readouterr().out
+    above = plan[: plan.index("Generate posexplode")]
+    assert above.count("HashAggregate") == 2 and "SortAggregate" not in above and "Exchange" not in above, above
+
+
 @pytest.mark.parametrize("name", ("ag08_separation", "ag09_region_stats"))
 def test_tiles_of_rings_are_those_of_the_union(spark, name, capsys):
     """What masks grow over is not put into the table of nearest masks, and is grown from
